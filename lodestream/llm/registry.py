@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import exact_dedup, mixing, preference, sharding
+from lodestream.llm import decontaminate, exact_dedup, html_text, license_scan, mixing, preference, quality_cnn, sharding, toxicity_gru
 from lodestream.llm.common import table
+from lodestream.llm.labelled import fold
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +80,45 @@ FROM p JOIN s USING (pair_id)
 """
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _predictions(scores: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = quality_cnn.train(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    return _predictions(quality_cnn.score(docs, network), 5, 0, 0.3)
+
+
+def op9_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity_gru.train(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return _predictions(toxicity_gru.score(docs, network), 3, 1, 0.7)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
+        "op4_html_text": op4_html_text,
         "op5_mixing": op5_mixing,
         "op6_preference": op6_preference,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_quality_cnn": op8_quality_cnn,
+        "op9_toxicity_gru": op9_toxicity_gru,
+        "op10_license_scan": op10_license_scan,
     }
 
 
