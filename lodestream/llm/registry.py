@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontaminate, exact_dedup, html_text, license_scan, mixing, preference, quality_cnn, sharding, toxicity_gru
+from lodestream.llm import decontaminate, exact_dedup, html_text, license_scan, mixing, ngram_join, preference, quality_cnn, sharding, toxicity_gru
 from lodestream.llm.common import table
 from lodestream.llm.labelled import fold
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -110,6 +114,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
         "op4_html_text": op4_html_text,
