@@ -1,8 +1,69 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages from raw documents to shards of training text.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
+``run`` writes its rows as Parquet in the shared checkpoint folder and reads them again
+for the next one. All stages but the last return the columns of ``documents``; the last
+adds the shard, the slot and the size.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestream.llm import decontaminate, mixing, ngram_join, quality_cnn, sharding
+from lodestream.llm.common import checkpoint, shared_folder, table
+
+#: Documents whose score is under it are rejected.
+QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte-level network does not reject; fitted on labelled documents of the input."""
+    network = quality_cnn.train(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    return quality_cnn.score_rows(docs, network).where(F.col("__score") >= QUALITY).drop("__score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join: that with the least id."""
+    linked = ngram_join.link_documents(docs).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
+    kept = docs.join(linked, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a row for each time that it takes the whole document, and one for each part of a document at an end of the seeded run."""
+    return mixing.take(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in contiguous shards of nearly equal bytes, equal texts together; a copy of a text has its own slot."""
+    return sharding.shard_rows(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: Learned filters and graph components are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return checkpoint(STAGES[-1][1](spark, docs, sf_dir))

@@ -32,7 +32,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import checkpoint, word_count
+from lodestream.llm.common import WORD_SPACE, checkpoint, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -123,14 +123,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``cut_from`` on, ``cut_words`` of them (and the second such piece, where the seeded
     run of blocks begins and ends in one document).
     """
-    spark = docs.sparkSession
-    sized = checkpoint(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")))
+    rows = _sized(docs, id_col, text_col, source_col, seed)
+    sized = checkpoint(rows)
+    return _place(sized, sized, *_shares_of(sized, weights, most, seed, shards)).select("id", "source", "size", "source_size", "target", "taken", "repeats", *CUTS)
+
+
+CUTS = ("cut_from", "cut_words", "cut_from2", "cut_words2")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), *more)
+
+
+def _shares_of(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int, shards: int) -> tuple[list[Share], int]:
     words = {r["source"]: int(r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    found, block = shares(words, weights, most, seed, shards)
-    return _place(spark, sized, found, block)
+    return shares(words, weights, most, seed, shards)
 
 
-def _place(spark, sized: DataFrame, found: list[Share], block: int) -> DataFrame:
+def _place(rows_in: DataFrame, sized: DataFrame, found: list[Share], block: int) -> DataFrame:
+    """``rows_in`` (with what ``sized`` has) and what the mix takes of each row; bucket sums come from ``sized``."""
+    spark = sized.sparkSession
     # a run of blocks from the seeded one on, in words: [a, b), and [0, c) where it goes round
     rows = []
     for s in found:
@@ -141,9 +153,10 @@ def _place(spark, sized: DataFrame, found: list[Share], block: int) -> DataFrame
         rows.append(("n" if s.key is None else "s" + s.key, s.words, float(s.target), full, a, b, c))
     params = spark.createDataFrame(rows, "skey string, source_size long, target double, repeats long, a long, b long, c long")
 
-    keyed = sized.select("id", "source", "size", "h", _source_key(F.col("source")).alias("skey"), F.pmod(F.col("h"), F.lit(BUCKETS)).alias("bucket"))
+    keys = {"skey": _source_key(F.col("source")), "bucket": F.pmod(F.col("h"), F.lit(BUCKETS))}
+    keyed = rows_in.withColumns(keys)
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("skey", "bucket").agg(F.sum("size").alias("n")).select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_at"))
+    offsets = sized.withColumns(keys).groupBy("skey", "bucket").agg(F.sum("size").alias("n")).select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_at"))
     inside = Window.partitionBy("skey", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -155,16 +168,34 @@ def _place(spark, sized: DataFrame, found: list[Share], block: int) -> DataFrame
     def overlap(lo: Column, hi: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), hi) - F.greatest(F.col("at"), lo))
 
-    return placed.withColumn("cut_words", overlap(F.col("a"), F.col("b"))).withColumn("cut_words2", overlap(F.lit(0), F.col("c"))).select(
-        "id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.col("repeats") * F.col("size") + F.col("cut_words") + F.col("cut_words2")).alias("taken"),
-        "repeats",
-        F.greatest(F.lit(0), F.col("a") - F.col("at")).alias("cut_from"),
-        "cut_words",
-        F.lit(0).alias("cut_from2"),
-        "cut_words2",
+    return (
+        placed.withColumn("cut_words", overlap(F.col("a"), F.col("b")))
+        .withColumn("cut_words2", overlap(F.lit(0), F.col("c")))
+        .withColumn("taken", F.col("repeats") * F.col("size") + F.col("cut_words") + F.col("cut_words2"))
+        .withColumn("cut_from", F.greatest(F.lit(0), F.col("a") - F.col("at")))
+        .withColumn("cut_from2", F.lit(0).cast("long"))
+    )
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``.
+
+    A document stands there once for each time that it is taken whole; a part of one is
+    a row with that part's words and the white space between them, and its own count of
+    characters. Texts move once, with their bucket.
+    """
+    sized = checkpoint(_sized(docs, id_col, text_col, source_col, seed))
+    rows = _sized(docs, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row"))
+    placed = _place(rows, sized, *_shares_of(sized, weights, most, seed, shards))
+    part = lambda at, words: F.struct(at.cast("long").alias("from"), words.cast("long").alias("words"))
+    parts = F.concat(
+        F.array_repeat(part(F.lit(0), F.col("size")), F.col("repeats").cast("int")),
+        F.filter(F.array(part(F.col("cut_from"), F.col("cut_words")), part(F.col("cut_from2"), F.col("cut_words2"))), lambda p: p["words"] > 0),
     )
+    each = placed.where("taken > 0").select("row", "size", F.explode(parts).alias("part"))
+    pieces = F.regexp_extract_all(F.col("row")[text_col], F.lit("[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
+    some = F.rtrim(F.array_join(F.slice(pieces, (F.col("part")["from"] + 1).cast("int"), F.col("part")["words"].cast("int")), ""), F.lit(WORD_SPACE))
+    whole = F.col("part")["words"] == F.col("size")
+    out = each.withColumn("piece", F.when(~whole, some))
+    changed = {text_col: F.coalesce("piece", F.col("row")[text_col]), chars_col: F.coalesce(F.length("piece").cast("long"), F.col("row")[chars_col])}
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestream.llm.labelled import sample
 from lodestream.llm.words_np import IS_SPACE, blocks, grams, row_ranges, run_hashes, runs
@@ -197,7 +198,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 def score_rows(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "__score") -> DataFrame:
     """All columns of ``docs`` and the score of each row."""
     names, at = docs.columns, docs.columns.index(text_col)
-    schema = docs.schema.add(score_col, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         for batch in batches:

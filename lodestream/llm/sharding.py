@@ -197,31 +197,40 @@ def plan(groups: DataFrame, n_shards: int) -> tuple[dict[int, int], list[tuple[i
 
 def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = N_SHARDS, row_bytes: int = 8) -> DataFrame:
     """One row per input row: id, size, crc, shard, slot; a row's size is its UTF-8 bytes and ``row_bytes``."""
-    spark = docs.sparkSession
     text = text_of(text_col)
-    rows = checkpoint(
-        docs.select(
-            F.col(id_col).alias("id"),
-            (F.octet_length(text).cast("long") + F.lit(row_bytes)).alias("size"),
-            F.crc32(text).alias("crc"),
-            sha60(F.sha2(text, 256)).alias("k"),
-        )
-    )
-    groups = rows.groupBy("k").agg(F.sum("size").alias("bytes"))
+    rows = checkpoint(docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + F.lit(row_bytes)).alias("size"), F.crc32(text).alias("crc"), sha60(F.sha2(text, 256)).alias("k")))
+    return _slots(_placed(rows, rows, n_shards)).select("id", "size", "crc", "shard", "slot")
+
+
+def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = N_SHARDS, row_bytes: int = 8) -> DataFrame:
+    """The rows of ``docs`` with size, shard and slot."""
+    text = text_of(text_col)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + F.lit(row_bytes)).alias("size"), sha60(F.sha2(text, 256)).alias("k"))
+    placed = _slots(_placed(keyed, checkpoint(keyed.select("k", "size")), n_shards))
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot")
+
+
+def _placed(rows: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
+    """``rows`` (with k) and their shard; ``sizes``: k and size of all rows."""
+    spark = rows.sparkSession
+    groups = sizes.groupBy("k").agg(F.sum("size").alias("bytes"))
     heavy_shard, firsts, _ = plan(groups, n_shards)
 
     heavy = F.broadcast(spark.createDataFrame(list(heavy_shard.items()), "k long, heavy_shard int"))
     light_shard = F.lit(0)
     for key, shard in firsts:
         light_shard = F.when(F.col("k") >= F.lit(key), F.lit(shard)).otherwise(light_shard)
-    placed = (
+    return (
         rows.join(heavy, "k", "left")
         .withColumn("shard", F.coalesce("heavy_shard", light_shard).cast("int"))
         .withColumn("head", F.when(F.col("heavy_shard").isNotNull(), F.col("k")).otherwise(F.lit(1 << KEY_BITS)))
         .withColumn("sub", F.when(F.col("heavy_shard").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.shiftright("k", KEY_BITS - SLOT_BITS)))
     )
+
+
+def _slots(placed: DataFrame) -> DataFrame:
     # at most 2^12 blocks, each cut by a shard's edge or not, and 64 salts of 1024 heavy groups: a bounded table
     before = Window.partitionBy("shard").orderBy("head", "sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "head", "sub").count().select("shard", "head", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("shard", "head", "sub").orderBy("k", "id")
-    return placed.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(offsets), ["shard", "head", "sub"]).select("id", "size", "crc", "shard", (F.col("first") + F.col("rank") - 1).alias("slot"))
+    return placed.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(offsets), ["shard", "head", "sub"]).withColumn("slot", F.col("first") + F.col("rank") - 1)
