@@ -5,19 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FLAGSHIP = "source_stats"
 
+from lodestream.plans import feature_queries, inference_queries, ingest_queries, matching_queries  # noqa: F401  they register their queries
+from lodestream.plans.tables import REGISTRY
 
-def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.col("event_type").alias("source_id")).agg(F.count("*").alias("n_obs"))
+FLAGSHIP = "source_stats"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"source_stats": source_stats}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"source_stats": "SELECT event_type AS source_id, count(*) AS n_obs FROM events GROUP BY 1"}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql is not None}
