@@ -110,14 +110,14 @@ def band_listening(spark, sf_dir):
 
 
 @query("text_format", """SELECT observation_id, CASE WHEN freq_hz >= 1e9 THEN printf('%.4f GHz', freq_hz / 1e9) WHEN freq_hz >= 1e6 THEN printf('%.4f MHz', freq_hz / 1e6) ELSE printf('%.4f kHz', freq_hz / 1e3) END AS freq,
-  CASE WHEN duration_s >= 3600 THEN printf('%.1f h', duration_s / 3600) WHEN duration_s >= 60 THEN printf('%.1f min', duration_s / 60) ELSE printf('%.1f s', duration_s) END AS duration, source_id || ':' || entity AS sensor FROM obs""")
+  CASE WHEN duration_s >= 3600 THEN printf('%.6f h', duration_s / 3600) WHEN duration_s >= 60 THEN printf('%.6f min', duration_s / 60) ELSE printf('%.6f s', duration_s) END AS duration, source_id || ':' || entity AS sensor FROM obs""")
 def text_format(spark, sf_dir):
     f, d = F.col("freq_hz"), F.col("duration_s")
     fmt = lambda p, x: F.format_string(p, x)
     return observations(spark, sf_dir).select(
         "observation_id",
         F.when(f >= 1e9, fmt("%.4f GHz", f / 1e9)).when(f >= 1e6, fmt("%.4f MHz", f / 1e6)).otherwise(fmt("%.4f kHz", f / 1e3)).alias("freq"),
-        F.when(d >= 3600, fmt("%.1f h", d / 3600)).when(d >= 60, fmt("%.1f min", d / 60)).otherwise(fmt("%.1f s", d)).alias("duration"),
+        F.when(d >= 3600, fmt("%.6f h", d / 3600)).when(d >= 60, fmt("%.6f min", d / 60)).otherwise(fmt("%.6f s", d)).alias("duration"),
         F.concat_ws(":", "source_id", F.col("entity").cast("string")).alias("sensor"),
     )
 
