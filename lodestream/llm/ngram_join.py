@@ -30,19 +30,22 @@ several documents, each linked by its own text. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import checkpoint
+from lodestream.llm.common import Scratch, checkpoint
 from lodestream.llm.components import stars
 from lodestream.llm.words_np import blocks, mix64, shingle_sets
 
 K, PERCENT = 5, 80
 #: A bucket of more nodes than this is hot; hot signatures that are told to all tasks at once, at most; rounds of choosing anew.
-HOT, MOST_HOT, ROUNDS = 32, 1 << 20, 2
-TILE = 512
+HOT, MOST_HOT, ROUNDS = 16, 1 << 20, 2
+TILE = 2048
+CLASS = 1.06
 FILTER_BITS = 1 << 26
 _TOKEN = np.uint64((1 << 48) - 1)
 
@@ -52,6 +55,10 @@ def most_different(n: int, m: int, percent: int) -> int:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
+def classes_apart(percent: int) -> int:
+    return math.ceil(math.log(100 / percent) / math.log(CLASS)) + 1
+
+
 def band(n: int) -> int:
     return n.bit_length() - 1
 
@@ -118,12 +125,17 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+def size_class(n: int) -> int:
+    """Sizes by factors of ``CLASS``: classes further apart than ``classes_apart`` have no similar sets."""
+    return min(255, int(math.log(n) / math.log(CLASS)))
+
+
 def node_of(found: np.ndarray) -> tuple[int, int]:
-    """80 bits that identify a set: 16 and 64 (signed)."""
+    """A set's size class (8 bits) and 72 bits that identify it: 16 and 64 (signed)."""
     if not len(found):
         return 0, 0
     total = mix64(np.array([found.sum(), mix64(found ^ np.uint64(0x5851F42D4C957F2D)).sum()], dtype=np.uint64))
-    return int(total[0] >> np.uint64(48)), int(total[1:].view(np.int64)[0])
+    return size_class(len(found)) << 8 | int(total[0] >> np.uint64(56)), int(total[1:].view(np.int64)[0])
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -151,15 +163,15 @@ def documents_to_nodes(source: DataFrame, k: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray], with_sketch: bool) -> DataFrame:
-    """Signatures of every node's round: a (48 bits of signature, 16 of the node), b (64 of the node); in the last round n and the sketch."""
-    schema = "a long, b long, n long, sketch binary" if with_sketch else "a long, b long"
+def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray]) -> DataFrame:
+    """Signatures of every node's round: a (48 bits of signature, 16 of the node), b (64 of the node)."""
+    schema = "a long, b long"
     shared = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         signer, seen = Signer(shared.value, percent), set()
         for batch in batches:
-            held_a, held_b, held_n, held_s = [], [], [], []
+            held_a, held_b = [], []
             for _, found in _sets(batch, k):
                 hi, lo = node_of(found)
                 if not len(found) or (hi, lo) in seen:  # copies within a task
@@ -169,12 +181,7 @@ def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray
                 if len(signs):
                     held_a.append((signs << np.uint64(16)) | np.uint64(hi))
                     held_b.append(np.full(len(signs), lo, np.int64))
-                    if with_sketch:
-                        held_n.append(np.full(len(signs), len(found), np.int64))
-                        held_s += [sketch(found)] * len(signs)
             columns = [np.concatenate([np.empty(0, np.uint64), *held_a]).view(np.int64), np.concatenate([np.empty(0, np.int64), *held_b])]
-            if with_sketch:
-                columns += [np.concatenate([np.empty(0, np.int64), *held_n]), pa.array(held_s, pa.binary())]
             for start in range(0, len(columns[0]), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 18)]) for c in columns], [f.split()[0] for f in schema.split(", ")])
 
@@ -203,15 +210,17 @@ def _bucket_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray,
     return at[np.concatenate([none, *xs])], at[np.concatenate([none, *ys])], hot
 
 
-def small_buckets(rows: DataFrame, most: int) -> DataFrame:
+def small_buckets(rows: DataFrame, most: int, percent: int) -> DataFrame:
     """Pairs of nodes in buckets of at most ``most``, and a row with xh = -1 and the signature as xl for every larger one."""
-    schema = PAIR
+    schema, apart = PAIR, classes_apart(percent)
     rows = rows.repartition(F.shiftrightunsigned("a", 16)).sortWithinPartitions("a", "b")
 
     def pairs(a, b):
         x, y, hot = _bucket_pairs(a, b, most)
         node = lambda i: ((a[i].view(np.uint64) & np.uint64(0xFFFF)).astype(np.int32), b[i])
         (xh, xl), (yh, yl) = node(x), node(y)
+        near = np.abs((xh >> 8) - (yh >> 8)) <= apart  # sizes that can be similar
+        xh, xl, yh, yl = xh[near], xl[near], yh[near], yl[near]
         swap = (xh > yh) | ((xh == yh) & (xl > yl))
         xh, yh = np.where(swap, yh, xh), np.where(swap, xh, yh)
         xl, yl = np.where(swap, yl, xl), np.where(swap, xl, yl)
@@ -253,19 +262,19 @@ def _last_run(sign: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def tile_groups(rows: DataFrame) -> DataFrame:
+def tile_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of the last round, once for each pair of tiles of their bucket."""
-    rows = rows.withColumn("sign", F.shiftrightunsigned("a", 16)).dropDuplicates(["a", "b"])
+    rows = scratch.keep(rows.distinct()).withColumn("sign", F.shiftrightunsigned("a", 16))
     sizes = rows.groupBy("sign").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("size")).where("size > 1")
     tiled = rows.join(sizes.drop("size"), "sign").withColumn("tile", F.pmod(F.xxhash64("a", "b"), "tiles").cast("int"))
-    each = tiled.select("sign", "a", "b", "n", "sketch", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    return each.select("sign", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", F.col("a").bitwiseAND(0xFFFF).cast("int").alias("hi"), F.col("b").alias("lo"), "n", "sketch")
+    each = tiled.select("sign", "a", "b", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    return each.select("sign", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", F.col("a").bitwiseAND(0xFFFF).cast("int").alias("hi"), F.col("b").alias("lo"))
 
 
-def tile_pairs(groups: DataFrame, percent: int, forest: bool) -> DataFrame:
+def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs of a tile group whose sketches allow a link; with ``forest`` a spanning forest of them, else those of different components (column c)."""
     names = ["sign", "i", "j", "tile", "hi", "lo", "n", "sketch", *([] if forest else ["ch", "cl"])]
-    rows = groups.select(*names).repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "hi", "lo")
+    rows = groups.join(nodes.select("hi", "lo", "n", "sketch"), ["hi", "lo"]).select(*names).repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "hi", "lo")
 
     def pairs(t: pa.Table) -> list[tuple]:
         get = lambda c: t.column(c).to_numpy()
@@ -375,15 +384,15 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep[i] = int(np.bitwise_count(one ^ two).sum()) <= most_different(int(n[i]), int(m[i]), percent)
             yield batch.select(["xh", "xl", "yh", "yl"]).filter(pa.array(keep))
 
-    sized = pairs.join(x, ["xh", "xl"]).join(y, ["yh", "yl"])
+    sized = pairs.join(x, ["xh", "xl"]).join(y, ["yh", "yl"]).where(F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
     return sized.select("xh", "xl", "xn", "xv", "yh", "yl", "yn", "yv").mapInArrow(run, PAIR)
 
 
-def links(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, percent: int, near: bool) -> DataFrame:
+def links(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, percent: int, near: bool, scratch: Scratch) -> DataFrame:
     """The pairs of nodes whose sets are similar, checked exactly; ``near``: by sizes and sketches first."""
-    pairs = checkpoint((_near(pairs, nodes, percent) if near else pairs).distinct())
+    pairs = scratch.keep((_near(pairs, nodes, percent) if near else pairs).distinct())
     ends = pairs.select(F.col("xh").alias("hi"), F.col("xl").alias("lo")).unionByName(pairs.select(F.col("yh").alias("hi"), F.col("yl").alias("lo"))).distinct()
-    wanted = checkpoint(nodes.select("id", "hi", "lo").join(ends, ["hi", "lo"]))
+    wanted = scratch.keep(nodes.select("id", "hi", "lo").join(ends, ["hi", "lo"]))
     x, y = _ends(_sets_of(source, wanted, k), "found")
 
     def run(batches):
@@ -403,12 +412,12 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(node("x").alias("u"), node("y").alias("v"))
 
 
-def candidates(source: DataFrame, k: int, percent: int, most: int, rounds: int) -> tuple[DataFrame | None, DataFrame]:
+def candidates(source: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
     """Pairs from small buckets, and the rows of the sets that are left after the rounds (with n and sketch)."""
     found, hot = None, []
     for _ in range(rounds):
         while True:
-            made = checkpoint(small_buckets(signature_rows(source, k, percent, hot, False), most).distinct())
+            made = scratch.keep(small_buckets(signature_rows(source, k, percent, hot), most, percent).distinct())
             signs = made.where("xh = -1").select("xl").limit(MOST_HOT + 1).toArrow().column("xl").to_numpy()
             if len(signs) <= MOST_HOT:
                 break
@@ -418,29 +427,32 @@ def candidates(source: DataFrame, k: int, percent: int, most: int, rounds: int)
         hot = [*hot, np.sort(signs.view(np.uint64))]
         if not len(signs):
             break
-    return found, signature_rows(source, k, percent, hot, True)
+    return found, signature_rows(source, k, percent, hot)
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, most: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every row."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpoint(documents_to_nodes(source, k))
-    nodes = checkpoint(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-
-    pairs, left = candidates(source, k, percent, most, rounds)
-    groups = checkpoint(tile_groups(left))
-    pairs = _near(pairs, nodes, percent).unionByName(tile_pairs(groups, percent, forest=True))
-    star = stars(_edges(links(pairs, source, nodes, k, percent, near=False)))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(documents_to_nodes(source, k))
+    nodes = scratch.keep(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    pairs, left = candidates(source, k, percent, most, rounds, scratch)
+    groups = scratch.keep(tile_groups(left, scratch))
+    pairs = _near(pairs, nodes, percent).unionByName(tile_pairs(groups, nodes, percent, forest=True))
+    star = stars(_edges(links(pairs, source, nodes, k, percent, near=False, scratch=scratch)))
     if groups.limit(1).count():
         root = star.select("u.hi", "u.lo", F.col("v.hi").alias("ch"), F.col("v.lo").alias("cl"))
         labelled = groups.join(root, ["hi", "lo"], "left").withColumns({"ch": F.coalesce("ch", "hi"), "cl": F.coalesce("cl", "lo")})
-        open_pairs = checkpoint(tile_pairs(labelled, percent, forest=False).distinct())
+        open_pairs = scratch.keep(tile_pairs(labelled, nodes, percent, forest=False).distinct())
         if open_pairs.limit(1).count():
-            star = stars(star.unionByName(_edges(links(open_pairs, source, nodes, k, percent, near=False))))
+            star = stars(star.unionByName(_edges(links(open_pairs, source, nodes, k, percent, near=False, scratch=scratch))))
 
     member = star.unionByName(star.select(F.col("v").alias("u"), "v").distinct()).select("u.hi", "u.lo", F.col("v").alias("root"))
     rooted = nodes.select("hi", "lo", "id").join(member, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     component = rooted.join(least, "root").select("hi", "lo", "component_id")
     some = rows.where("n > 0").select("id", "n", "hi", "lo").join(component, ["hi", "lo"], "left").select("id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    linked = checkpoint(some.unionByName(rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))))
+    scratch.remove()
+    return linked
