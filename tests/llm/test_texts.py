@@ -116,7 +116,7 @@ def test_decontamination(spark, monkeypatch):
 def test_held_out_accuracy(spark, name, target, folds, held, threshold, least):
     import zlib
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # sf0.01 has only some 300 labels
     got = {r["doc_id"]: r for r in registry.queries()[name](spark, sf).collect()}
     labels = {r["doc_id"]: r[target] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
