@@ -9,7 +9,8 @@ template's words is ``altered``; others are not reported. Every confirmed passag
 reported that holds a cue and does not overlap a better one, however many a line has:
 that which has the most words in common less the differences, of equals that with the
 longer template, then that whose template as a raw zstandard dictionary makes the
-compressed passage smaller by most.
+compressed passage smaller by most. Templates are short notices, source headers and full
+texts. Every license that an SPDX tag names is a row of its own, ``exact``.
 
 Defined results: null and empty texts give no rows, nor do empty tables; repeated rows
 give rows each; start and length are those of the passage, in characters.
@@ -27,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.llm.license_forms import more_forms
+
 #: Short notices by which texts state their license, and the words that announce one.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -47,17 +50,22 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Reserved": "All rights reserved.",
 }
-CUES = r"licen[sc]e|copyright|rights\s+reserved|public\s+domain|source\s+code\s+form|\bcc0\b"
+CUES = r"licen[sc]e|copyright|rights\s+reserved|public\s+domain|source\s+code\s+form|\bcc0\b|permission\s+(?:is|to)\b|hereby\s+granted|redistribut|as\s+is\b|free\s+software|without\s+(?:any\s+)?warrant|general\s+public|\bspdx-"
 
 #: Share of words in which an altered notice may differ, and the level of compression.
 ALTERED, LEVEL = 0.25, 3
 SCHEMA = "doc_id long, start int, length int, license string, status string, reduction double, missing_words int, added_words int"
 
 #: Every wording that is looked for, with its license.
-FORMS = list(TEMPLATES.items())
+FORMS = list(TEMPLATES.items()) + more_forms()
 
 _CUE = re.compile(CUES, re.IGNORECASE)
 _WORD = re.compile(r"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*", re.IGNORECASE)
+#: An expression: names joined by operators, in brackets; an exception that follows WITH is no license.
+_NAME = r"[ \t]*(?P<open>\(?[ \t(]*)(?P<name>[A-Za-z0-9][A-Za-z0-9.:-]*\+?)[ \t)]*"
+_STATED = re.compile(_NAME), re.compile(r"(?P<how>AND|OR|WITH)\b" + _NAME, re.IGNORECASE)
+_VERSIONS = re.compile(r"(?:-only|-or-later|\+)$", re.IGNORECASE)
 _ONE, _FAR = 1 << 32, 1 << 31
 
 
@@ -169,8 +177,9 @@ def passages(text: str) -> list[tuple[int, int, str, str, float, int, int]]:
     """Start, length, license, status, reduction, missing and added words of every notice, in order."""
     number = _index()[0]
     spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    tags = _tags(text)
     if len(spans) < 2:
-        return []
+        return tags
     words = np.array([number.get(text[a:b].lower(), -1) for a, b in spans], np.int64)
     taken, found = np.zeros(len(words), bool), []
     while True:  # again, as what overlapped a better passage may be one without the shared words
@@ -181,7 +190,28 @@ def passages(text: str) -> list[tuple[int, int, str, str, float, int, int]]:
                 first, last = spans[a][0], spans[b - 1][1]
                 found.append((first, last - first, FORMS[f][0], "altered" if missing + added else "exact", -order[2], missing, added))
         if len(found) == before:
-            return sorted(found)
+            return sorted(found + tags)
+
+
+def _tags(text: str) -> list[tuple]:
+    """Rows of the licenses that SPDX tags name."""
+    plain = _compressor(None)
+    names = {name.lower(): name for name, _ in FORMS}
+    found = []
+    for tag in _TAG.finditer(text):
+        one, how = _STATED[0].match(text, tag.end()), None
+        while one:
+            if how != "WITH":
+                stated = one["name"].rstrip(".:")
+                base = _VERSIONS.sub("", stated)
+                name = names.get(base.lower(), stated)
+                block = text[tag.start() : one.end("name")].lower().encode()
+                given = _compressor(f"SPDX-License-Identifier: {stated}")
+                gain = 1 - len(given.compress(block)) / len(plain.compress(block))
+                found.append((one.start("name"), len(stated), name, "exact", gain, 0, 0))
+            one = _STATED[1].match(text, one.end())
+            how = one and one["how"].upper()
+    return found
 
 
 def identify(block: str) -> tuple[str, str, float, int, int] | None:
