@@ -35,19 +35,19 @@ class Open:
     def bandwidth(self) -> float:
         return max(m[5] for m in self.members)
 
-    def takes(self, m: tuple) -> bool:
-        return m[0] - self.last_t <= WINDOW_S and abs(m[4] - self.freq) <= max(TOLERANCE_HZ, (m[5] + self.bandwidth) / 4)
+    def takes(self, m: tuple, window_s: float = WINDOW_S) -> bool:
+        return m[0] - self.last_t <= window_s and abs(m[4] - self.freq) <= max(TOLERANCE_HZ, (m[5] + self.bandwidth) / 4)
 
     def seen(self, m: tuple) -> bool:
         """Whether this sensor already has a member at another time: the next cycle."""
         return any(o[1:3] == m[1:3] and abs(o[0] - m[0]) > SIMULTANEOUS_S for o in self.members)
 
 
-def step(open_groups: list[Open], rows: list[tuple], now: float | None) -> tuple[list[Open], list[Open]]:
+def step(open_groups: list[Open], rows: list[tuple], now: float | None, window_s: float = WINDOW_S) -> tuple[list[Open], list[Open]]:
     """Groups that stay open, and those that closed, by last time and frequency."""
     groups, closed = list(open_groups), []
     for m in sorted(rows, key=lambda m: (m[0], m[1], m[6])):
-        found = next((g for g in groups if g.takes(m)), None)
+        found = next((g for g in groups if g.takes(m, window_s)), None)
         if found is not None and found.seen(m):
             groups.remove(found)
             closed.append(found)
@@ -57,8 +57,8 @@ def step(open_groups: list[Open], rows: list[tuple], now: float | None) -> tuple
             groups.append(found)
         found.members.append(m)
     if now is not None:
-        late = [g for g in groups if now - g.last_t > WINDOW_S]
-        groups = [g for g in groups if now - g.last_t <= WINDOW_S]
+        late = [g for g in groups if now - g.last_t > window_s]
+        groups = [g for g in groups if now - g.last_t <= window_s]
         closed += late
     return groups, sorted(closed, key=lambda g: (g.last_t, g.freq))
 
@@ -72,7 +72,7 @@ def islands(bearings: DataFrame, gap_hz: float) -> DataFrame:
     return bearings.join(numbered, "freq_hz")
 
 
-def group_snapshots(bearings: DataFrame, step_s: float = 1.0, gap_hz: float = 12_000.0) -> DataFrame:
+def group_snapshots(bearings: DataFrame, step_s: float = 1.0, gap_hz: float = 12_000.0, window_s: float = WINDOW_S) -> DataFrame:
     """One row per member of each closed group. ``bearings``: t, source_id, sensor_id, bearing_deg, freq_hz, bandwidth_hz, observation_id."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,10 +84,10 @@ def group_snapshots(bearings: DataFrame, step_s: float = 1.0, gap_hz: float = 12
             end = at
             while end < len(rows) and rows[end][0] < now:
                 end += 1
-            groups, closed = step(groups, rows[at:end], now)
+            groups, closed = step(groups, rows[at:end], now, window_s)
             out += closed
             at = end
-        out += step(groups, [], float("inf"))[1]
+        out += step(groups, [], float("inf"), window_s)[1]
         island = int(pdf["island"].iloc[0])
         made = [(island, i, g.last_t, g.freq, g.bandwidth, int(m[6])) for i, g in enumerate(out) for m in g.members]
         return pd.DataFrame(made, columns=[c.split()[0] for c in SCHEMA.split(", ")])

@@ -104,16 +104,23 @@ def locate(lat, lon, bearing, sigma, sensor, basis) -> list[dict]:
     return found[0][2]
 
 
-def fixes(members: DataFrame) -> DataFrame:
-    """Fixes of each group. ``members``: group_id, sensor, lat, lon, bearing_deg, sigma_deg (null: unreported), basis."""
+def fixes(members: DataFrame, by: str = "group_id") -> DataFrame:
+    """Fixes of each group. ``members``: group_id, sensor, lat, lon, bearing_deg, sigma_deg (null: unreported), basis; groups with one value of ``by`` are handled together."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = locate(*(pdf[c].to_numpy(float) for c in ("lat", "lon", "bearing_deg", "sigma_deg")), pdf["sensor"].to_numpy(str), list(pdf["basis"]))
+        pdf = pdf.sort_values(["group_id", "sensor", "bearing_deg"], kind="stable")
+        ids, columns = pdf["group_id"].to_numpy(), [pdf[c].to_numpy(float) for c in ("lat", "lon", "bearing_deg", "sigma_deg")]
+        sensor, basis = pdf["sensor"].to_numpy(str), list(pdf["basis"])
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
         get = lambda f, c: f.get(c)
-        rows = [(int(pdf["group_id"].iloc[0]), i, get(f, "reason"), get(f, "basis"), *(get(f, c) for c in ("lat", "lon", "ee", "en", "nn")), len(pdf)) for i, f in enumerate(made)]
+        rows = []
+        for a, b in itertools.pairwise(cuts):
+            made = locate(*(c[a:b] for c in columns), sensor[a:b], basis[a:b])
+            rows += [(int(ids[a]), i, get(f, "reason"), get(f, "basis"), *(get(f, c) for c in ("lat", "lon", "ee", "en", "nn")), b - a) for i, f in enumerate(made)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return members.groupBy("group_id").applyInPandas(run, SCHEMA)
+    # few rows but much work for each: as many tasks as the session shuffles into
+    return members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).groupBy(by).applyInPandas(run, SCHEMA)
 
 
 def height(sensor_alt: np.ndarray, ground: np.ndarray, elevation: np.ndarray, sigma_e: np.ndarray, sigma_range: np.ndarray, radius: float) -> tuple[float, float] | None:

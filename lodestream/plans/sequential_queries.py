@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import geo_np
@@ -33,16 +32,35 @@ def snapshot_groups(spark, sf_dir):
     return grouping.group_snapshots(rows)
 
 
+def _cycles(o):
+    """All observations with the snapshot group that each is in: a channel for each entity, bearings up to a day apart, a sensor once a cycle."""
+    rows = o.select(
+        (F.col("t_us") / 1e6).alias("t"), "source_id", F.lit("").alias("sensor_id"), "bearing_deg",
+        (400e6 + F.col("entity") * 12500.0).alias("freq_hz"), F.lit(5000.0).alias("bandwidth_hz"), "observation_id",
+    )
+    groups = grouping.group_snapshots(rows, step_s=86400.0, window_s=86400.0).select("observation_id", F.col("group_id").alias("cycle"))
+    return o.join(groups, "observation_id").withColumn("group_id", F.col("entity") * 10_000_000 + F.col("cycle"))
+
+
+def _members(spark, o, shift: float = 0.0):
+    """Bearings from each source's site to the entity's place, or to one that lies ``shift`` degrees south and east of it."""
+    lat, lon = 50.0 + (F.col("entity") % 17) * 0.01 - shift, 10.1 + (F.col("entity") % 13) * 0.01 + shift
+    sited = o.join(_sites(spark, o), "source_id")
+    true = F.degrees(F.atan2((lon - F.col("s_lon")) * F.cos(F.radians(lat)), lat - F.col("s_lat")))
+    return sited.select("entity", "group_id", F.col("source_id").alias("sensor"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.pmod(true + (F.col("k") % 5 - 2) * 0.5, F.lit(360.0)).alias("bearing_deg"), "sigma_deg", "basis")
+
+
 @query("bearing_fix")
 def bearing_fix(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    w = Window.partitionBy("group_id", "source_id").orderBy("observation_id")
-    one = o.withColumn("group_id", F.col("entity") * 100_000 + F.floor(F.col("t_us") / 864e8).cast("long") % 100_000).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    lat, lon = 50.0 + (F.col("entity") % 17) * 0.01, 10.1 + (F.col("entity") % 13) * 0.01
-    sited = one.join(_sites(spark, o), "source_id")
-    true = F.degrees(F.atan2((lon - F.col("s_lon")) * F.cos(F.radians(lat)), lat - F.col("s_lat")))
-    members = sited.select("group_id", F.col("source_id").alias("sensor"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.pmod(true + (F.col("k") % 5 - 2) * 0.5, F.lit(360.0)).alias("bearing_deg"), "sigma_deg", "basis")
-    return locate.fixes(members)
+    """Fixes of all snapshot groups; every bearing is in one."""
+    return locate.fixes(_members(spark, _cycles(observations(spark, sf_dir))), by="entity")
+
+
+@query("cochannel_split")
+def cochannel_split(spark, sf_dir):
+    """The same groups where a second emitter shares the channel, so each sensor has two bearings in a group."""
+    o = _cycles(observations(spark, sf_dir))
+    return locate.fixes(_members(spark, o).unionByName(_members(spark, o, shift=0.1)), by="entity")
 
 
 @query("imm_tracks")
