@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree. Elements that never hold the article (scripts, menus, page
-headers and footers, sidebars, forms, notices, adverts, reader comments) are cut off.
+headers and footers, sidebars, forms, notices, adverts, reader comments) are cut off;
+they end as any element does, where their end tag or what implies it stands.
 Every node gets its composite density: characters per tag, scaled by a logarithm that
 falls as more of the characters stand in links. A node's density sum is that of its
 children. The node with the largest density sum is the core; the least density on its
@@ -32,30 +33,47 @@ ENDS_PARAGRAPH = BLOCKS - set("body html td th tr tbody thead tfoot caption li d
 ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NEVER = set("script style noscript template iframe object svg canvas math head title nav aside form button select textarea input label dialog audio video footer menu".split())
 NEVER_ROLES = set("navigation banner contentinfo search complementary dialog alert menu menubar toolbar form".split())
-NEVER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|"
-    r"comments?|disqus|replies|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|footer|masthead|site-header|page-header|toolbar|skip|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Whole class names and ids of what is no article, and words that are such by their beginning.
+NEVER_WORDS = set(
+    "ad ads adsense banner cookie cookies consent gdpr notice alert sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
+    "comment comments disqus replies share sharing social related newsletter subscribe signup login popup modal overlay footer masthead site-header page-header toolbar skip widget".split()
 )
+NEVER_STARTS = ("advert", "sponsor", "promo", "recommend")
+#: With these a compound name is still one of an unwanted part; with others (no-sidebar, with-comments) it is a mark on what may hold the article.
+NEUTRAL = set("site page box block slot unit area bar link links list item items button buttons icons section inner form posts wrap wrapper container".split())
+HEAD = set("title meta link base script style noscript template head".split())
 CONTAINERS = set("article main section div body html td center".split())
 HOLDS_ARTICLE = {"article", "main", "body", "html"}
+FOREIGN, SCOPES = {"svg", "math"}, {"table", "object", "template", "svg", "math"}
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "density_sum", "link_chars", "links", "parent", "tag", "tags")
+    __slots__ = ("children", "chars", "cut", "density", "density_sum", "link_chars", "links", "parent", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False) -> None:
+        self.tag, self.parent, self.children, self.cut = tag, parent, [], cut
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.density_sum = 0.0
 
 
+def _unwanted(value: str) -> bool:
+    """Whether one of the class names or ids is that of a part that holds no article."""
+    is_word = lambda w: w in NEVER_WORDS or w.startswith(NEVER_STARTS)
+    for token in value.lower().split():
+        if token in NEVER_WORDS:
+            return True
+        parts = re.split(r"[_-]+", token)
+        if any(map(is_word, parts)) and all(is_word(w) or w in NEUTRAL for w in parts):
+            return True
+    return False
+
+
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
-        self.skipping: list[str] = []
+        self.foreign = False
 
     def _close(self, tags: set[str], within: set[str] = frozenset()) -> None:
         """End the nearest open element of ``tags``, unless one of ``within`` is nearer."""
@@ -68,26 +86,29 @@ class _Tree(HTMLParser):
             self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipping:
-            if tag == self.skipping[-1] and tag not in VOID:
-                self.skipping.append(tag)
-            return
+        if tag == "body":
+            self._close({"head"})
+        elif self.at.tag == "head" and tag not in HEAD:
+            self.at = self.at.parent
+        if self.foreign and tag in BLOCKS:
+            self._close(FOREIGN, {"foreignobject", "desc", "annotation-xml"})
+        self.foreign |= tag in FOREIGN
         if tag in ENDS_PARAGRAPH:
             self._close({"p"}, {"td", "th", "button", "table", "article", "section", "div", "blockquote"})
         if tag in ENDS_LIKE:
             self._close(*ENDS_LIKE[tag])
-        if self._never(tag, attrs):
-            if tag not in VOID:
-                self.skipping.append(tag)
-            self.at.children.append("\n" if tag in BLOCKS else " ")
-            return
-        node = Node(tag, self.at)
+        node = Node(tag, self.at, self.at.cut or self._never(tag, attrs))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        node = self.at if self.foreign else None
+        while node is not None and node.tag not in FOREIGN:
+            node = node.parent
+        if node is not None and self.at.tag == tag:
+            self.at = self.at.parent
 
     def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
@@ -102,22 +123,21 @@ class _Tree(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if value and (name == "role" and value.lower() in NEVER_ROLES or name in ("class", "id") and NEVER_WORDS.search(value)):
+            if value and (name == "role" and value.lower() in NEVER_ROLES or name in ("class", "id") and _unwanted(value)):
                 return True
         return False
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipping:
-            if tag == self.skipping[-1]:
-                self.skipping.pop()
-            return
         if tag == "br":
-            self.at.children.append(" ")
+            if not self.at.cut:
+                self.at.children.append(" ")
         elif tag not in VOID:
-            self._close({tag}, {"table"} if tag not in HOLDS_ARTICLE and tag != "table" else frozenset())
+            self._close({tag}, SCOPES - {tag} if tag not in HOLDS_ARTICLE else frozenset())
 
     def handle_data(self, data: str) -> None:
-        if not self.skipping:
+        if self.at.tag == "head" and data.strip():
+            self.at = self.at.parent
+        if not self.at.cut:
             self.at.children.append(data)
 
 
@@ -125,6 +145,8 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    for node in _in_order(tree.root):
+        node.children = [("\n" if c.tag in BLOCKS else " ") if isinstance(c, Node) and c.cut else c for c in node.children]
     return tree.root
 
 
