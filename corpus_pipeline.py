@@ -27,10 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: that with the least id."""
-    linked = ngram_join.link_documents(docs).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(linked, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component of the n-gram Jaccard join: that with the least id, null last; rows are linked each by its own text, also where ids repeat."""
+    rows = checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
+    linked = ngram_join.link_documents(rows, id_col="__row").select(F.col("id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    kept = rows.select("doc_id", "__row").join(linked, "__row").groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
