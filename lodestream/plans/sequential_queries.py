@@ -115,9 +115,10 @@ def on_road(spark, sf_dir):
     o = observations(spark, sf_dir)
     places = o.select("entity", "observation_id", ((F.col("entity") * 733 + F.col("k") * 37) % 10007).cast("double").alias("x"), ((F.col("entity") * 397 + F.col("k") * 11) % 9001).cast("double").alias("y"))
     seg = F.broadcast(M.cells_of_segments(spark.createDataFrame(_SEGMENTS, "id int, ax double, ay double, bx double, by double"), 1000.0))
-    near = places.withColumn("ci", M.near_buckets(F.col("x"), 1000.0)).withColumn("cj", M.near_buckets(F.col("y"), 1000.0)).join(seg, ["ci", "cj"])
+    near = places.withColumn("ci", M.near_buckets(F.col("x"), 1000.0)).withColumn("cj", M.near_buckets(F.col("y"), 1000.0)).join(seg, ["ci", "cj"], "left")
     d = near.groupBy("entity", "observation_id").agg(F.min(M.point_segment_distance(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))).alias("d"))
     sigma, density = 150.0, 1 / 400.0
     llr = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.log(F.exp(-0.5 * F.pow(F.col("d") / sigma, 2)) / (sigma * 2.5066) / density + 1e-9)))
+    llr = F.when(F.col("d").isNull(), -3.0).otherwise(llr)  # no road near
     total = d.groupBy("entity").agg(F.sum(llr).alias("s"), F.count("*").alias("n")).where("n >= 3")
     return total.select("entity", "n", F.round(1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("s"))))), 6).alias("on_road"))
