@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where that is unset a temporary folder, but only with a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestream-checkpoint-"))
+        given = context.getConf().get("spark.checkpoint.dir")
+        if given is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="lodestream-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -48,6 +51,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_name(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one where ``df`` has such a column (in any case of letters)."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def text_of(column: str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

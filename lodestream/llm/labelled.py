@@ -15,7 +15,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, held_out
     """Texts and labels (0 or 1) of at most ``per_class`` documents of each label, none of the held-out fold.
 
     Ids are taken in the order of a hash, so a sample is the same on every run; an id
-    that is labelled both ways is left out, and of repeated documents one is used.
+    that is labelled both ways is left out, and of documents that share an id the greatest text is used.
     """
     known = (
         labels.where(F.col(target).isin(0, 1) & (fold(F.col(id_col), folds) != held_out))
@@ -29,6 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, held_out
         chosen = some if chosen is None else chosen.unionByName(some)
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "id long, label int")  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    rows = {r["id"]: (r["text"], r["label"]) for r in sorted(texts.collect(), key=lambda r: r["text"])}
+    one = texts.groupBy("id").agg(F.max("text").alias("text"), F.first("label").alias("label"))  # an id that repeats comes to the driver once
+    rows = {r["id"]: (r["text"], r["label"]) for r in one.collect()}
     ordered = [rows[i] for i in sorted(rows)]
     return [t for t, _ in ordered], [y for _, y in ordered]

@@ -9,8 +9,11 @@ Defined results: turns are ordered by number, then role, then text; null role an
 text count as empty; a conversation without its partner is rendered as a prompt-less
 completion with status ``unpaired``; a pair without any difference has two empty
 completions and status ``identical``; rows without a conversation id belong to no
-conversation. An empty table gives no rows. A marker inside a text is broken by a
-space after ``<``, so no text can forge a turn.
+conversation. An empty table gives no rows; rows that repeat are turns that repeat.
+A marker inside a text is broken by a space after ``<``, so no text can forge a turn.
+Only the four columns are read, so names of others cannot clash. A pair is one row of the
+result with its rendered texts, so its turns meet in one task: what a row may hold (2 GB)
+bounds them, and only turns move, once.
 """
 
 from __future__ import annotations

@@ -10,9 +10,12 @@ that the five words from here on stood in the text before.
 A filter bank over one-hot bytes is a sum of table rows, so convolution is ``WIDTH``
 gathers per byte. Memory is bounded by ``BLOCK`` bytes, or one text if that is longer.
 
-It is fitted on at most ``PER_CLASS`` labelled texts per label (whole texts). Without
-labelled rows every score is the prior, 0.5. Null and empty texts have no bytes and get
-the score of the biases. Only the text is an input.
+It is fitted on at most ``PER_CLASS`` labelled texts per label (whole texts).
+
+Defined results: null and empty texts have no bytes and get the score of the biases alone;
+without labelled rows scores come from the unfitted network. Rows that repeat get the same
+score each; an empty table gives no rows; very long texts are read in full. Only the text
+is an input, other columns are passed on as they are, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestream.llm.labelled import sample
 from lodestream.llm.words_np import IS_SPACE, blocks, grams, row_ranges, run_hashes, runs
@@ -195,15 +197,13 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def score_rows(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "__score") -> DataFrame:
-    """All columns of ``docs`` and the score of each row."""
-    names, at = docs.columns, docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+def accepted(docs: DataFrame, network: Network, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns."""
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             found = [*network.scores(batch.column(at))]
-            values = np.concatenate(found).astype(np.float64) if found else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, score_col])
+            yield batch.filter(pa.array(np.concatenate(found) >= threshold)) if found else batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -41,14 +41,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
     turns = table(spark, sf_dir, "conversations")
-    pairs = preference.format_pairs(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0)
+    pairs = preference.format_pairs(turns, F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)) == 0)
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["from"].cast("string"), s["to"].cast("string"))), ";")
     return pairs.withColumns({"chosen_spans": joined(F.col("chosen_spans")), "rejected_spans": joined(F.col("rejected_spans"))})
 
 
 OP6_SQL = """
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, ((conv_id % 2) + 2) % 2 = 0 AS is_chosen, conv_id,
+  SELECT (conv_id - ((conv_id % 2) + 2) % 2) // 2 AS pair_id, ((conv_id % 2) + 2) % 2 = 0 AS is_chosen, conv_id,
          coalesce(role, '') AS role, coalesce(text, '') AS text,
          replace(replace(coalesce(role, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS safe_role,
          replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS safe_text,

@@ -3,13 +3,21 @@
 A text's words (runs of letters, A-Z lower-cased) are cut into windows of ``WINDOW``
 words, each ``OVERLAP`` words into the next, so that the windows cover the whole text.
 A word enters as two vectors: one of a hashed word table and the mean of its character
-trigrams' vectors of a hashed table. Two gated recurrent passes, one in each direction,
-read a window; attention pools their states into one vector and a dense layer gives the
-window's probability. The score of a text is that of its most toxic window.
+trigrams' vectors of a hashed table. Words and trigrams of fewer than ``MIN_DOCS`` training
+texts have no vector of their own, so none of them can stand for a single text. Two gated
+recurrent passes, one in each direction, read a window; attention pools their states into
+one vector and a dense layer gives the window's probability. The score of a text is that
+of its most toxic window.
 
-Training is by multiple instances: a text's label holds for its highest windows. It uses
-at most ``PER_CLASS`` labelled texts per label (whole texts). Without labelled rows, and
-for texts without words, the score is that of the biases alone. Only the text is an input.
+Training is by multiple instances: a text's label holds for its highest windows. So that
+the first of these are no random ones, a word's vector starts from how much more often it
+stands in toxic training texts. Training uses at most ``PER_CLASS`` labelled texts per
+label (whole texts).
+
+Defined results: null and empty texts, and others without words, get the score of the
+biases alone; without labelled rows all words are unknown. Rows that repeat get the same
+score each; an empty table gives no rows. Only the id and the text are read, so names of
+other columns cannot clash; a null id stays null. Very long texts are read in full.
 """
 
 from __future__ import annotations
@@ -25,8 +33,12 @@ from lodestream.llm.labelled import sample
 from lodestream.llm.words_np import LOWER, blocks, mix64, row_ranges, run_hashes, runs
 
 WINDOW, OVERLAP = 48, 12
-WORD_SLOTS, CHAR_SLOTS, WORD_SIZE, CHAR_SIZE, HIDDEN = 1 << 13, 1 << 11, 8, 8, 8
-PER_CLASS, EPOCHS, BATCH, RATE, SEED = 900, 14, 48, 0.02, 11
+WORD_SLOTS, CHAR_SLOTS, WORD_SIZE, CHAR_SIZE, HIDDEN = 1 << 16, 1 << 14, 8, 8, 8
+PER_CLASS, EPOCHS, BATCH, RATE, SEED = 900, 10, 24, 0.02, 13
+#: Training texts in which a word or trigram must stand to be known, and the weight of a word's first evidence.
+MIN_DOCS, EVIDENCE = 3, 0.3
+#: How much more an error on a toxic text weighs, as these are fewer.
+TOXIC_WEIGHT = 2.0
 #: Windows that a text's label holds for, by label; decay of the tables; share of words whose own vector is hidden in training.
 TOP, DECAY, HIDE = (4, 1), 0.02, 0.3
 BLOCK = 1 << 19
@@ -82,8 +94,9 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
         self.p = {
-            "word": np.concatenate([draw(0.1, WORD_SLOTS, WORD_SIZE), np.zeros((1, WORD_SIZE), np.float32)]),  # the last slot: a hidden word
-            "char": draw(0.3, CHAR_SLOTS, CHAR_SIZE),
+            # the last slots: an unknown or hidden word, an unknown trigram
+            "word": np.concatenate([draw(0.01, WORD_SLOTS, WORD_SIZE), np.zeros((1, WORD_SIZE), np.float32)]),
+            "char": np.concatenate([draw(0.03, CHAR_SLOTS, CHAR_SIZE), np.zeros((1, CHAR_SIZE), np.float32)]),
             "in": draw(0.3, 2, WORD_SIZE + CHAR_SIZE, 3 * HIDDEN),
             "in_bias": np.zeros((2, 3 * HIDDEN), np.float32),
             "state": draw(0.3, 2, HIDDEN, 3 * HIDDEN),
@@ -91,6 +104,26 @@ class Network:
             "dense": draw(0.5, 2 * HIDDEN),
             "out": np.zeros(1, np.float32),
         }
+        self.known_words, self.known_grams = np.zeros(WORD_SLOTS, bool), np.zeros(CHAR_SLOTS, bool)
+
+    def _start(self, texts: list[str], y: np.ndarray) -> None:
+        """Find the known words and trigrams, and let words begin with what their training texts say."""
+        words, grams = np.zeros((WORD_SLOTS, 2)), np.zeros(CHAR_SLOTS)
+        for text, label in zip(texts, y.astype(int), strict=True):
+            x = _windows([text])
+            words[np.unique(x.slots), label] += 1
+            grams[np.unique(x.grams)] += 1
+        seen, share = words.sum(1), np.clip(y.mean(), 0.01, 0.99)
+        self.known_words, self.known_grams = seen >= MIN_DOCS, grams >= MIN_DOCS
+        toxic = (words[:, 1] + 4 * share) / (seen + 4)
+        evidence = np.clip(np.log(toxic / (1 - toxic)) - np.log(share / (1 - share)), -2, 4)
+        self.p["word"][:-1, 0] = EVIDENCE * evidence * self.known_words
+
+    def _known(self, x: Windows) -> Windows:
+        if len(x.slots):
+            x.slots = np.where(self.known_words[x.slots], x.slots, WORD_SLOTS)
+            x.grams = np.where(self.known_grams[x.grams], x.grams, CHAR_SLOTS)
+        return x
 
     def _vectors(self, x: Windows) -> np.ndarray:
         chars = np.empty((len(x.slots), CHAR_SIZE), np.float32)
@@ -173,6 +206,7 @@ class Network:
         np.add.at(g["word"], x.slots, to_vectors[:, :WORD_SIZE])
         count = np.bincount(x.gram_of, minlength=len(x.slots))
         np.add.at(g["char"], x.grams, (to_vectors[:, WORD_SIZE:] / np.maximum(count, 1)[:, None])[x.gram_of])
+        g["char"][CHAR_SLOTS] = 0
         return g
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
@@ -180,6 +214,7 @@ class Network:
             return self
         rng = np.random.default_rng(seed)
         y = np.asarray(labels, np.float32)
+        self._start(texts, y)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         for epoch in range(epochs):
@@ -187,7 +222,7 @@ class Network:
             rate = RATE * (1 - epoch / epochs) + 1e-3
             for start in range(0, len(order), BATCH):
                 rows = order[start : start + BATCH]
-                x = _windows([texts[i] for i in rows])
+                x = self._known(_windows([texts[i] for i in rows]))
                 if not len(x.text):
                     continue
                 p, _ = self.forward(x, np.arange(len(x.text)))
@@ -195,7 +230,7 @@ class Network:
                 place = np.arange(len(rank)) - x.text_start[x.text[rank]]
                 top = np.where(y[rows] > 0, TOP[1], TOP[0])
                 pick = rank[place < top[x.text[rank]]]
-                share = 1 / (np.minimum(x.per_text, top)[x.text[pick]] * len(rows))
+                share = np.where(y[rows] > 0, TOXIC_WEIGHT, 1.0)[x.text[pick]] / (np.minimum(x.per_text, top)[x.text[pick]] * len(rows))
                 x.slots = np.where(rng.random(len(x.slots)) < HIDE, WORD_SLOTS, x.slots)
                 step += 1
                 for k, grad in self.gradients(x, pick, y[rows][x.text[pick]], share.astype(np.float32)).items():
@@ -210,7 +245,7 @@ class Network:
 
     def scores(self, column: pa.Array) -> Iterator[np.ndarray]:
         for _, _, data, offsets in blocks(column, BLOCK):
-            x = Windows(data, offsets)
+            x = self._known(Windows(data, offsets))
             p, _ = self.forward(x, np.arange(len(x.text)))
             found = np.full(x.texts, _sigmoid(self.p["out"])[0], np.float64)
             full = np.flatnonzero(x.per_text)

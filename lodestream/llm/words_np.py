@@ -142,3 +142,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterator[
             yield grams(hashes[a:b], b - a)
         else:
             yield np.empty(0, np.uint64)
+
+
+def rolling(values: np.ndarray) -> np.ndarray:
+    """Sums from which ``windows_of`` gives the hash of any window of a sequence of numbers."""
+    up, _ = _POWERS.upto(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(mix64(values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+    return sums
+
+
+def windows_of(sums: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows of n numbers that begin at the places."""
+    _, down = _POWERS.upto(len(sums))
+    return mix64((sums[places + n] - sums[places]) * down[places])

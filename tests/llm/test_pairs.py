@@ -113,7 +113,7 @@ def test_stars_are_components(spark):
 @pytest.mark.parametrize("support", [0.001, 0.05, 0.5])
 def test_exact_dedup(spark, support):
     texts = ["hot"] * 300 + [f"t{i % 90}" for i in range(200)] + [None, "", "", "Hot", "é"]
-    table = [*rows(texts), (3, "hot", "en", "a", 1), (None, "null id", "en", "a", 1)]
+    table = [*rows(texts), (3, "hot", "en", "a", 1), (299, "hot", "en", "b", 2), (None, "hot", "en", "a", 1), (None, "null id", "en", "a", 1), (None, "null id", "en", "a", 1), (299, "t7", "en", "a", 1)]
     got = exact_dedup.exact_groups(spark.createDataFrame(table, SCHEMA), support=support).collect()
     groups = defaultdict(list)
     for r in table:
@@ -125,7 +125,18 @@ def test_exact_dedup(spark, support):
     assert Counter((r["id"], r["keep_id"], r["group_size"], bytes(r["digest"])) for r in got) == want
     kept = Counter(bytes(r["digest"]) for r in got if r["kept"])
     assert set(kept.values()) == {1} and len(kept) == len(groups)
-    assert exact_dedup.survivors(spark.createDataFrame(table, SCHEMA), support=support).where("doc_id is not null").count() == len(groups) - 1
+    clash = spark.createDataFrame(table, SCHEMA).withColumnsRenamed({"lang": "__row", "source": "digest", "n_chars": "r"})
+    left = exact_dedup.survivors(clash, support=support)
+    assert left.columns == clash.columns
+    assert Counter((r["doc_id"], r["text"] or "") for r in left.collect()) == Counter((max((i for i in ids if i is not None), default=None), t) for t, ids in by_text(table).items())
+    assert exact_dedup.exact_groups(clash.limit(0)).count() == exact_dedup.survivors(clash.limit(0)).count() == 0
+
+
+def by_text(table):
+    groups = defaultdict(list)
+    for r in table:
+        groups[r[1] or ""].append(r[0])
+    return groups
 
 
 def brute_capacity(sizes, n):
