@@ -4,17 +4,20 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before i
 ``run`` writes its rows as Parquet in the shared checkpoint folder and reads them again
 for the next one. All stages but the last return the columns of ``documents``; the last
 adds the shard, the slot and the size.
+
+Defined results of every stage: null and empty texts are documents without words; rows are
+judged each by its own text, also where ids repeat or are null; rows that repeat are copies;
+an empty table gives no rows; further columns are passed on, whatever their names (but for
+``shard``, ``slot`` and ``size``, which the last stage sets).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontaminate, mixing, ngram_join, quality_cnn, sharding
-from lodestream.llm.common import checkpoint, shared_folder, table
+from lodestream.llm.common import Scratch, checkpoint, fresh_name, table
 
 #: Documents whose score is under it are rejected.
 QUALITY = 0.3
@@ -23,16 +26,17 @@ QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network does not reject; fitted on labelled documents of the input."""
     network = quality_cnn.train(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
-    return quality_cnn.score_rows(docs, network).where(F.col("__score") >= QUALITY).drop("__score")
+    return quality_cnn.accepted(docs, network, QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of the n-gram Jaccard join: that with the least id, null last; rows are linked each by its own text, also where ids repeat."""
-    rows = checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
-    linked = ngram_join.link_documents(rows, id_col="__row").select(F.col("id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
-    kept = rows.select("doc_id", "__row").join(linked, "__row").groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    key = fresh_name("__row", docs)
+    rows = Scratch(spark).keep(docs.withColumn(key, F.monotonically_increasing_id()))
+    linked = ngram_join.link_documents(rows, id_col=key).select(F.col("id").alias(key), F.col("component_id").alias("__component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))).alias("first")
+    kept = rows.select("doc_id", key).join(linked, key).groupBy("__component").agg(first).select(F.col("first.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +68,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    scratch = Scratch(spark)
+    try:
+        for _, stage in STAGES[:-1]:
+            docs = scratch.keep(stage(spark, docs, sf_dir))
+        return checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        scratch.remove()
