@@ -15,11 +15,14 @@ data. Among the cuts that keep the capacity, those nearest to an even split of
 what remains are taken.
 
 Everything on the executors is DataFrame operations. Slots are numbered in two
-levels (counts by sub-block, then ranks inside a sub-block), and heavy groups are
-salted by their ids, so no task holds a whole shard or a whole hot group.
+levels (counts by sub-block, then ranks inside a sub-block). Sub-blocks are as many as
+keep ``BLOCK_ROWS`` rows each on average, and heavy groups are salted row by row, so no
+task holds a whole shard or a whole hot group, whatever its ids.
 
 Defined results: null text has no bytes and counts as empty text; an empty table
-gives no rows; repeated rows get slots of their own.
+gives no rows; rows that repeat, have no id or share one get slots of their own; very
+long texts are groups like others. ``shard_rows`` passes other columns on whatever their
+names, but for ``size``, ``shard`` and ``slot``, which it sets.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import checkpoint, sha60, text_of
+from lodestream.llm.common import Scratch, checkpoint, sha60, text_of
 
 N_SHARDS = 24
 HEAVY_PARTS = 1024
-KEY_BITS, BLOCK_BITS, SLOT_BITS, SALTS = 60, 14, 12, 64
+KEY_BITS, BLOCK_BITS, SLOT_BITS = 60, 14, 12
+#: Rows of a sub-block on average, where there are more than 2^SLOT_BITS of them.
+BLOCK_ROWS = 1 << 15
 #: Groups that may be read to the driver at once, and the bits by which blocks are split while there are more.
 MOST_GROUPS, FINER_BITS = 100_000, 6
 
@@ -197,40 +202,48 @@ def plan(groups: DataFrame, n_shards: int) -> tuple[dict[int, int], list[tuple[i
 
 def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = N_SHARDS, row_bytes: int = 8) -> DataFrame:
     """One row per input row: id, size, crc, shard, slot; a row's size is its UTF-8 bytes and ``row_bytes``."""
-    text = text_of(text_col)
-    rows = checkpoint(docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + F.lit(row_bytes)).alias("size"), F.crc32(text).alias("crc"), sha60(F.sha2(text, 256)).alias("k")))
-    return _slots(_placed(rows, rows, n_shards)).select("id", "size", "crc", "shard", "slot")
+    rows = checkpoint(docs.select(*_keys(id_col, text_col, row_bytes), F.crc32(text_of(text_col)).alias("crc")))
+    return _slots(_placed(rows, n_shards)).select("id", "size", "crc", "shard", "slot")
 
 
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = N_SHARDS, row_bytes: int = 8) -> DataFrame:
     """The rows of ``docs`` with size, shard and slot."""
-    text = text_of(text_col)
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + F.lit(row_bytes)).alias("size"), sha60(F.sha2(text, 256)).alias("k"))
-    placed = _slots(_placed(keyed, checkpoint(keyed.select("k", "size")), n_shards))
+    rows = Scratch(docs.sparkSession).keep(docs.select(*_keys(id_col, text_col, row_bytes), F.struct(*docs.columns).alias("row")))
+    placed = _slots(_placed(rows, n_shards))
     return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot")
 
 
-def _placed(rows: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
-    """``rows`` (with k) and their shard; ``sizes``: k and size of all rows."""
+def _keys(id_col: str, text_col: str, row_bytes: int) -> list[Column]:
+    """What places a row; r is a number of its own, kept with it."""
+    text = text_of(text_col)
+    return [F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + F.lit(row_bytes)).alias("size"), sha60(F.sha2(text, 256)).alias("k"), F.monotonically_increasing_id().alias("r")]
+
+
+def _placed(rows: DataFrame, n_shards: int) -> DataFrame:
+    """``rows`` (with k, size and r) and their shard and sub-block."""
     spark = rows.sparkSession
-    groups = sizes.groupBy("k").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("k").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     heavy_shard, firsts, _ = plan(groups, n_shards)
+    total = rows.count()
+    bits = max(SLOT_BITS, (total // BLOCK_ROWS).bit_length())
 
+    # at most HEAVY_PARTS rows
     heavy = F.broadcast(spark.createDataFrame(list(heavy_shard.items()), "k long, heavy_shard int"))
     light_shard = F.lit(0)
     for key, shard in firsts:
         light_shard = F.when(F.col("k") >= F.lit(key), F.lit(shard)).otherwise(light_shard)
+    is_heavy = F.col("heavy_shard").isNotNull()
     return (
         rows.join(heavy, "k", "left")
         .withColumn("shard", F.coalesce("heavy_shard", light_shard).cast("int"))
-        .withColumn("head", F.when(F.col("heavy_shard").isNotNull(), F.col("k")).otherwise(F.lit(1 << KEY_BITS)))
-        .withColumn("sub", F.when(F.col("heavy_shard").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.shiftright("k", KEY_BITS - SLOT_BITS)))
+        .withColumn("head", F.when(is_heavy, F.col("k")).otherwise(F.lit(1 << KEY_BITS)))
+        .withColumn("sub", F.when(is_heavy, F.pmod(F.xxhash64("r"), F.lit(max(64, total // BLOCK_ROWS)))).otherwise(F.shiftright("k", KEY_BITS - bits)))
     )
 
 
 def _slots(placed: DataFrame) -> DataFrame:
-    # at most 2^12 blocks, each cut by a shard's edge or not, and 64 salts of 1024 heavy groups: a bounded table
     before = Window.partitionBy("shard").orderBy("head", "sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "head", "sub").count().select("shard", "head", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "head", "sub").orderBy("k", "id")
-    return placed.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(offsets), ["shard", "head", "sub"]).withColumn("slot", F.col("first") + F.col("rank") - 1)
+    inside = Window.partitionBy("shard", "head", "sub").orderBy("k", "id", "r")
+    # the join's keys are the window's, so the rows do not move again; how many sub-blocks there are grows with the rows, so none is told to broadcast them
+    return placed.withColumn("rank", F.row_number().over(inside)).join(offsets, ["shard", "head", "sub"]).withColumn("slot", F.col("first") + F.col("rank") - 1)

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import exact_dedup, mixing, ngram_join, sharding
 from lodestream.llm.components import stars
@@ -181,10 +182,23 @@ def test_sharding(spark, monkeypatch):
         loads[r["shard"]] += r["size"]
     assert max(loads.values()) <= brute_capacity([groups[k] for k in order], 6)
     assert sharding.shard_by_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
-    clash = docs.withColumnRenamed("lang", "k").withColumnRenamed("n_chars", "size")
+    clash = docs.withColumnsRenamed({"lang": "k", "n_chars": "size"}).withColumn("r", F.lit("clash"))
     assert sharding.shard_rows(clash, n_shards=6).count() == len(texts)
 
 
+def test_sharding_of_equal_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 4)  # many salts and sub-blocks
+    table = [(None if i % 3 else 5, "hot " * 9 if i % 2 else f"text {i % 40} " * 4, "en", "a", 0) for i in range(600)]
+    docs = spark.createDataFrame(table * 2, SCHEMA)
+    rows_ = sharding.shard_rows(docs, n_shards=6).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows_) == Counter((t[0], t[1]) for t in table * 2)
+    slots = defaultdict(list)
+    for r in rows_:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len({r["shard"] for r in rows_ if r["text"] == t}) == 1 for t in {r["text"] for r in rows_})
+
+
 def test_sainte_lague_takes_the_highest_quotients():
     rng = random.Random(4)
     for _ in range(40):
@@ -218,6 +232,16 @@ def test_mixing(spark):
         by_id[r["id"]] = r
         assert r["taken"] <= 3 * r["size"] and abs(r["target"] - float(goal[r["source"]])) < 1e-6 and r["source_size"] == words[r["source"]]
     assert sum(goal.values()) == sum(words.values()) and all(g <= 3 * words[k] for k, g in goal.items())
+    found, block = mixing.shares(words)
+    for share in found:  # every shard takes its quota of blocks, but for the last block of a round, which may be short
+        by_shard = Counter()
+        for r in got:
+            if r["source"] == share.key:
+                for p in r["pieces"]:
+                    assert 0 <= p["from"] and p["from"] + p["words"] <= r["size"]
+                    by_shard[p["shard"]] += p["words"]
+        assert all(abs(by_shard[t] - q * block) <= block * 3 for t, q in enumerate(share.by_shard))
+        assert sum(by_shard.values()) == taken[share.key]
     for k in order:
         assert abs(taken[k] - goal[k]) <= max(2 * mixing.BLOCK_WORDS, 0.02 * goal[k])
     mixed = Counter()
@@ -226,6 +250,26 @@ def test_mixing(spark):
     assert mixed == Counter({i: r["taken"] for i, r in by_id.items() if r["taken"]})
 
 
+def test_mixing_is_brute_force(spark, monkeypatch):
+    """Each word of the seeded streams by hand; ids repeat and are null, names clash, one text is long."""
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    rng = random.Random(3)
+    table = [(None if i % 5 == 0 else i // 2, " ".join(f"{i}.{j}" for j in range(5000 if i == 7 else rng.randrange(0, 60))), "x", rng.choice(["a", "a", "b", None]), 0) for i in range(150)]
+    docs = spark.createDataFrame(table, SCHEMA).withColumnsRenamed({"lang": "pieces"}).withColumn("h", F.lit(1))
+    got = mixing.mix(docs).collect()
+    words = Counter()
+    for t in table:
+        words[t[3]] += len(t[1].split())
+    found, block = mixing.shares(words)
+    out = Counter(w for r in mixing.take(docs).collect() for w in r["text"].split())
+    assert sum(out.values()) == sum(r["taken"] for r in got)
+    for share in found:
+        mine = [out[w] for t in table if t[3] == share.key for w in t[1].split()]
+        rounds, rest = divmod(share.bounds(block)[-1], share.words)
+        assert Counter(mine) == Counter({rounds: share.words - rest, rounds + 1: rest}) - Counter({rounds + 1: 0})
+    assert mixing.mix(docs.limit(0)).count() == mixing.take(docs.limit(0)).count() == 0
+
+
 def test_targets_stop_at_three_times_the_size():
     assert mixing.targets([10, 1000, 1000], [5, 2, 1], 2010) == [30, Fraction(1980 * 2, 3), Fraction(1980, 3)]
     assert mixing.targets([0, 0], [5, 2], 0) == [0, 0]
