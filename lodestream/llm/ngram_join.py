@@ -2,35 +2,41 @@
 
 A document's set holds the hashes of its distinct ``k``-word shingles. Sets of sizes
 2^j to 2^(j+1) - 1 form band j. For the pairs whose larger set is in band j the feature
-domain is cut into partitions (about one for each element), and every non-empty
-partition of a set, with the elements in it, is one signature. Sets that are similar
-enough differ in at most h = (|r| + |s|) (1 - t) / (1 + t) elements, and each of these
-spoils one partition: of r's signatures all but h are s's too. So it suffices to keep,
-in an order that all sets share, the first h + 1 signatures of each: two similar sets
-then have one in common. (A set with too few non-empty partitions for that keeps all,
-the empty ones included.) A set belongs to its own band and, if a larger partner can be
-there, to the next.
+domain is cut into partitions and each of these into ``PARTS`` parts; of every partition
+all subsets of ``PARTS`` - 1 parts are enumerated, and the elements that a set has in such
+a subset are one signature. Sets that are similar enough differ in at most
+h = (|r| + |s|) (1 - t) / (1 + t) elements. Where a partition holds one of these, the
+subset without its part is still shared; each element spoils ``PARTS`` - 1 signatures at
+most, so of r's signatures all but (PARTS - 1) h are s's too. It suffices to keep, in an
+order that all sets share, the first (PARTS - 1) h + 1 of them: two similar sets then have
+one in common. (A set with too few non-empty signatures for that keeps all, the empty ones
+included.) A set belongs to its own band and, if a larger partner can be there, to the
+next. Sets that can only be similar to their equals have no signature.
 
 Signatures that many sets share (those of passages that many documents hold) go to the
-end of the order, and the sets that had one choose anew. After ``ROUNDS`` such rounds
-only sets remain that consist of widely shared passages almost entirely, such as large
-groups of near copies; their buckets are cut into tiles, and a tile's pairs are compared
-by parity sketches, which never reject a similar pair.
+end of the order, and the sets that had one choose anew; which are such is told by a filter
+of a fixed size, whose false positives only move a signature back for all sets alike.
+After ``ROUNDS`` such rounds only sets remain that consist of widely shared passages almost
+entirely, such as large groups of near copies. Of their buckets all sets are first compared
+with one of them, the least, so a group of g near copies takes g pairs. Sets of other
+components than the least one's are then compared with all in the bucket, in tiles and by
+parity sketches, which never reject a similar pair: a spanning forest of what they allow
+first, and then only pairs of different components.
 
 Candidates are checked exactly: sizes and sketches first, then the sets themselves.
-Equal sets are one node from the start, and links join nodes to components. In tiles a
-spanning forest of the candidates is checked first, and then only pairs of different
-components, so a group of g near copies does not give g^2 pairs.
+Equal sets are one node from the start, and links join nodes to components.
 
 Defined results: documents without a word have no set, size 0, and are their own
 component; so are null texts. Rows with a null id are linked like others and take their
 component's least id that is not null. An id that repeats with different texts stands for
-several documents, each linked by its own text. An empty table gives no rows.
+several documents, each linked by its own text. An empty table gives no rows. Very long
+texts are read in full. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +48,17 @@ from lodestream.llm.components import stars
 from lodestream.llm.words_np import blocks, mix64, shingle_sets
 
 K, PERCENT = 5, 80
-#: A bucket of more nodes than this is hot; hot signatures that are told to all tasks at once, at most; rounds of choosing anew.
-HOT, MOST_HOT, ROUNDS = 16, 1 << 20, 2
+#: Parts of a partition; partitions for each element of the largest set of a band.
+PARTS, DENSITY = 3, 0.18
+#: A bucket of more nodes than this is hot; rounds of choosing anew.
+HOT, ROUNDS = 16, 2
 TILE = 2048
 CLASS = 1.06
 FILTER_BITS = 1 << 26
+#: Nodes that a task remembers at once to pass over copies.
+SEEN = 1 << 18
 _TOKEN = np.uint64((1 << 48) - 1)
+_WEIGHTS = mix64(np.arange(7, 7 + PARTS, dtype=np.uint64)) | np.uint64(1)
 
 
 def most_different(n: int, m: int, percent: int) -> int:
@@ -63,54 +74,58 @@ def band(n: int) -> int:
     return n.bit_length() - 1
 
 
+@cache
+def _places(j: int) -> np.ndarray:
+    """A number for each partition of band j and subset of its parts, which names the signature's place."""
+    partitions = math.ceil(DENSITY * ((2 << j) - 1))
+    return mix64(np.arange(partitions * PARTS, dtype=np.uint64) + (np.uint64(j + 1) << np.uint64(40))).reshape(partitions, PARTS)
+
+
 class Signer:
-    """Signatures of sets; ``hot``: for each round so far the sorted hot signatures."""
+    """Signatures of sets; ``hot``: for each round so far the filter of hot signatures."""
 
     def __init__(self, hot: list[np.ndarray], percent: int) -> None:
         self.hot, self.percent = hot, percent
 
     def _all(self, found: np.ndarray, j: int) -> tuple[np.ndarray, int]:
         """All signatures of a set in band j, ordered, and how many of them to keep."""
-        n = len(found)
-        bits = j + (3 if j < 6 else 1)
-        part = found >> np.uint64(64 - bits)
+        n, places = len(found), _places(j)
+        different = most_different(n, min((2 << j) - 1, n * 100 // self.percent), self.percent)
+        if not different:
+            return np.empty(0, np.uint64), 0
+        keep = (PARTS - 1) * different + 1
+        part = (found >> np.uint64(32)) * np.uint64(places.size) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        seed = mix64(np.array([j + 1], dtype=np.uint64))[0]
-        signs = mix64(np.add.reduceat(mix64(found), first) + mix64(part[first] + seed)) & _TOKEN
-        keep = most_different(n, min((2 << j) - 1, n * 100 // self.percent), self.percent) + 1
+        held = np.zeros(places.size, np.uint64)
+        held[part[first].astype(np.int64)] = mix64(np.add.reduceat(mix64(found), first)) | np.uint64(1)
+        # the subset without part c: the sum of the others, each by a weight of its own
+        weighed = held.reshape(places.shape) * _WEIGHTS
+        others = weighed.sum(1, dtype=np.uint64)[:, None] - weighed
+        full = others != 0
+        signs = mix64(others[full] + places[full]) & _TOKEN
         if len(signs) < keep:
-            empty = np.setdiff1d(np.arange(1 << bits, dtype=np.uint64), part[first])
-            signs = np.concatenate([signs, mix64(mix64(empty + seed) ^ seed) & _TOKEN])
+            signs = np.concatenate([signs, mix64(places[~full]) & _TOKEN])
             keep = len(signs)
         return np.sort(signs), keep
 
     def of(self, found: np.ndarray) -> np.ndarray:
         """The signatures that a set has in this round; none if no earlier round was left open."""
-        n, kept = len(found), []
-        if not n:
-            return np.empty(0, np.uint64)
-        j = band(n)
-        for b in (j, j + 1):
-            if b > j and n * 100 // self.percent < 1 << b:
+        n, kept = len(found), [np.empty(0, np.uint64)]
+        for b in (band(n), band(n) + 1) if n else ():
+            if b > band(n) and n * 100 // self.percent < 1 << b:
                 continue
             signs, keep = self._all(found, b)
             prefix, last = signs[:keep], np.zeros(len(signs), dtype=bool)
             for hot in self.hot:
-                if not _within(prefix, hot).any():
+                if not _known(hot, prefix).any():
                     prefix = signs[:0]
                     break
-                last |= _within(signs, hot)
+                last |= _known(hot, signs)
                 prefix = np.concatenate([signs[~last], signs[last]])[:keep]
             kept.append(prefix)
         return np.concatenate(kept)
 
 
-def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), dtype=bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
 def sketch(found: np.ndarray) -> bytes:
     """Parities of the numbers of elements in 4 * 2^band cells (64 at least)."""
     cells = max(64, 4 << band(len(found)))
@@ -176,6 +191,8 @@ def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray
                 hi, lo = node_of(found)
                 if not len(found) or (hi, lo) in seen:  # copies within a task
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add((hi, lo))
                 signs = signer.of(found)
                 if len(signs):
@@ -262,18 +279,38 @@ def _last_run(sign: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def tile_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of the last round, once for each pair of tiles of their bucket."""
-    rows = scratch.keep(rows.distinct()).withColumn("sign", F.shiftrightunsigned("a", 16))
-    sizes = rows.groupBy("sign").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("size")).where("size > 1")
-    tiled = rows.join(sizes.drop("size"), "sign").withColumn("tile", F.pmod(F.xxhash64("a", "b"), "tiles").cast("int"))
-    each = tiled.select("sign", "a", "b", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    return each.select("sign", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", F.col("a").bitwiseAND(0xFFFF).cast("int").alias("hi"), F.col("b").alias("lo"))
+def bucket_members(rows: DataFrame) -> DataFrame:
+    """sign, hi, lo of the nodes in each bucket of the last round that has several, and the bucket's least one (rh, rl)."""
+    nodes = rows.distinct().select(F.shiftrightunsigned("a", 16).alias("sign"), F.col("a").bitwiseAND(0xFFFF).cast("int").alias("hi"), F.col("b").alias("lo"))
+    least = nodes.groupBy("sign").agg(F.min(F.struct("hi", "lo")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    return nodes.join(least, "sign").select("sign", "hi", "lo", F.col("least.hi").alias("rh"), F.col("least.lo").alias("rl"))
+
+
+def with_least(members: DataFrame) -> DataFrame:
+    """Each node of a bucket with the least one."""
+    return members.where("hi <> rh or lo <> rl").select(F.col("rh").alias("xh"), F.col("rl").alias("xl"), F.col("hi").alias("yh"), F.col("lo").alias("yl")).distinct()
+
+
+def labelled(rows: DataFrame, star: DataFrame, node: str = "", to: str = "c") -> DataFrame:
+    """``rows`` with the component (columns ``to`` + h and l) of the node in columns hi and lo, or ``node`` + h and l."""
+    hi, lo, h, l = (f"{node}h", f"{node}l", f"{to}h", f"{to}l") if node else ("hi", "lo", f"{to}h", f"{to}l")  # noqa: E741
+    root = star.select(F.col("u.hi").alias(hi), F.col("u.lo").alias(lo), F.col("v.hi").alias(h), F.col("v.lo").alias(l))
+    return rows.join(root, [hi, lo], "left").withColumns({h: F.coalesce(h, hi), l: F.coalesce(l, lo)})
+
+
+def tile_groups(members: DataFrame, star: DataFrame) -> DataFrame:
+    """Nodes of buckets in which some are of other components than the least one's, once for each pair of tiles: two of others, or one of others and one of the rest."""
+    both = labelled(labelled(members, star), star, "r", "k").withColumn("other", (F.col("ch") != F.col("kh")) | (F.col("cl") != F.col("kl")))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = both.groupBy("sign").agg(tiles(F.count_if("other")).alias("others"), tiles(F.count_if(~F.col("other"))).alias("rest")).where("others > 0")
+    placed = both.join(sizes, "sign").withColumn("tile", F.when(F.col("other"), F.pmod(F.xxhash64("hi", "lo"), "others")).otherwise(F.pmod(F.xxhash64("hi", "lo"), "rest") + F.col("others")).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(F.col("other"), F.col("others") + F.col("rest")).otherwise(F.col("others")) - 1)
+    return placed.select("sign", "tile", "hi", "lo", F.explode(meets).alias("meets")).select("sign", F.least("tile", "meets").alias("i"), F.greatest("tile", "meets").alias("j"), "tile", "hi", "lo")
 
 
 def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of a tile group whose sketches allow a link; with ``forest`` a spanning forest of them, else those of different components (column c)."""
-    names = ["sign", "i", "j", "tile", "hi", "lo", "n", "sketch", *([] if forest else ["ch", "cl"])]
+    """Pairs of different components (columns ch, cl) in a tile group whose sketches allow a link; with ``forest`` only a spanning forest of them."""
+    names = ["sign", "i", "j", "tile", "hi", "lo", "n", "sketch", "ch", "cl"]
     rows = groups.join(nodes.select("hi", "lo", "n", "sketch"), ["hi", "lo"]).select(*names).repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "hi", "lo")
 
     def pairs(t: pa.Table) -> list[tuple]:
@@ -285,11 +322,11 @@ def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool)
         pad = -size % 8
         words = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, pad)))).view(np.uint64)
         same_tile = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        component = None if forest else np.array([f"{a}/{b}" for a, b in zip(get("ch"), get("cl"), strict=True)])
-        root, found = np.arange(len(n)), []
+        _, root = np.unique(np.stack([get("ch").astype(np.int64), get("cl")]), axis=1, return_inverse=True)
+        root, found = root.ravel(), []
         for x in range(len(n) - 1):
             y = np.arange(x + 1, len(n))
-            ok = (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent) & (root[y] != root[x] if forest else component[y] != component[x])
+            ok = (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent) & (root[y] != root[x])
             if not same_tile:
                 ok &= tile[y] != tile[x]
             y = y[ok]
@@ -334,6 +371,12 @@ def _bits(ids: np.ndarray) -> np.ndarray:
     return (np.stack([mix64(ids.view(np.uint64) + np.uint64(s)) for s in (1, 2, 3)]) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def _known(filled: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each of the ids."""
+    p = _bits(ids)
+    return ((filled[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(0)
+
+
 def _filter_of(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of ids: ``FILTER_BITS`` (8 MB) whatever their number."""
 
@@ -357,8 +400,7 @@ def _sets_of(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         bits = shared.value
         for batch in batches:
             ids = batch.column(0)
-            p = _bits(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            hit = ((bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(0) | np.asarray(ids.is_null())
+            hit = _known(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) | np.asarray(ids.is_null())
             some = batch.filter(pa.array(hit))
             yield _rows(schema, [(*node_of(found), found.tobytes()) for _, found in _sets(some, k)])
 
@@ -388,9 +430,9 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("xh", "xl", "xn", "xv", "yh", "yl", "yn", "yv").mapInArrow(run, PAIR)
 
 
-def links(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, percent: int, near: bool, scratch: Scratch) -> DataFrame:
-    """The pairs of nodes whose sets are similar, checked exactly; ``near``: by sizes and sketches first."""
-    pairs = scratch.keep((_near(pairs, nodes, percent) if near else pairs).distinct())
+def links(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs of nodes whose sets are similar, checked exactly."""
+    pairs = scratch.keep(pairs.distinct())
     ends = pairs.select(F.col("xh").alias("hi"), F.col("xl").alias("lo")).unionByName(pairs.select(F.col("yh").alias("hi"), F.col("yl").alias("lo"))).distinct()
     wanted = scratch.keep(nodes.select("id", "hi", "lo").join(ends, ["hi", "lo"]))
     x, y = _ends(_sets_of(source, wanted, k), "found")
@@ -412,20 +454,15 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(node("x").alias("u"), node("y").alias("v"))
 
 
-def candidates(source: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
-    """Pairs from small buckets, and the rows of the sets that are left after the rounds (with n and sketch)."""
+def candidates(source: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs from small buckets, and the signatures of the sets that are left after the rounds."""
     found, hot = None, []
     for _ in range(rounds):
-        while True:
-            made = scratch.keep(small_buckets(signature_rows(source, k, percent, hot), most, percent).distinct())
-            signs = made.where("xh = -1").select("xl").limit(MOST_HOT + 1).toArrow().column("xl").to_numpy()
-            if len(signs) <= MOST_HOT:
-                break
-            most *= 2
-        pairs = made.where("xh >= 0")
+        made = scratch.keep(small_buckets(signature_rows(source, k, percent, hot), most, percent).distinct())
+        pairs, signs = made.where("xh >= 0"), made.where("xh = -1")
         found = pairs if found is None else found.unionByName(pairs)
-        hot = [*hot, np.sort(signs.view(np.uint64))]
-        if not len(signs):
+        hot = [*hot, _filter_of(signs.select(F.col("xl").alias("id")))]
+        if not hot[-1].any():
             break
     return found, signature_rows(source, k, percent, hot)
 
@@ -434,25 +471,30 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, n_shingles and component_id (the least id reachable by links) of every row."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
+    try:
+        return checkpoint(_linked(source, scratch, k, percent, most, rounds))
+    finally:
+        scratch.remove()
+
+
+def _linked(source: DataFrame, scratch: Scratch, k: int, percent: int, most: int, rounds: int) -> DataFrame:
     rows = scratch.keep(documents_to_nodes(source, k))
     nodes = scratch.keep(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    similar = lambda pairs: _edges(links(pairs, source, nodes, k, percent, scratch))
 
     pairs, left = candidates(source, k, percent, most, rounds, scratch)
-    groups = scratch.keep(tile_groups(left, scratch))
-    pairs = _near(pairs, nodes, percent).unionByName(tile_pairs(groups, nodes, percent, forest=True))
-    star = stars(_edges(links(pairs, source, nodes, k, percent, near=False, scratch=scratch)))
-    if groups.limit(1).count():
-        root = star.select("u.hi", "u.lo", F.col("v.hi").alias("ch"), F.col("v.lo").alias("cl"))
-        labelled = groups.join(root, ["hi", "lo"], "left").withColumns({"ch": F.coalesce("ch", "hi"), "cl": F.coalesce("cl", "lo")})
-        open_pairs = scratch.keep(tile_pairs(labelled, nodes, percent, forest=False).distinct())
-        if open_pairs.limit(1).count():
-            star = stars(star.unionByName(_edges(links(open_pairs, source, nodes, k, percent, near=False, scratch=scratch))))
+    members = scratch.keep(bucket_members(left))
+    star = stars(similar(_near(pairs.unionByName(with_least(members)), nodes, percent)))
+    groups = scratch.keep(tile_groups(members, star))
+    for forest in (True, False) if groups.limit(1).count() else ():
+        more = scratch.keep(tile_pairs(labelled(groups, star), nodes, percent, forest).distinct())
+        if not more.limit(1).count():
+            break
+        star = stars(star.unionByName(similar(more)))
 
     member = star.unionByName(star.select(F.col("v").alias("u"), "v").distinct()).select("u.hi", "u.lo", F.col("v").alias("root"))
     rooted = nodes.select("hi", "lo", "id").join(member, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     component = rooted.join(least, "root").select("hi", "lo", "component_id")
     some = rows.where("n > 0").select("id", "n", "hi", "lo").join(component, ["hi", "lo"], "left").select("id", F.col("n").alias("n_shingles"), "component_id")
-    linked = checkpoint(some.unionByName(rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))))
-    scratch.remove()
-    return linked
+    return some.unionByName(rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
