@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import feature_queries, inference_queries, ingest_queries, matching_queries, sequential_queries  # noqa: F401  they register their queries
+from lodestream.plans import feature_queries, inference_queries, ingest_queries, matching_queries, scalar_queries, sequential_queries  # noqa: F401  they register their queries
 from lodestream.plans.tables import REGISTRY
 
 FLAGSHIP = "source_stats"

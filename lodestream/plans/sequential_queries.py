@@ -74,15 +74,6 @@ def imm_tracks(spark, sf_dir):
     return track.tracks(fixes)
 
 
-@query("range_likelihood")
-def range_likelihood(spark, sf_dir):
-    @F.pandas_udf("double")
-    def likelihood(x: pd.Series) -> pd.Series:
-        return pd.Series(np.round(geo_np.range_likelihood(x.to_numpy(), 2.0, 20.0, 90.0, 3.5), 9))
-
-    return observations(spark, sf_dir).select("observation_id", likelihood("duration_s").alias("likelihood"))
-
-
 @query("on_water")
 def on_water(spark, sf_dir):
     """Share of 1000 seeded samples of a position's uncertainty that fall on the lake, less its island."""
