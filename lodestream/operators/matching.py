@@ -63,3 +63,15 @@ def point_segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: C
 def crosses(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Whether the ray east of a point crosses an edge: even-odd rule."""
     return ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+
+
+def gate_join(fixes: DataFrame, tracks: DataFrame, width: float, reach: float) -> DataFrame:
+    """Pairs on the same channel that lie within ``reach`` of each other on both axes. ``fixes``: a_freq, a_bw, fe, fn; ``tracks``: b_freq, b_bw, e, n.
+
+    Channel and place are both keys, so a busy channel is spread over its places.
+    """
+    cell = lambda c: F.floor(F.col(c) / reach)
+    a = fixes.withColumns({"__b": F.floor(F.col("a_freq") / width), "__i": cell("fe"), "__j": cell("fn")})
+    b = tracks.withColumn("__b", near_buckets(F.col("b_freq"), width)).withColumn("__i", near_buckets(F.col("e"), reach)).withColumn("__j", near_buckets(F.col("n"), reach))
+    near = (F.abs(F.col("fe") - F.col("e")) <= reach) & (F.abs(F.col("fn") - F.col("n")) <= reach)
+    return a.join(b, ["__b", "__i", "__j"]).where(near & same_channel(F.col("a_freq"), F.col("a_bw"), F.col("b_freq"), F.col("b_bw"))).drop("__b", "__i", "__j")

@@ -26,11 +26,6 @@ def transmissions(spark, sf_dir):
     return _tx(spark, sf_dir)
 
 
-@query("feature_freq", "SELECT entity, avg(freq_hz) AS freq_hz, round(stddev_pop(bandwidth_hz) / sqrt(count(*)), 6) AS sigma, count(*) AS n FROM obs GROUP BY 1")
-def feature_freq(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("entity").agg(F.avg("freq_hz").alias("freq_hz"), F.round(F.stddev_pop("bandwidth_hz") / F.sqrt(F.count("*")), 6).alias("sigma"), F.count("*").alias("n"))
-
-
 _MED = """, m AS (SELECT entity, median({v}) AS med, count({v}) AS n FROM {t} GROUP BY 1)
 SELECT entity, round(any_value(med), 6) AS value, CASE WHEN n > 1 THEN round(1.2533 * 1.4826 * median(abs({v} - med)) / sqrt(n), 6) END AS sigma, n FROM {t} JOIN m USING (entity) GROUP BY entity, n"""
 
@@ -80,12 +75,6 @@ def source_counts_map(spark, sf_dir):
     return c.groupBy("entity").agg(F.array_join(F.transform(pairs, lambda p: F.concat(p["source_id"], F.lit("="), p["n"].cast("string"))), ",").alias("sources"))
 
 
-@query("running_mean_freq", "SELECT observation_id, round(avg(bandwidth_hz) OVER (PARTITION BY entity ORDER BY t_us, observation_id ROWS UNBOUNDED PRECEDING), 6) AS mean_hz FROM obs")
-def running_mean_freq(spark, sf_dir):
-    w = Window.partitionBy("entity").orderBy("t_us", "observation_id").rowsBetween(Window.unboundedPreceding, 0)
-    return observations(spark, sf_dir).select("observation_id", F.round(F.avg("bandwidth_hz").over(w), 6).alias("mean_hz"))
-
-
 @query("time_frame_counts", "SELECT observation_id, count(*) OVER w AS n_window, round(sum(duration_s) OVER w, 4) AS sum_s FROM obs WINDOW w AS (PARTITION BY entity ORDER BY t_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)")
 def time_frame_counts(spark, sf_dir):
     w = Window.partitionBy("entity").orderBy("t_us").rangeBetween(-86_400_000_000, 0)
@@ -98,23 +87,6 @@ def trail_last_20(spark, sf_dir):
     return observations(spark, sf_dir).select("entity", "observation_id", F.row_number().over(w).alias("rn")).where("rn <= 20")
 
 
-@query("inverse_variance_height", "SELECT entity, round(sum(bearing_deg / (sigma_deg * sigma_deg)) / sum(1 / (sigma_deg * sigma_deg)), 6) AS height_m, round(sqrt(1 / sum(1 / (sigma_deg * sigma_deg))), 6) AS sigma_m FROM obs WHERE sigma_deg IS NOT NULL GROUP BY 1")
-def inverse_variance_height(spark, sf_dir):
-    w = 1 / (F.col("sigma_deg") * F.col("sigma_deg"))
-    return observations(spark, sf_dir).where("sigma_deg is not null").groupBy("entity").agg(F.round(F.sum(F.col("bearing_deg") * w) / F.sum(w), 6).alias("height_m"), F.round(F.sqrt(1 / F.sum(w)), 6).alias("sigma_m"))
-
-
-@query("stay_put_test", """, w AS (SELECT entity, count(*) AS n, avg(bearing_deg) AS m FROM obs WHERE sigma_deg IS NOT NULL GROUP BY 1)
-SELECT entity, n, round(sum(power((bearing_deg - m) / (40 * sigma_deg), 2)), 3) AS chi2, sum(power((bearing_deg - m) / (40 * sigma_deg), 2)) <= 2 * (n - 1) * power(1 - 2.0 / (9 * 2 * (n - 1)) + 1.6449 * sqrt(2.0 / (9 * 2 * (n - 1))), 3) AS stays
-FROM obs JOIN w USING (entity) WHERE sigma_deg IS NOT NULL AND n >= 5 GROUP BY entity, n""")
-def stay_put_test(spark, sf_dir):
-    o = observations(spark, sf_dir).where("sigma_deg is not null")
-    both = o.join(o.groupBy("entity").agg(F.count("*").alias("n"), F.avg("bearing_deg").alias("m")), "entity").where("n >= 5")
-    d = (F.col("bearing_deg") - F.col("m")) / (40 * F.col("sigma_deg"))
-    s = both.groupBy("entity", "n").agg(F.sum(d * d).alias("c"))
-    return s.select("entity", "n", F.round("c", 3).alias("chi2"), (F.col("c") <= G.chi2_quantile(2.0 * (F.col("n") - 1), 1.6449)).alias("stays"))
-
-
 @query("streak_islands", """, f AS (SELECT *, k % 3 <> 0 AS ok, sum(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY t_us, observation_id) AS grp FROM obs)
 SELECT entity, max(n) AS longest FROM (SELECT entity, grp, count(*) FILTER (ok) AS n FROM f GROUP BY 1, 2) GROUP BY 1""")
 def streak_islands(spark, sf_dir):
@@ -123,16 +95,6 @@ def streak_islands(spark, sf_dir):
     return f.groupBy("entity", "grp").agg(F.count_if(F.col("k") % 3 != 0).alias("n")).groupBy("entity").agg(F.max("n").alias("longest"))
 
 
-@query("crossing_angle", """, b AS (SELECT DISTINCT entity, bearing_deg FROM obs WHERE bearing_deg < 360)
-SELECT a.entity, round(max(least(abs(a.bearing_deg - c.bearing_deg) % 180, 180 - abs(a.bearing_deg - c.bearing_deg) % 180)), 6) AS crossing_deg FROM b a JOIN b c ON a.entity = c.entity AND a.bearing_deg < c.bearing_deg GROUP BY 1""")
-def crossing_angle(spark, sf_dir):
-    b = observations(spark, sf_dir).where("bearing_deg < 360").select("entity", "bearing_deg").distinct()
-    sets = b.groupBy("entity").agg(F.collect_list("bearing_deg").alias("s"))  # at most 48 different bearings
-    each = b.join(sets, "entity").select("entity", "bearing_deg", F.explode("s").alias("other")).where("bearing_deg < other")
-    d = F.abs(F.col("bearing_deg") - F.col("other")) % 180
-    return each.groupBy("entity").agg(F.round(F.max(F.least(d, 180 - d)), 6).alias("crossing_deg"))
-
-
 @query("summary_60s", "SELECT t_us - t_us % 60000000 AS window_us, count(*) AS n, round(avg(duration_s), 6) AS mean_s FROM obs GROUP BY 1")
 def summary_60s(spark, sf_dir):
     return observations(spark, sf_dir).groupBy((F.col("t_us") - F.col("t_us") % 60_000_000).alias("window_us")).agg(F.count("*").alias("n"), F.round(F.avg("duration_s"), 6).alias("mean_s"))

@@ -115,19 +115,6 @@ def _candidates(spark, sf_dir):
     return near.select("entity", "old", ((F.col("first_us") - F.col("last_us")) / 1e6).alias("gap_s"))
 
 
-@query("reid_candidates", _MEM + "SELECT entity, old, round(gap_s, 3) AS gap_s FROM cand")
-def reid_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).withColumn("gap_s", F.round("gap_s", 3))
-
-
-@query("reid_normalise", _MEM + """, o AS (SELECT entity, old, 0.5 * exp(-abs(gap_s) / 1e6) AS odds FROM cand)
-SELECT entity, old, round(odds / (1 + sum(odds) OVER (PARTITION BY entity)), 6) AS p, row_number() OVER (PARTITION BY entity ORDER BY round(odds, 9) DESC, old)::INTEGER AS rn FROM o""")
-def reid_normalise(spark, sf_dir):
-    o = _candidates(spark, sf_dir).withColumn("odds", 0.5 * F.exp(-F.abs("gap_s") / 1e6))
-    w = Window.partitionBy("entity")
-    return o.select("entity", "old", F.round(F.col("odds") / (1 + F.sum("odds").over(w)), 6).alias("p"), F.row_number().over(w.orderBy(F.desc(F.round("odds", 9)), "old")).alias("rn"))
-
-
 @query("memory_evict", "SELECT entity, last_us FROM (SELECT entity, max(t_us) AS last_us FROM obs GROUP BY 1) WHERE last_us >= (SELECT max(t_us) FROM obs) - 604800000000 ORDER BY last_us DESC, entity LIMIT 50")
 def memory_evict(spark, sf_dir):
     o = observations(spark, sf_dir)
@@ -136,11 +123,6 @@ def memory_evict(spark, sf_dir):
     return last.crossJoin(newest).where("last_us >= now - 604800000000").select("entity", "last_us").orderBy(F.desc("last_us"), "entity").limit(50)
 
 
-@query("identity_bound", "SELECT entity, round(exp(sum(ln(1 - 0.001 * (k % 10)))), 9) AS bound FROM obs GROUP BY 1")
-def identity_bound(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("entity").agg(F.round(F.exp(F.sum(F.log(1 - 0.001 * (F.col("k") % 10)))), 9).alias("bound"))
-
-
 _LOG = """, log AS (SELECT observation_id AS seq, entity, CASE WHEN k % 11 = 0 THEN 'remove' ELSE 'upsert' END AS op, duration_s AS value FROM obs)"""
 
 

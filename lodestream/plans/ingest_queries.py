@@ -81,13 +81,6 @@ def notes_once(spark, sf_dir):
     return observations(spark, sf_dir).where("basis <> 'measured'").groupBy("source_id", F.col("basis").alias("code")).agg(F.min("t_us").alias("first_us"))
 
 
-@query("forbidden_words", """SELECT doc_id, len(found)::INTEGER AS n_words FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\\b(target\\w*|strike\\w*|engag\\w*|kill\\w*|licen\\w*)\\b') AS found FROM documents) WHERE len(found) > 0""", obs=False)
-def forbidden_words(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b(target\w*|strike\w*|engag\w*|kill\w*|licen\w*)\b"), F.lit(0)))
-    return docs.select("doc_id", found.alias("n_words")).where("n_words > 0")
-
-
 @query("adapt_detection", """SELECT observation_id, strftime(make_timestamp(t_us), '%Y-%m-%dT%H:%M:%S.') || lpad(((t_us // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS t, bearing_deg, 'measured' AS basis, 'sigma relabelled' AS conversion FROM obs WHERE bearing_deg < 360 AND sigma_deg IS NOT NULL""")
 def adapt_detection(spark, sf_dir):
     o = observations(spark, sf_dir).where("bearing_deg < 360 and sigma_deg is not null")
@@ -95,20 +88,6 @@ def adapt_detection(spark, sf_dir):
     return o.select("observation_id", seconds.alias("t"), "bearing_deg", F.lit("measured").alias("basis"), F.lit("sigma relabelled").alias("conversion"))
 
 
-@query("restamp", "SELECT observation_id, t_us - min(t_us) OVER () + 1767225600000000 AS t_us FROM obs")
-def restamp(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    first = F.broadcast(o.agg(F.min("t_us").alias("t0")))  # one row
-    return o.crossJoin(first).select("observation_id", (F.col("t_us") - F.col("t0") + 1_767_225_600_000_000).alias("t_us"))
-
-
-@query("band_listening", "SELECT observation_id, bandwidth_hz / 2 + freq_hz >= 400100000 AND freq_hz - bandwidth_hz / 2 <= 400300000 AS in_band, round(least(1.0, duration_s / nullif(k, 0)), 6) AS listening FROM obs WHERE duration_s >= 0")
-def band_listening(spark, sf_dir):
-    o = observations(spark, sf_dir).where("duration_s >= 0")
-    inside = (F.col("freq_hz") + F.col("bandwidth_hz") / 2 >= 400100000) & (F.col("freq_hz") - F.col("bandwidth_hz") / 2 <= 400300000)
-    return o.select("observation_id", inside.alias("in_band"), F.round(F.when(F.col("k") != 0, F.least(F.lit(1.0), F.col("duration_s") / F.nullif("k", F.lit(0)))), 6).alias("listening"))
-
-
 @query("text_format", """SELECT observation_id, CASE WHEN freq_hz >= 1e9 THEN printf('%.4f GHz', freq_hz / 1e9) WHEN freq_hz >= 1e6 THEN printf('%.4f MHz', freq_hz / 1e6) ELSE printf('%.4f kHz', freq_hz / 1e3) END AS freq,
   CASE WHEN duration_s >= 3600 THEN printf('%.6f h', duration_s / 3600) WHEN duration_s >= 60 THEN printf('%.6f min', duration_s / 60) ELSE printf('%.6f s', duration_s) END AS duration, source_id || ':' || entity AS sensor FROM obs""")
 def text_format(spark, sf_dir):

@@ -31,41 +31,6 @@ def same_channel_pairs(spark, sf_dir):
     return M.channel_join(a, ch.toDF("b", "b_freq", "b_bw"), WIDTH).where("a < b").select("a", "b", "a_bw", "b_bw")
 
 
-@query("nearest_compatible", _TRACKS + """SELECT observation_id, track, d2 FROM (
-  SELECT o.observation_id, t.track, round(power(t.e - o.fe, 2) / 250000 + power(t.n - o.fn, 2) / 1000000, 6) AS d2,
-    row_number() OVER (PARTITION BY o.observation_id ORDER BY round(power(t.e - o.fe, 2) / 250000 + power(t.n - o.fn, 2) / 1000000, 6), t.track) AS rn
-  FROM (SELECT *, (k * 211 % 20011)::DOUBLE AS fe, (k * 173 % 19997)::DOUBLE AS fn FROM obs) o JOIN tracks t ON abs(o.freq_hz - t.b_freq) <= greatest(2500.0, (o.bandwidth_hz + t.b_bw) / 4)) WHERE rn = 1""")
-def nearest_compatible(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    fixes = o.select("observation_id", F.col("freq_hz").alias("a_freq"), F.col("bandwidth_hz").alias("a_bw"), (F.col("k") * 211 % 20011).cast("double").alias("fe"), (F.col("k") * 173 % 19997).cast("double").alias("fn"))
-    near = M.channel_join(fixes, tracks(o), WIDTH).withColumn("d2", F.round(G.mahalanobis2(F.col("e") - F.col("fe"), F.col("n") - F.col("fn"), F.lit(250000.0), F.lit(0.0), F.lit(1000000.0)), 6))
-    return near.groupBy("observation_id").agg(F.min(F.struct("d2", "track")).alias("m")).select("observation_id", "m.track", "m.d2")
-
-
-@query("birth_parent_rank", _TRACKS + """SELECT a.track AS child, b.track AS parent, rn FROM (
-  SELECT *, row_number() OVER (PARTITION BY child ORDER BY anchor DESC, distance, parent)::INTEGER AS rn FROM (
-    SELECT a.track AS child, b.track AS parent, b.hits >= 5 AND b.track % 3 = 0 AS anchor, round(sqrt(power(a.e - b.e, 2) + power(a.n - b.n, 2)), 6) AS distance
-    FROM tracks a JOIN tracks b ON a.track <> b.track AND abs(a.b_freq - b.b_freq) <= greatest(2500.0, (a.b_bw + b.b_bw) / 4)
-    WHERE sqrt(power(a.e - b.e, 2) + power(a.n - b.n, 2)) <= 5000)) x JOIN tracks a ON a.track = x.child JOIN tracks b ON b.track = x.parent WHERE rn <= 3""")
-def birth_parent_rank(spark, sf_dir):
-    t = tracks(observations(spark, sf_dir))
-    a = t.select(F.col("track").alias("child"), F.col("b_freq").alias("a_freq"), F.col("b_bw").alias("a_bw"), F.col("e").alias("ae"), F.col("n").alias("an"))
-    d = F.sqrt(F.pow(F.col("ae") - F.col("e"), 2) + F.pow(F.col("an") - F.col("n"), 2))
-    near = M.channel_join(a, t.withColumnRenamed("track", "parent"), WIDTH).where((F.col("child") != F.col("parent")) & (d <= 5000))
-    w = Window.partitionBy("child").orderBy(F.desc("anchor"), "distance", "parent")
-    return near.withColumns({"anchor": (F.col("hits") >= 5) & (F.col("parent") % 3 == 0), "distance": F.round(d, 6)}).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("child", "parent", "rn")
-
-
-@query("track_merge_pairs", _TRACKS + """SELECT a.track AS survivor, b.track AS absorbed, round(power(a.e - b.e, 2) / 9e6 + power(a.n - b.n, 2) / 9e6, 6) AS d2
-FROM tracks a JOIN tracks b ON a.track < b.track AND abs(a.b_freq - b.b_freq) <= greatest(2500.0, (a.b_bw + b.b_bw) / 4) WHERE power(a.e - b.e, 2) / 9e6 + power(a.n - b.n, 2) / 9e6 <= 9.21034037""")
-def track_merge_pairs(spark, sf_dir):
-    t = tracks(observations(spark, sf_dir))
-    a = t.select(F.col("track").alias("survivor"), F.col("b_freq").alias("a_freq"), F.col("b_bw").alias("a_bw"), F.col("e").alias("ae"), F.col("n").alias("an"))
-    d2 = F.pow(F.col("ae") - F.col("e"), 2) / 9e6 + F.pow(F.col("an") - F.col("n"), 2) / 9e6
-    pairs = M.channel_join(a, t.withColumnRenamed("track", "absorbed"), WIDTH)
-    return pairs.where((F.col("survivor") < F.col("absorbed")) & (d2 <= 9.21034037)).select("survivor", "absorbed", F.round(d2, 6).alias("d2"))
-
-
 @query("cross_source_pairs", f"""SELECT a.observation_id AS a, b.observation_id AS b, a.t_us - b.t_us AS offset_us FROM obs a JOIN obs b
 ON a.entity = b.entity AND a.source_id < b.source_id AND abs(a.t_us - b.t_us) <= {HOUR}""")
 def cross_source_pairs(spark, sf_dir):
@@ -81,15 +46,6 @@ def asof_cross_source_offset(spark, sf_dir):
     return found.where("source_id <> 'view' and last_view_us is not null").select("observation_id", "source_id", (F.col("t_us") - F.col("last_view_us")).alias("offset_us"))
 
 
-@query("robust_bias", """, m AS (SELECT source_id, median(duration_s) AS med, count(*) AS n FROM obs GROUP BY 1)
-SELECT source_id, n, round(any_value(med), 6) AS bias, round(1.2533 * 1.4826 * median(abs(duration_s - med)) / sqrt(n), 6) AS sigma FROM obs JOIN m USING (source_id) GROUP BY source_id, n""")
-def robust_bias(spark, sf_dir):
-    o = observations(spark, sf_dir).select("source_id", "duration_s")
-    m = o.groupBy("source_id").agg(F.median("duration_s").alias("med"), F.count("*").alias("n"))
-    joined = o.join(F.broadcast(m), "source_id")  # one row per source
-    return joined.groupBy("source_id", "n").agg(F.first("med").alias("med"), F.median(F.abs(F.col("duration_s") - F.col("med"))).alias("mad")).select("source_id", "n", F.round("med", 6).alias("bias"), F.round(1.2533 * 1.4826 * F.col("mad") / F.sqrt("n"), 6).alias("sigma"))
-
-
 @query("reference_source", "SELECT entity, source_id AS reference, n FROM (SELECT entity, source_id, count(*) AS n, row_number() OVER (PARTITION BY entity ORDER BY count(*) DESC, min(t_us), source_id) AS rn FROM obs GROUP BY 1, 2) WHERE rn = 1")
 def reference_source(spark, sf_dir):
     c = observations(spark, sf_dir).groupBy("entity", "source_id").agg(F.count("*").alias("n"), F.min("t_us").alias("first"))
@@ -97,15 +53,6 @@ def reference_source(spark, sf_dir):
     return c.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("entity", F.col("source_id").alias("reference"), "n")
 
 
-@query("coverage_semi", """, cover AS (SELECT source_id, min(t_us) AS t0, max(t_us) AS t1, 400000000.0 + 100000 * (source_id = 'view')::INT AS lo, 400300000.0 AS hi FROM obs WHERE k % 3 = 0 GROUP BY 1)
-SELECT observation_id FROM obs o WHERE EXISTS (SELECT 1 FROM cover c WHERE c.source_id = o.source_id AND o.freq_hz BETWEEN c.lo AND c.hi AND o.t_us BETWEEN c.t0 AND c.t1)""")
-def coverage_semi(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    cover = o.where("k % 3 = 0").groupBy(F.col("source_id").alias("cs")).agg(F.min("t_us").alias("t0"), F.max("t_us").alias("t1")).withColumns({"lo": F.when(F.col("cs") == "view", 400100000.0).otherwise(400000000.0), "hi": F.lit(400300000.0)})
-    on = (F.col("source_id") == F.col("cs")) & F.col("freq_hz").between(F.col("lo"), F.col("hi")) & F.col("t_us").between(F.col("t0"), F.col("t1"))
-    return o.join(cover, on, "left_semi").select("observation_id")
-
-
 @query("pairing_anti", "SELECT e.entity, s.source_id FROM (SELECT DISTINCT entity FROM obs) e CROSS JOIN (SELECT DISTINCT source_id FROM obs) s WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.entity = e.entity AND o.source_id = s.source_id AND o.k % 10 = 0)")
 def pairing_anti(spark, sf_dir):
     o = observations(spark, sf_dir)
@@ -148,23 +95,3 @@ _EDGES = [(r, float(a[0]), float(a[1]), float(b[0]), float(b[1])) for r, ring in
 _EDGE_SQL = "(VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, a, b, c, d in _EDGES) + ")"
 
 
-@query("point_in_polygon", f""", edge(ring, x1, y1, x2, y2) AS {_EDGE_SQL}, p AS (SELECT c_custkey, (c_custkey * 733 % 10007)::DOUBLE AS x, (c_custkey * 397 % 9001)::DOUBLE AS y FROM customer)
-SELECT c_custkey, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 AS inside FROM p CROSS JOIN edge GROUP BY 1""")
-def point_in_polygon(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    x, y = (F.col("c_custkey") * 733 % 10007).cast("double"), (F.col("c_custkey") * 397 % 9001).cast("double")
-    crossings = sum((F.coalesce(M.crosses(x, y, *map(F.lit, e[1:])), F.lit(False)).cast("int") for e in _EDGES), F.lit(0))
-    return c.select("c_custkey", (crossings % 2 == 1).alias("inside"))
-
-
-@query("terrain_bilinear", """, cell AS (SELECT i, j, 1000.0 + i * 37 % 101 + j * 53 % 89 AS h FROM range(12) a(i) CROSS JOIN range(12) b(j) WHERE NOT (i = 5 AND j = 5)),
-p AS (SELECT p_partkey, (p_partkey * 733 % 10007) / 1000.0::DOUBLE AS x, (p_partkey * 397 % 9001) / 1000.0::DOUBLE AS y FROM part), q AS (SELECT *, floor(x)::BIGINT AS i, floor(y)::BIGINT AS j, x - floor(x) AS u, y - floor(y) AS v FROM p)
-SELECT p_partkey, round(sum(c.h * CASE WHEN c.i = q.i THEN 1 - u ELSE u END * CASE WHEN c.j = q.j THEN 1 - v ELSE v END), 6) AS height FROM q JOIN cell c ON c.i IN (q.i, q.i + 1) AND c.j IN (q.j, q.j + 1) GROUP BY 1 HAVING count(*) = 4""")
-def terrain_bilinear(spark, sf_dir):
-    cell = spark.range(144).select((F.col("id") % 12).alias("i"), F.floor(F.col("id") / 12).alias("j")).where("not (i = 5 and j = 5)").withColumn("h", 1000.0 + F.col("i") * 37 % 101 + F.col("j") * 53 % 89)
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", ((F.col("p_partkey") * 733 % 10007) / 1000.0).alias("x"), ((F.col("p_partkey") * 397 % 9001) / 1000.0).alias("y"))
-    i, j = F.floor("x"), F.floor("y")
-    u, v = F.col("x") - i, F.col("y") - j
-    corner = lambda a, b, w: F.struct((i + a).alias("i"), (j + b).alias("j"), w.alias("w"))
-    four = p.select("p_partkey", F.inline(F.array(corner(0, 0, (1 - u) * (1 - v)), corner(1, 0, u * (1 - v)), corner(0, 1, (1 - u) * v), corner(1, 1, u * v))))
-    return four.join(F.broadcast(cell), ["i", "j"]).groupBy("p_partkey").agg(F.round(F.sum(F.col("h") * F.col("w")), 6).alias("height"), F.count("*").alias("c")).where("c = 4").drop("c")
