@@ -74,42 +74,3 @@ def imm_tracks(spark, sf_dir):
     return track.tracks(fixes)
 
 
-@query("on_water")
-def on_water(spark, sf_dir):
-    """Share of 1000 seeded samples of a position's uncertainty that fall on the lake, less its island."""
-    from lodestream.plans.matching_queries import _EDGES
-
-    edges = np.array([e[1:] for e in _EDGES])
-
-    @F.pandas_udf("double")
-    def share(e: pd.Series, n: pd.Series) -> pd.Series:
-        z = np.random.default_rng(20260930).standard_normal((1000, 2)) * 120.0
-        found = []
-        for x, y in zip(e, n, strict=True):
-            px, py = x + z[:, :1], y + z[:, 1:]
-            x1, y1, x2, y2 = edges.T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                crossings = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
-            found.append(float((crossings.sum(1) % 2 == 1).mean()))
-        return pd.Series(found)
-
-    entities = observations(spark, sf_dir).select("entity").distinct()
-    return entities.select("entity", share((F.col("entity") * 733 % 10007).cast("double"), (F.col("entity") * 397 % 9001).cast("double")).alias("on_water"))
-
-
-@query("on_road")
-def on_road(spark, sf_dir):
-    """Posterior of being on a road from the distances of an entity's places, against a uniform background."""
-    from lodestream.operators import matching as M
-    from lodestream.plans.matching_queries import _SEGMENTS
-
-    o = observations(spark, sf_dir)
-    places = o.select("entity", "observation_id", ((F.col("entity") * 733 + F.col("k") * 37) % 10007).cast("double").alias("x"), ((F.col("entity") * 397 + F.col("k") * 11) % 9001).cast("double").alias("y"))
-    seg = F.broadcast(M.cells_of_segments(spark.createDataFrame(_SEGMENTS, "id int, ax double, ay double, bx double, by double"), 1000.0))
-    near = places.withColumn("ci", M.near_buckets(F.col("x"), 1000.0)).withColumn("cj", M.near_buckets(F.col("y"), 1000.0)).join(seg, ["ci", "cj"], "left")
-    d = near.groupBy("entity", "observation_id").agg(F.min(M.point_segment_distance(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))).alias("d"))
-    sigma, density = 150.0, 1 / 400.0
-    llr = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.log(F.exp(-0.5 * F.pow(F.col("d") / sigma, 2)) / (sigma * 2.5066) / density + 1e-9)))
-    llr = F.when(F.col("d").isNull(), -3.0).otherwise(llr)  # no road near
-    total = d.groupBy("entity").agg(F.sum(llr).alias("s"), F.count("*").alias("n")).where("n >= 3")
-    return total.select("entity", "n", F.round(1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("s"))))), 6).alias("on_road"))
