@@ -21,7 +21,8 @@ entirely, such as large groups of near copies. Of their buckets all sets are fir
 with one of them, the least, so a group of g near copies takes g pairs. Sets of other
 components than the least one's are then compared with all in the bucket, in tiles and by
 parity sketches, which never reject a similar pair: a spanning forest of what they allow
-first, and then only pairs of different components.
+first, and then, in tiles of which a pair of the forest was not similar, all pairs of
+different components.
 
 Candidates are checked exactly: sizes and sketches first, then the sets themselves.
 Equal sets are one node from the start, and links join nodes to components.
@@ -40,6 +41,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +208,8 @@ def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray
 
 
 PAIR = "xh int, xl long, yh int, yl long"
+TILE_PAIR = "sign long, i int, j int, " + PAIR
+ENDS = ["xh", "xl", "yh", "yl"]
 
 
 def _bucket_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,9 +290,10 @@ def bucket_members(rows: DataFrame) -> DataFrame:
     return nodes.join(least, "sign").select("sign", "hi", "lo", F.col("least.hi").alias("rh"), F.col("least.lo").alias("rl"))
 
 
-def with_least(members: DataFrame) -> DataFrame:
-    """Each node of a bucket with the least one."""
-    return members.where("hi <> rh or lo <> rl").select(F.col("rh").alias("xh"), F.col("rl").alias("xl"), F.col("hi").alias("yh"), F.col("lo").alias("yl")).distinct()
+def with_least(members: DataFrame, percent: int) -> DataFrame:
+    """Each node of a bucket with the least one, if their sizes can be similar."""
+    near = F.abs(F.shiftright("hi", 8) - F.shiftright("rh", 8)) <= classes_apart(percent)
+    return members.where(near & F.expr("hi <> rh or lo <> rl")).select(F.col("rh").alias("xh"), F.col("rl").alias("xl"), F.col("hi").alias("yh"), F.col("lo").alias("yl")).distinct()
 
 
 def labelled(rows: DataFrame, star: DataFrame, node: str = "", to: str = "c") -> DataFrame:
@@ -315,21 +320,24 @@ def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool)
 
     def pairs(t: pa.Table) -> list[tuple]:
         get = lambda c: t.column(c).to_numpy()
+        t = t.take(pa.compute.sort_indices(t.column("n")))
         n, hi, lo, tile = get("n"), get("hi"), get("lo"), get("tile")
+        last = np.searchsorted(n, n * 100 // percent, "right")  # sets after that are too large to be similar
         raw = t.column("sketch").to_pylist()
         size = min(map(len, raw))
         bits = np.concatenate([_fold(np.frombuffer(r, np.uint8)[None], size) for r in raw])
         pad = -size % 8
         words = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, pad)))).view(np.uint64)
-        same_tile = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        key = tuple(t.column(c)[0].as_py() for c in ("sign", "i", "j"))
+        same_tile = key[1] == key[2]
         _, root = np.unique(np.stack([get("ch").astype(np.int64), get("cl")]), axis=1, return_inverse=True)
         root, found = root.ravel(), []
         for x in range(len(n) - 1):
-            y = np.arange(x + 1, len(n))
-            ok = (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent) & (root[y] != root[x])
+            some = slice(x + 1, last[x])
+            ok = root[some] != root[x]
             if not same_tile:
-                ok &= tile[y] != tile[x]
-            y = y[ok]
+                ok &= tile[some] != tile[x]
+            y = x + 1 + np.flatnonzero(ok)
             if not len(y):
                 continue
             different = np.bitwise_count(words[y] ^ words[x]).sum(1)
@@ -339,7 +347,7 @@ def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool)
                     if root[one] == root[x]:
                         continue
                     root[root == root[one]] = root[x]
-                found.append((int(hi[x]), int(lo[x]), int(hi[one]), int(lo[one])))
+                found.append((*key, *min(((int(hi[x]), int(lo[x])), (int(hi[one]), int(lo[one])))), *max(((int(hi[x]), int(lo[x])), (int(hi[one]), int(lo[one]))))))
         return found
 
     def run(batches):
@@ -358,12 +366,12 @@ def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool)
             held.append(batch)
             if sum(x.num_rows for x in held) >= 4 * TILE:
                 for group in groups_of(pa.Table.from_batches(held), False):
-                    yield _rows(PAIR, pairs(group))
+                    yield _rows(TILE_PAIR, pairs(group))
         if held:
             for group in groups_of(pa.Table.from_batches(held), True):
-                yield _rows(PAIR, pairs(group))
+                yield _rows(TILE_PAIR, pairs(group))
 
-    return rows.mapInArrow(run, PAIR)
+    return rows.mapInArrow(run, TILE_PAIR)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -480,17 +488,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _linked(source: DataFrame, scratch: Scratch, k: int, percent: int, most: int, rounds: int) -> DataFrame:
     rows = scratch.keep(documents_to_nodes(source, k))
     nodes = scratch.keep(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    similar = lambda pairs: _edges(links(pairs, source, nodes, k, percent, scratch))
+    similar = lambda pairs: links(pairs, source, nodes, k, percent, scratch)
 
     pairs, left = candidates(source, k, percent, most, rounds, scratch)
     members = scratch.keep(bucket_members(left))
-    star = stars(similar(_near(pairs.unionByName(with_least(members)), nodes, percent)))
+    star = stars(_edges(similar(_near(pairs.unionByName(with_least(members, percent)), nodes, percent))))
     groups = scratch.keep(tile_groups(members, star))
-    for forest in (True, False) if groups.limit(1).count() else ():
-        more = scratch.keep(tile_pairs(labelled(groups, star), nodes, percent, forest).distinct())
-        if not more.limit(1).count():
-            break
-        star = stars(star.unionByName(similar(more)))
+    if groups.limit(1).count():
+        forest = scratch.keep(tile_pairs(labelled(groups, star), nodes, percent, forest=True))
+        held = scratch.keep(similar(forest.select(ENDS)))
+        star = stars(star.unionByName(_edges(held)))
+        failed = forest.join(held, ENDS, "left_anti").select("sign", "i", "j").distinct()
+        again = groups.join(failed, ["sign", "i", "j"], "left_semi")
+        more = scratch.keep(tile_pairs(labelled(again, star), nodes, percent, forest=False).select(ENDS).distinct())
+        if more.limit(1).count():
+            star = stars(star.unionByName(_edges(similar(more))))
 
     member = star.unionByName(star.select(F.col("v").alias("u"), "v").distinct()).select("u.hi", "u.lo", F.col("v").alias("root"))
     rooted = nodes.select("hi", "lo", "id").join(member, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
