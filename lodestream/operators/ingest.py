@@ -72,3 +72,18 @@ def first_notices(rejected: DataFrame, key: str, order: list[str], most: int) ->
     """The first ``most`` rejections of each source."""
     w = Window.partitionBy(key).orderBy(*order)
     return rejected.withColumn("notice", F.row_number().over(w)).where(F.col("notice") <= most)
+
+
+def normalise_positions(obs: DataFrame, declared: DataFrame) -> DataFrame:
+    """Positions (basis, ee, en, nn) without a region take a circle of the declared error and the declaration's note; never a reported one."""
+    fill = (F.col("basis") == "unreported") & F.col("declared_sigma").isNotNull()
+    joined = obs.join(F.broadcast(declared), "source_id", "left")  # one row per configured source
+    var = F.col("declared_sigma") * F.col("declared_sigma")
+    return joined.select(
+        *[c for c in obs.columns if c not in ("basis", "ee", "en", "nn")],
+        F.when(fill, F.lit("assumed")).otherwise(F.col("basis")).alias("basis"),
+        F.when(fill, var).otherwise(F.col("ee")).alias("ee"),
+        F.when(fill, 0.0).otherwise(F.col("en")).alias("en"),
+        F.when(fill, var).otherwise(F.col("nn")).alias("nn"),
+        F.when(fill, F.col("declared_note")).alias("note"),
+    )

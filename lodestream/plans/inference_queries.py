@@ -1,4 +1,4 @@
-"""Classification, corrections, re-identification, picture and geometry."""
+"""Memory, picture and geometry."""
 
 from __future__ import annotations
 
@@ -8,112 +8,6 @@ from pyspark.sql import functions as F
 from lodestream.functions import geo_sql as G
 from lodestream.plans.tables import observations, query
 
-#: A small library: class, parent, prior, hints and the range of the entity's mean duration.
-_CLASSES = [
-    ("net", None, 0.0, None, None, None), ("link", None, 0.0, None, None, None),
-    ("net.voice", "net", 0.3, "click", 0.0, 60.0), ("net.relay", "net", 0.2, "view", 20.0, 90.0),
-    ("link.up", "link", 0.25, "purchase", 30.0, 120.0), ("link.down", "link", 0.25, "signup", 0.0, 200.0),
-]
-_LIB_SQL = ", lib(class_id, parent, prior, hint, lo, hi) AS (VALUES " + ", ".join(
-    "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in row) + ")" for row in _CLASSES
-) + ")"
-_POST_SQL = _LIB_SQL + """, f AS (SELECT entity, round(avg(abs(duration_s)), 6) AS mean_s, list_sort(list(DISTINCT source_id) FILTER (k % 10 < 2)) AS hints FROM obs GROUP BY 1),
-llr AS (SELECT entity, class_id, parent, prior,
-  CASE WHEN hints IS NULL OR len(hints) = 0 THEN 0.0 WHEN list_contains(hints, hint) THEN ln(0.9 / 0.5) ELSE ln(0.1 / 0.5) END AS by_hint,
-  CASE WHEN mean_s BETWEEN lo AND hi THEN greatest(-6.0, least(6.0, ln((1 / (hi - lo)) / (1 / 500.0)))) ELSE -6.0 END AS by_range
-  FROM f CROSS JOIN lib WHERE hint IS NOT NULL),
-s AS (SELECT *, 0.8 * (by_hint + by_range) + ln(prior * 0.5) AS score FROM llr),
-m AS (SELECT entity, greatest(max(score), ln(0.5)) AS top FROM s GROUP BY 1),
-z AS (SELECT s.*, exp(score - top) AS w, exp(ln(0.5) - top) AS bg FROM s JOIN m USING (entity)),
-post AS (SELECT entity, class_id, parent, by_hint, by_range, round(w / (sum(w) OVER (PARTITION BY entity) + bg), 6) AS p, round(bg / (sum(w) OVER (PARTITION BY entity) + bg), 6) AS p_bg FROM z)"""
-
-
-def library(spark):
-    return spark.createDataFrame(_CLASSES, "class_id string, parent string, prior double, hint string, lo double, hi double")
-
-
-def posterior(spark, sf_dir):
-    """Tempered log-likelihood ratios of every leaf, and their softmax with a background class."""
-    o = observations(spark, sf_dir)
-    f = o.groupBy("entity").agg(F.round(F.avg(F.abs("duration_s")), 6).alias("mean_s"), F.array_sort(F.collect_set(F.when(F.col("k") % 10 < 2, F.col("source_id")))).alias("hints"))
-    leaves = F.broadcast(library(spark).where("hint is not null"))  # the library's leaves
-    by_hint = F.when(F.size("hints") == 0, 0.0).when(F.array_contains("hints", F.col("hint")), F.log(F.lit(0.9 / 0.5))).otherwise(F.log(F.lit(0.1 / 0.5)))
-    by_range = F.when(F.col("mean_s").between(F.col("lo"), F.col("hi")), F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.log((1 / (F.col("hi") - F.col("lo"))) / (1 / 500.0))))).otherwise(-6.0)
-    s = f.crossJoin(leaves).withColumns({"by_hint": by_hint, "by_range": by_range}).withColumn("score", 0.8 * (F.col("by_hint") + F.col("by_range")) + F.log(F.col("prior") * 0.5))
-    w = Window.partitionBy("entity")
-    background = F.log(F.lit(0.5))
-    z = s.withColumn("top", F.greatest(F.max("score").over(w), background)).withColumns({"w": F.exp(F.col("score") - F.col("top")), "bg": F.exp(background - F.col("top"))})
-    total = F.sum("w").over(w) + F.col("bg")
-    return z.select("entity", "class_id", "parent", "by_hint", "by_range", F.round(F.col("w") / total, 6).alias("p"), F.round(F.col("bg") / total, 6).alias("p_bg"))
-
-
-@query("posterior_softmax", _POST_SQL + "SELECT entity, class_id, p, p_bg FROM post")
-def posterior_softmax(spark, sf_dir):
-    return posterior(spark, sf_dir).select("entity", "class_id", "p", "p_bg")
-
-
-@query("tree_rollup", _POST_SQL + "SELECT entity, parent AS category, round(sum(p), 6) AS p FROM post GROUP BY 1, 2")
-def tree_rollup(spark, sf_dir):
-    return posterior(spark, sf_dir).groupBy("entity", F.col("parent").alias("category")).agg(F.round(F.sum("p"), 6).alias("p"))
-
-
-@query("decide_class", _POST_SQL + """, r AS (SELECT *, row_number() OVER w AS rn, lead(p) OVER w AS p2, lead(parent) OVER w AS parent2 FROM post WINDOW w AS (PARTITION BY entity ORDER BY p DESC, class_id))
-SELECT entity, CASE WHEN p >= 0.4 AND p - p2 >= 0.15 THEN class_id WHEN p >= 0.4 AND parent = parent2 THEN parent WHEN p >= 0.4 THEN 'ambiguous' WHEN p_bg >= 0.6 THEN 'unlike_library' ELSE 'ambiguous' END AS decision, p >= 0.7 AS likely, round(p - p2, 6) AS lead FROM r WHERE rn = 1""")
-def decide_class(spark, sf_dir):
-    w = Window.partitionBy("entity").orderBy(F.desc("p"), "class_id")
-    r = posterior(spark, sf_dir).withColumns({"rn": F.row_number().over(w), "p2": F.lead("p").over(w), "parent2": F.lead("parent").over(w)}).where("rn = 1")
-    known = F.col("p") >= 0.4
-    decision = F.when(known & (F.col("p") - F.col("p2") >= 0.15), F.col("class_id")).when(known & (F.col("parent") == F.col("parent2")), F.col("parent")).when(known, "ambiguous").when(F.col("p_bg") >= 0.6, "unlike_library").otherwise("ambiguous")
-    return r.select("entity", decision.alias("decision"), (F.col("p") >= 0.7).alias("likely"), F.round(F.col("p") - F.col("p2"), 6).alias("lead"))
-
-
-@query("top_reasons_llr", _POST_SQL + """SELECT entity, class_id, reason, round(llr, 6) AS llr, rn FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(abs(llr), 6) DESC, class_id, reason)::INTEGER AS rn FROM (
-  SELECT entity, class_id, 'hint' AS reason, by_hint AS llr FROM post UNION ALL SELECT entity, class_id, 'range', by_range FROM post)) WHERE rn <= 5""")
-def top_reasons_llr(spark, sf_dir):
-    each = posterior(spark, sf_dir).select("entity", "class_id", F.inline(F.array(F.struct(F.lit("hint").alias("reason"), F.col("by_hint").alias("llr")), F.struct(F.lit("range").alias("reason"), F.col("by_range").alias("llr")))))
-    w = Window.partitionBy("entity").orderBy(F.desc(F.round(F.abs("llr"), 6)), "class_id", "reason")
-    return each.withColumn("rn", F.row_number().over(w)).where("rn <= 5").withColumn("llr", F.round("llr", 6))
-
-
-@query("library_ancestors", "WITH RECURSIVE " + _LIB_SQL[2:] + ", up AS (SELECT class_id, class_id AS ancestor, 0 AS depth FROM lib UNION ALL SELECT up.class_id, lib.parent, depth + 1 FROM up JOIN lib ON lib.class_id = up.ancestor WHERE lib.parent IS NOT NULL) SELECT * FROM up", obs=False)
-def library_ancestors(spark, sf_dir):
-    library(spark).createOrReplaceTempView("lodestream_lib")
-    return spark.sql("""WITH RECURSIVE up AS (SELECT class_id, class_id AS ancestor, 0 AS depth FROM lodestream_lib
-      UNION ALL SELECT up.class_id, l.parent, depth + 1 FROM up JOIN lodestream_lib l ON l.class_id = up.ancestor WHERE l.parent IS NOT NULL) SELECT * FROM up""")
-
-
-_CORR = [(1, "confirm", "net.voice", None), (2, "reject", "link.up", None), (3, "affiliation", None, "friend"), (7, "reject", "net.relay", "neutral")]
-_CORR_SQL = ", corr(entity, action, class_id, affiliation) AS (VALUES " + ", ".join(f"({a}, '{b}', {'NULL' if c is None else repr(c)}, {'NULL' if d is None else repr(d)})" for a, b, c, d in _CORR) + ")"
-
-
-@query("corrections_left", _POST_SQL + _CORR_SQL + """, kept AS (SELECT post.*, corr.action FROM post LEFT JOIN corr ON corr.entity = post.entity WHERE NOT (coalesce(corr.action, '') = 'reject' AND corr.class_id = post.class_id))
-SELECT entity, class_id, round(p / (sum(p) OVER (PARTITION BY entity) + p_bg), 5) AS p, coalesce(action, 'none') AS action FROM kept""")
-def corrections_left(spark, sf_dir):
-    corr = F.broadcast(spark.createDataFrame(_CORR, "entity long, action string, wrong string, affiliation string"))
-    kept = posterior(spark, sf_dir).join(corr, "entity", "left").where(~((F.coalesce("action", F.lit("")) == "reject") & F.coalesce(F.col("wrong") == F.col("class_id"), F.lit(False))))
-    return kept.select("entity", "class_id", F.round(F.col("p") / (F.sum("p").over(Window.partitionBy("entity")) + F.col("p_bg")), 5).alias("p"), F.coalesce("action", F.lit("none")).alias("action"))
-
-
-@query("affiliation_overlay", _CORR_SQL + "SELECT e.entity, coalesce(corr.affiliation, CASE WHEN e.entity % 4 = 0 THEN 'assumed_friend' END, 'unknown') AS affiliation FROM (SELECT DISTINCT entity FROM obs) e LEFT JOIN corr ON corr.entity = e.entity")
-def affiliation_overlay(spark, sf_dir):
-    corr = F.broadcast(spark.createDataFrame(_CORR, "entity long, action string, wrong string, affiliation string"))
-    e = observations(spark, sf_dir).select("entity").distinct().join(corr, "entity", "left")
-    return e.select("entity", F.coalesce("affiliation", F.when(F.col("entity") % 4 == 0, "assumed_friend"), F.lit("unknown")).alias("affiliation"))
-
-
-_MEM = """, mem AS (SELECT entity, min(t_us) AS first_us, max(t_us) AS last_us, any_value(freq_hz) AS freq_hz, count(*) AS n FROM obs GROUP BY 1),
-cand AS (SELECT a.entity AS entity, b.entity AS old, (a.first_us - b.last_us) / 1e6 AS gap_s FROM mem a JOIN mem b ON a.entity <> b.entity AND abs(a.freq_hz - b.freq_hz) <= 25000 AND b.last_us - 2500000000000 < a.first_us)"""
-
-
-def _candidates(spark, sf_dir):
-    from lodestream.operators.matching import near_buckets
-
-    m = observations(spark, sf_dir).groupBy("entity").agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.min("freq_hz").alias("freq_hz"))
-    a = m.select("entity", "first_us", F.col("freq_hz").alias("fa"), F.floor(F.col("freq_hz") / 25000.0).alias("b"))
-    b = m.select(F.col("entity").alias("old"), "last_us", F.col("freq_hz").alias("fb"), near_buckets(F.col("freq_hz"), 25000.0).alias("b"))
-    near = a.join(b, "b").where((F.col("entity") != F.col("old")) & (F.abs(F.col("fa") - F.col("fb")) <= 25000) & (F.col("last_us") - 2500000000000 < F.col("first_us")))
-    return near.select("entity", "old", ((F.col("first_us") - F.col("last_us")) / 1e6).alias("gap_s"))
-
 
 @query("memory_evict", "SELECT entity, last_us FROM (SELECT entity, max(t_us) AS last_us FROM obs GROUP BY 1) WHERE last_us >= (SELECT max(t_us) FROM obs) - 604800000000 ORDER BY last_us DESC, entity LIMIT 50")
 def memory_evict(spark, sf_dir):

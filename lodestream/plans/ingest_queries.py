@@ -81,13 +81,6 @@ def notes_once(spark, sf_dir):
     return observations(spark, sf_dir).where("basis <> 'measured'").groupBy("source_id", F.col("basis").alias("code")).agg(F.min("t_us").alias("first_us"))
 
 
-@query("adapt_detection", """SELECT observation_id, strftime(make_timestamp(t_us), '%Y-%m-%dT%H:%M:%S.') || lpad(((t_us // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS t, bearing_deg, 'measured' AS basis, 'sigma relabelled' AS conversion FROM obs WHERE bearing_deg < 360 AND sigma_deg IS NOT NULL""")
-def adapt_detection(spark, sf_dir):
-    o = observations(spark, sf_dir).where("bearing_deg < 360 and sigma_deg is not null")
-    seconds = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros("t_us").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return o.select("observation_id", seconds.alias("t"), "bearing_deg", F.lit("measured").alias("basis"), F.lit("sigma relabelled").alias("conversion"))
-
-
 @query("text_format", """SELECT observation_id, CASE WHEN freq_hz >= 1e9 THEN printf('%.4f GHz', freq_hz / 1e9) WHEN freq_hz >= 1e6 THEN printf('%.4f MHz', freq_hz / 1e6) ELSE printf('%.4f kHz', freq_hz / 1e3) END AS freq,
   CASE WHEN duration_s >= 3600 THEN printf('%.6f h', duration_s / 3600) WHEN duration_s >= 60 THEN printf('%.6f min', duration_s / 60) ELSE printf('%.6f s', duration_s) END AS duration, source_id || ':' || entity AS sensor FROM obs""")
 def text_format(spark, sf_dir):
