@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import classify_queries, feature_queries, inference_queries, ingest_queries, map_queries, matching_queries, record_queries, scalar_queries, sequential_queries, tracking_queries  # noqa: F401  they register their queries
+from lodestream.plans import classify_queries, feature_queries, inference_queries, ingest_queries, map_queries, matching_queries, record_queries, scalar_queries, sequential_queries, stream_queries, tracking_queries  # noqa: F401  they register their queries
 from lodestream.plans.tables import REGISTRY
 
 FLAGSHIP = "source_stats"

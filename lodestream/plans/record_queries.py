@@ -248,3 +248,23 @@ def rotated_regions(spark, sf_dir):
     """Regions turned by a fix's convergence keep their size."""
     ee, _, nn = G.rotate_covariance(900.0 + F.col("k"), F.lit(50.0), 400.0 + F.col("k"), F.col("bearing_deg"))
     return observations(spark, sf_dir).select("observation_id", F.round(ee + nn, 6).alias("trace"))
+
+
+_PICTURE = """, p AS (SELECT CASE WHEN observation_id % 97 = 0 THEN observation_id - 1 ELSE observation_id END AS id, t_us AS first_us, t_us + CASE WHEN k % 17 = 0 THEN -1 ELSE 1000 END AS last_us, round(0.9 - k % 10 * 0.05, 2) AS confidence, CASE WHEN k % 4 = 0 THEN 0.6 ELSE 1.0 END AS bound,
+  CASE k % 3 WHEN 0 THEN 'friend' WHEN 1 THEN 'neutral' ELSE 'hostile' END AS affiliation, '100' || CASE WHEN k % 13 = 0 THEN '1' ELSE CASE k % 3 WHEN 0 THEN '3' WHEN 1 THEN '4' ELSE '6' END END || '1000001100000000' AS code FROM obs)"""
+
+
+@query("picture_issues", _PICTURE + """ SELECT id, issue FROM (SELECT id, unnest([CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'id repeats' END, CASE WHEN last_us < first_us THEN 'last is before first' END, CASE WHEN confidence > bound THEN 'confidence is above its bound' END,
+  CASE WHEN substr(code, 4, 1) <> CASE affiliation WHEN 'friend' THEN '3' WHEN 'neutral' THEN '4' ELSE '6' END THEN 'symbol is of another affiliation' END]) AS issue FROM p) WHERE issue IS NOT NULL""")
+def picture_issues(spark, sf_dir):
+    """What contradicts itself in a picture: ids, times, confidences, symbols."""
+    o, k = observations(spark, sf_dir), F.col("k")
+    affiliation = F.when(k % 3 == 0, "friend").when(k % 3 == 1, "neutral").otherwise("hostile")
+    digit = lambda c: F.when(c == "friend", "3").when(c == "neutral", "4").otherwise("6")
+    p = o.select(
+        F.when(F.col("observation_id") % 97 == 0, F.col("observation_id") - 1).otherwise(F.col("observation_id")).alias("id"), F.col("t_us").alias("first_us"), (F.col("t_us") + F.when(k % 17 == 0, -1).otherwise(1000)).alias("last_us"),
+        F.round(0.9 - k % 10 * 0.05, 2).alias("confidence"), F.when(k % 4 == 0, 0.6).otherwise(1.0).alias("bound"), affiliation.alias("affiliation"), F.concat(F.lit("100"), F.when(k % 13 == 0, "1").otherwise(digit(affiliation)), F.lit("1000001100000000")).alias("code"),
+    )
+    twice = F.count("*").over(Window.partitionBy("id")) > 1
+    checks = F.array(F.when(F.col("twice"), "id repeats"), F.when(F.col("last_us") < F.col("first_us"), "last is before first"), F.when(F.col("confidence") > F.col("bound"), "confidence is above its bound"), F.when(F.substring("code", 4, 1) != digit(F.col("affiliation")), "symbol is of another affiliation"))
+    return p.withColumn("twice", twice).select("id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("issue"))

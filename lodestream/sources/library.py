@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Features on a decimal scale, and words that a label may not use.
 LOG_SCALE = {"freq_hz", "bandwidth_hz", "duration_s", "period_s"}
 
 
+FORBIDDEN = re.compile(r"\b(target\w*|strike\w*|engag\w*|kill\w*|likely|possible)\b", re.IGNORECASE)
+
+
 def parse(text: str, name: str) -> dict:
     if name.endswith(".json"):
         return json.loads(text)
@@ -33,6 +38,8 @@ def issues(library: dict) -> list[str]:
         at = f"/classes/{place}"
         if c.get("parent") is not None and c["parent"] not in parents:
             found.add(f"{at}/parent {c['parent']} is no class")
+        if word := FORBIDDEN.search(str(c.get("label") or "")):
+            found.add(f"{at}/label uses {word[0]}")
         seen, node = set(), c.get("class_id")
         while node is not None and node not in seen:
             seen.add(node)

@@ -50,6 +50,11 @@ def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     return with_issues(numbered.withColumn("origin", F.concat_ws(":", "file", F.col("line").cast("string"))))
 
 
+def stream_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of files as they are dropped into a folder, judged like those of a file: what a sender is told is wrong is a filter of it."""
+    return with_issues(spark.readStream.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
+
+
 def delivery_order(judged: DataFrame) -> DataFrame:
     """Lines in the order of delivery: those whose field ``t`` gives no time first, then by time and line."""
     return judged.orderBy(F.try_to_timestamp("r.t").asc_nulls_first(), "file", "line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,38 @@ def resume(log: DataFrame, last_seen: int) -> tuple[str, DataFrame]:
     return "snapshot", snapshot(log)
 
 
-def publish(stream: DataFrame, path: str, key: str, value: str, checkpoint: str):
-    """Append each micro-batch's upserts to the log at ``path``; a batch that is run again writes its own folder anew."""
+def publish(stream: DataFrame, path: str, key: str, value: str, order: str, checkpoint: str):
+    """Append each micro-batch's changes to the log at ``path``: the latest row of each key by ``order``, where its value is new; null removes.
+
+    Numbers go on from the last one without a gap. A batch that is run again finds the log
+    as it was before it and writes its own folder anew.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.select(F.col(key).alias("key"), F.lit("upsert").alias("op"), F.col(value).alias("value")).dropDuplicates(["key"])
-        numbered(latest, number * 1_000_000).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        latest = batch.groupBy(F.col(key).alias("key")).agg(F.max_by(F.col(value), F.col(order)).alias("value"))
+        try:
+            log = spark.read.parquet(path).where(F.col("batch") < number)
+        except AnalysisException:  # the first batch: there is no log yet
+            log = spark.createDataFrame([], "key string, op string, value string, seq long")
+        known = snapshot(log).select(F.col("key"), F.col("value").alias("old"))
+        op = F.when(F.col("value").isNull() & F.col("old").isNotNull(), "remove").when(F.col("value").isNotNull() & ~F.col("old").eqNullSafe(F.col("value")), "upsert")
+        delta = latest.join(known, "key", "left").withColumn("op", op).where("op is not null").select("key", "op", "value")
+        last = log.agg(F.max("seq")).first()[0] or 0
+        numbered(delta, last).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def record(log: DataFrame, run_id: str) -> DataFrame:
+    """The lines of a recording: a greeting, then every change, as JSON in the order of their numbers."""
+    hello = log.sparkSession.createDataFrame([(0, "hello", None, None)], "seq long, op string, key string, value string")
+    rows = hello.unionByName(log.select("seq", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
+    line = F.to_json(F.struct(F.lit(run_id).alias("run_id"), F.when(F.col("seq") > 0, F.col("seq")).alias("seq"), "op", "key", "value"))
+    return rows.orderBy("seq").select(line.alias("value"))
+
+
+def health(query) -> dict:
+    """Counters of a running query: its last batch, rows taken and rates."""
+    progress = query.lastProgress or {}
+    return {"batch": progress.get("batchId"), "rows": progress.get("numInputRows", 0), "rows_per_second": progress.get("processedRowsPerSecond", 0.0), "active": query.isActive, "error": str(query.exception()) if query.exception() else None}

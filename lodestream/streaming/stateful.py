@@ -2,11 +2,14 @@
 
 Both call the same ``step`` as the batch form. Late rows are kept (the operators take
 them with a non-negative time step), so no watermark drops them; state lives in the
-session's state store, one value per channel island, and spills with RocksDB.
+session's state store, one value per channel island, and spills with RocksDB. Where an
+island is silent for ``settle_ms`` of processing time, what is held back comes out: open
+groups close and the reorder buffer is emptied, as at the end of a stream.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -17,35 +20,45 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestream.operators import grouping, track
 
 
-def group_stream(bearings: DataFrame) -> DataFrame:
+#: Twice and a half the stream's lateness of two seconds.
+SETTLE_MS = 5000
+
+
+def group_stream(bearings: DataFrame, settle_ms: int = SETTLE_MS) -> DataFrame:
     """Members of the groups that close, as the stream moves on; input as ``group_snapshots`` with an ``island`` column."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         groups, made = pickle.loads(state.get[0]) if state.exists else ([], 0)
         columns = ["t", "source_id", "sensor_id", "bearing_deg", "freq_hz", "bandwidth_hz", "observation_id"]
         rows = [r for pdf in pdfs for r in pdf[columns].itertuples(index=False, name=None)]
-        groups, closed = grouping.step(groups, rows, max((r[0] for r in rows), default=None))
+        now = math.inf if state.hasTimedOut else max((r[0] for r in rows), default=None)
+        groups, closed = grouping.step(groups, rows, now)
         out = [(key[0], made + i, g.last_t, g.freq, g.bandwidth, int(m[6])) for i, g in enumerate(closed) for m in g.members]
         state.update((pickle.dumps((groups, made + len(closed))),))
+        if groups:
+            state.setTimeoutDuration(settle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in grouping.SCHEMA.split(", ")])
 
-    return bearings.groupBy("island").applyInPandasWithState(run, grouping.SCHEMA, "held binary", "append", GroupStateTimeout.NoTimeout)
+    return bearings.groupBy("island").applyInPandasWithState(run, grouping.SCHEMA, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def track_stream(fixes: DataFrame) -> DataFrame:
+def track_stream(fixes: DataFrame, settle_ms: int = SETTLE_MS) -> DataFrame:
     """Track rows as fixes arrive; a reorder buffer holds fixes back for ``LATENCY_S``."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, waiting = pickle.loads(state.get[0]) if state.exists else (track.State(), [])
         columns = ["t", "fix_id", "e", "n", "ee", "en", "nn", "freq_hz", "bandwidth_hz"]
         waiting += [r for pdf in pdfs for r in pdf[columns].itertuples(index=False, name=None)]
-        now = max((r[0] for r in waiting), default=0.0)
+        now = math.inf if state.hasTimedOut else max((r[0] for r in waiting), default=0.0)
         ready = sorted(r for r in waiting if r[0] <= now - track.LATENCY_S)
         rows = []
         for row in ready:
             rows += track.step(held, [row], row[0])
-        state.update((pickle.dumps((held, [r for r in waiting if r[0] > now - track.LATENCY_S])),))
+        late = [r for r in waiting if r[0] > now - track.LATENCY_S]
+        state.update((pickle.dumps((held, late)),))
+        if late:
+            state.setTimeoutDuration(settle_ms)
         out = pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in track.SCHEMA.split(", ")])
         yield out.astype({"fix_id": "Int64", "merged_into": "Int64"})
 
-    return fixes.groupBy("island").applyInPandasWithState(run, track.SCHEMA, "held binary", "append", GroupStateTimeout.NoTimeout)
+    return fixes.groupBy("island").applyInPandasWithState(run, track.SCHEMA, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -89,7 +89,7 @@ def test_filter_tells_a_mover_from_a_stayer():
             f.update(np.array([speed * 5 * i, 0.0]) + rng.normal(0, 100, 2), np.eye(2) * 1e4)
         assert (f.mu[0] > 0.6) == (speed == 0.0)
         assert abs(f.mu.sum() - 1) < 1e-9
-    assert np.allclose(imm.expm(imm.RATES * 7).sum(1), 1)
+    assert np.allclose(imm.switching(7.0).sum(1), 1) and np.allclose(imm.switching(3.0) @ imm.switching(4.0), imm.switching(7.0))
 
 
 def test_tracks_keep_two_emitters_apart():

@@ -1,9 +1,11 @@
 """The streaming forms give what the batch forms give."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from lodestream.operators import grouping
-from lodestream.streaming import stateful
+from lodestream.streaming import picture, stateful
 
 
 def test_grouping_stream_matches_batch(spark, tmp_path):
@@ -14,8 +16,44 @@ def test_grouping_stream_matches_batch(spark, tmp_path):
     batch = {tuple(sorted(r["ids"])) for r in grouping.group_snapshots(bearings).groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids")).collect()}
     for part in (0, 1):
         islands.where((F.col("t") >= 20) == bool(part)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = stateful.group_stream(spark.readStream.schema(islands.schema).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("groups").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    found = {tuple(sorted(r["ids"])) for r in spark.table("groups").groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids")).collect()}
-    assert found and found <= batch  # what is still open has not been written
+    stream = stateful.group_stream(spark.readStream.schema(islands.schema).parquet(str(tmp_path / "in")), settle_ms=1500)
+    query = stream.writeStream.format("memory").queryName("groups").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):  # what is still open comes out once the islands are silent
+            found = {tuple(sorted(r["ids"])) for r in spark.table("groups").groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids")).collect()}
+            if found == batch:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert found == batch
+    assert picture.health(query)["active"] is False
+
+
+def test_tracks_come_out_of_the_buffer(spark, tmp_path):
+    fixes = spark.createDataFrame([(1, float(t), t, 100.0, 50.0, 100.0, 0.0, 100.0, 4e8, 5e3) for t in (0, 10, 5, 20)], "island long, t double, fix_id long, e double, n double, ee double, en double, nn double, freq_hz double, bandwidth_hz double")
+    fixes.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stateful.track_stream(spark.readStream.schema(fixes.schema).parquet(str(tmp_path / "in")), settle_ms=1500)
+    query = stream.writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            rows = [r["fix_id"] for r in spark.table("tracks").where("fix_id is not null").collect()]
+            if len(rows) == 4:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert rows == [0, 5, 10, 20]  # by time, the last one once the stream is silent
+
+
+def test_published_log_has_no_gap_and_removes(spark, tmp_path):
+    schema = "key string, value string, at long"
+    for n, rows in enumerate([[("a", "1", 1), ("a", "2", 2), ("b", "1", 1)], [("a", "2", 3), ("b", None, 3), ("c", "5", 3)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = picture.publish(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), "key", "value", "at", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert sorted((r["seq"], r["key"], r["op"], r["value"]) for r in log.collect()) == [(1, "a", "upsert", "2"), (2, "b", "upsert", "1"), (3, "b", "remove", None), (4, "c", "upsert", "5")]
+    assert {(r["key"], r["value"]) for r in picture.snapshot(log).collect()} == {("a", "2"), ("c", "5")}
+    assert [r["value"] for r in picture.record(log, "r").collect()][0] == '{"run_id":"r","op":"hello"}'
+    assert picture.resume(log, 2)[0] == "deltas" and picture.resume(log.where("seq > 3"), 1)[0] == "snapshot"
