@@ -1,9 +1,16 @@
-"""Fixes from the bearings of a snapshot: weighted least squares, co-channel split, height."""
+"""Fixes from the bearings of a snapshot: weighted least squares, co-channel split, height.
+
+All groups of a batch are solved at once: rows are arrays, a group's sums are bin counts and
+its 2 x 2 systems closed forms, so Python's work does not grow with the number of groups. The
+co-channel split lists every assignment of every group as groups of its own and solves them
+the same way.
+"""
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,9 +18,13 @@ from pyspark.sql import DataFrame
 
 from lodestream.functions import geo_np as G
 
+#: Least crossing, greatest condition, rounds of weighing, least range; assignments of a split, and how much worse the next must be.
 MIN_CROSSING_DEG, MAX_CONDITION, REWEIGHTS, MIN_RANGE_M = 10.0, 1e12, 3, 1.0
 MOST_ASSIGNMENTS, AMBIGUOUS_CHI2 = 4096, 4.0
-SCHEMA = "group_id long, emitter int, reason string, basis string, lat double, lon double, ee double, en double, nn double, n_bearings int"
+SCHEMA = "group_id long, emitter int, reason string, basis string, lat double, lon double, ee double, en double, nn double, residual_deg double, crossing_deg double, n_bearings int, n_excluded int"
+_NUMBERS = ("lat", "lon", "ee", "en", "nn", "residual_deg", "crossing_deg")
+#: Rows that are solved at once, but for single groups that are larger.
+BATCH_ROWS = 1 << 17
 
 
 def combine(bases: list[str]) -> str:
@@ -22,105 +33,209 @@ def combine(bases: list[str]) -> str:
     return "mixed" if len(set(bases)) > 1 else bases[0]
 
 
-def chi2_99(dof: float) -> float:
-    return dof * (1 - 2 / (9 * dof) + 2.3263 * math.sqrt(2 / (9 * dof))) ** 3
+def chi2_99(dof: np.ndarray | float) -> np.ndarray | float:
+    return dof * (1 - 2 / (9 * dof) + 2.3263 * np.sqrt(2 / (9 * dof))) ** 3
+
+
+def _sum(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(of, values, n)
+
+
+def _sensors(of: np.ndarray, sensor: np.ndarray, n: int) -> np.ndarray:
+    """How many different sensors each group has."""
+    pairs = np.unique(np.stack([of, sensor]), axis=1)
+    return np.bincount(pairs[0], minlength=n)
+
+
+def _best_crossing(of: np.ndarray, theta: np.ndarray, n: int) -> np.ndarray:
+    """The best crossing of each group's lines: of each line, that with the lines next to its right angle."""
+    line = np.degrees(theta) % 180
+    order = np.lexsort((line, of))
+    line, group = line[order], of[order]
+    count = np.bincount(group, minlength=n)
+    first = np.cumsum(count) - count
+    key = group * 1000.0 + line
+    at = np.searchsorted(key, group * 1000.0 + (line + 90) % 180)
+    best = np.zeros(n)
+    for shift in (-1, 0):  # the lines on either side, round the half turn
+        other = first[group] + (at + shift - first[group]) % count[group]
+        apart = np.abs(line - line[other])
+        np.maximum.at(best, group, np.minimum(apart, 180 - apart))
+    return best
+
+
+def fix_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Fixes of n groups. ``of``: each row's group; ``sensor``: a number; ``basis``: its name. A reason stands where there is no fix."""
+    out = {k: np.full(n, np.nan) for k in _NUMBERS}
+    reason = np.full(n, None, object)
+    known = ~np.isnan(sigma)
+    weighted = _sensors(of[known], sensor[known], n) >= 2
+    use = known | ~weighted[of]
+    excluded = np.bincount(of, ~use, n).astype(int)
+    reason[_sensors(of[use], sensor[use], n) < 2] = "too_few_sensors"
+    alive = np.equal(reason, None)
+    rows = np.flatnonzero(use & alive[of])
+    g, la, lo, b, s, names = of[rows], lat[rows], lon[rows], bearing[rows], sigma[rows], basis[rows]
+    count = np.maximum(np.bincount(g, minlength=n), 1)
+    lat0 = _sum(g, la, n) / count
+    lon0 = np.degrees(np.arctan2(_sum(g, np.sin(np.radians(lo)), n), _sum(g, np.cos(np.radians(lo)), n)))
+    if len(rows):
+        e, north = G.to_en(lat0[g], lon0[g], la, lo)
+        theta = np.radians(G.frame_bearing(lat0[g], lon0[g], la, lo, b))
+    else:
+        e = north = theta = np.empty(0)
+    out["crossing_deg"] = np.where(alive, _best_crossing(g, theta, n), np.nan)
+    reason[alive & (out["crossing_deg"] < MIN_CROSSING_DEG)] = "poor_geometry"
+    ne, nn = np.cos(theta), -np.sin(theta)
+    offset, weight, p = ne * e + nn * north, np.ones(len(g)), np.zeros((2, n))
+    for turn in range(REWEIGHTS + 1):
+        if turn:
+            reach = np.maximum(np.hypot(p[0][g] - e, p[1][g] - north), MIN_RANGE_M)
+            weight = np.where(weighted[g], 1 / (reach * np.radians(np.where(weighted[g], s, 1.0))) ** 2, 1.0)
+        a, c, d = (_sum(g, weight * x, n) for x in (ne * ne, ne * nn, nn * nn))
+        x, y = _sum(g, weight * ne * offset, n), _sum(g, weight * nn * offset, n)
+        half, spread = (a + d) / 2, np.hypot((a - d) / 2, c)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ill = (half + spread) / (half - spread)
+            reason[np.equal(reason, None) & ~((ill > 0) & (ill <= MAX_CONDITION))] = "ill_conditioned"
+            det = a * d - c * c
+            p = np.nan_to_num(np.stack([(d * x - c * y) / det, (a * y - c * x) / det]))
+    ahead = (p[0][g] - e) * np.sin(theta) + (p[1][g] - north) * np.cos(theta)
+    reason[np.equal(reason, None) & (_sum(g, ahead < 0, n) > 0)] = "behind_sensor"
+    ok = np.flatnonzero(np.equal(reason, None))
+    kind = np.full(n, None, object)
+    unreported, measured = _sum(g, names == "unreported", n) > 0, _sum(g, names == "measured", n) > 0
+    mixed = measured & (_sum(g, names == "assumed", n) > 0)
+    if len(ok):
+        out["lat"][ok], out["lon"][ok] = G.from_en(lat0[ok], lon0[ok], p[0][ok], p[1][ok])
+        kind[ok] = np.select([unreported[ok], mixed[ok], measured[ok]], ["unreported", "mixed", "measured"], "assumed")
+        r = ok[weighted[ok] & ~unreported[ok]]
+        if len(r):
+            ee, en, vv = d[r] / det[r], -c[r] / det[r], a[r] / det[r]
+            turn = -np.radians(G.frame_bearing(lat0[r], lon0[r], out["lat"][r], out["lon"][r], np.zeros(len(r))))
+            si, co = np.sin(turn), np.cos(turn)
+            out["ee"][r], out["nn"][r] = co * co * ee + 2 * co * si * en + si * si * vv, si * si * ee - 2 * co * si * en + co * co * vv
+            out["en"][r] = -co * si * ee + (co * co - si * si) * en + co * si * vv
+        mine = np.isin(g, ok)
+        _, az = G.inverse(la[mine], lo[mine], out["lat"][g[mine]], out["lon"][g[mine]])
+        off = (az - b[mine] + 180) % 360 - 180
+        out["residual_deg"][ok] = np.sqrt(_sum(g[mine], off * off, n) / count)[ok]
+    return out | {"reason": reason, "basis": kind, "n_excluded": excluded}
 
 
 def fix(lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: list[str]) -> dict:
     """A position, its covariance where the bearings have one, or the reason why there is none."""
-    known = ~np.isnan(sigma)
-    weighted = len(set(sensor[known])) >= 2
-    use = known if weighted else np.ones(len(lat), bool)
-    if len(set(sensor[use])) < 2:
-        return {"reason": "too_few_sensors"}
-    at = G.centroid(lat[use], lon[use])
-    e, n = G.to_en(*at, lat[use], lon[use])
-    theta = np.radians(G.frame_bearing(*at, lat[use], lon[use], bearing[use]))
-    apart = np.abs(np.degrees(theta[:, None] - theta[None])) % 180
-    if np.minimum(apart, 180 - apart).max() < MIN_CROSSING_DEG:
-        return {"reason": "poor_geometry"}
-    normal = np.stack([np.cos(theta), -np.sin(theta)], 1)
-    offset = (normal * np.stack([e, n], 1)).sum(1)
-    weight, p = np.ones(len(e)), np.zeros(2)
-    for round_ in range(REWEIGHTS + 1 if weighted else 1):
-        if round_:
-            reach = np.maximum(np.hypot(p[0] - e, p[1] - n), MIN_RANGE_M)
-            weight = 1 / (reach * np.radians(sigma[use])) ** 2
-        matrix = normal.T @ (weight[:, None] * normal)
-        if np.linalg.cond(matrix) > MAX_CONDITION:
-            return {"reason": "ill_conditioned"}
-        p = np.linalg.solve(matrix, normal.T @ (weight * offset))
-    if (((p[0] - e) * np.sin(theta) + (p[1] - n) * np.cos(theta)) < 0).any():
-        return {"reason": "behind_sensor"}
-    found_lat, found_lon = G.from_en(*at, p[0], p[1])
-    made = {"reason": None, "lat": float(found_lat), "lon": float(found_lon), "basis": combine([b for b, u in zip(basis, use, strict=True) if u])}
-    if weighted and made["basis"] != "unreported":
-        cov = np.linalg.inv(matrix)
-        turn = -math.radians(float(G.frame_bearing(*at, made["lat"], made["lon"], 0.0)))
-        turn = (turn + math.pi) % (2 * math.pi) - math.pi
-        r = np.array([[math.cos(turn), math.sin(turn)], [-math.sin(turn), math.cos(turn)]])
-        cov = r @ ((cov + cov.T) / 2) @ r.T
-        made |= {"ee": cov[0, 0], "en": cov[0, 1], "nn": cov[1, 1]}
-    return made
-
-
-def chi2_of(found: dict, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray) -> float:
-    _, az = G.inverse(lat, lon, found["lat"], found["lon"])
-    return float((((az - bearing + 180) % 360 - 180) / sigma) @ (((az - bearing + 180) % 360 - 180) / sigma))
+    found = fix_many(np.zeros(len(lat), int), lat, lon, bearing, sigma, np.unique(sensor, return_inverse=True)[1].ravel(), np.array(basis, object), 1)
+    return {k: v[0] for k, v in found.items() if not (isinstance(v[0], float) and math.isnan(v[0]))}
 
 
-def locate(lat, lon, bearing, sigma, sensor, basis) -> list[dict]:
-    """One fix, or one per emitter where a sensor has several bearings of one channel."""
-    order = np.argsort(sensor, kind="stable")
-    lat, lon, bearing, sigma, sensor, basis = lat[order], lon[order], bearing[order], sigma[order], sensor[order], [basis[i] for i in order]
-    sensors, count = np.unique(sensor, return_counts=True)
-    if count.max() == 1:
-        return [fix(lat, lon, bearing, sigma, sensor, basis)]
-    rows = np.flatnonzero(~np.isnan(sigma))
-    by_sensor = [rows[sensor[rows] == s] for s in sensors if (sensor[rows] == s).any()]
-    k = max(map(len, by_sensor), default=0)
-    dof = len(rows) - 2 * k
-    ways = math.prod(math.perm(k, len(r)) for r in by_sensor) // math.factorial(k) if k else 0
-    if k < 2 or dof <= 0 or ways > MOST_ASSIGNMENTS:
-        return [{"reason": "ambiguous"}]
+def _assignments(by_sensor: list[np.ndarray], k: int) -> Iterator[list[np.ndarray]]:
+    """Every way to deal the sensors' bearings to k emitters of at least two bearings each."""
     first = max(range(len(by_sensor)), key=lambda i: len(by_sensor[i]))
     choices = [[tuple(range(k))] if i == first else list(itertools.permutations(range(k), len(r))) for i, r in enumerate(by_sensor)]
-    found = []
     for assignment in itertools.product(*choices):
-        groups = [[] for _ in range(k)]
+        groups: list[list[int]] = [[] for _ in range(k)]
         for r, places in zip(by_sensor, assignment, strict=True):
             for row, place in zip(r, places, strict=True):
                 groups[place].append(row)
-        if any(len(g) < 2 for g in groups):
+        if all(len(x) >= 2 for x in groups):
+            yield [np.array(x) for x in groups]
+
+
+def locate_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: np.ndarray, n: int) -> list[list[dict]]:
+    """For each group one fix, or one for each emitter where a sensor has several bearings of one channel."""
+    order = np.lexsort((sensor, of))
+    of, lat, lon, bearing, sigma, sensor, basis = (x[order] for x in (of, lat, lon, bearing, sigma, sensor, basis))
+    key = np.stack([of, sensor])
+    again = np.concatenate(([False], (key[:, 1:] == key[:, :-1]).all(0))) if len(of) else np.empty(0, bool)
+    several = np.bincount(of, again, n) > 0
+    plain = ~several[of]
+    got = fix_many(of[plain], lat[plain], lon[plain], bearing[plain], sigma[plain], sensor[plain], basis[plain], n)
+    take = lambda found, i: {k: v[i] for k, v in found.items()}
+    result: list[list[dict]] = [[take(got, i)] for i in range(n)]
+    starts = np.searchsorted(of, np.arange(n + 1))
+    ways, parts = [], []  # (group, k, degrees of freedom), and the rows of each emitter of each way
+    for i in np.flatnonzero(several):
+        rows = np.arange(starts[i], starts[i + 1])
+        rows = rows[~np.isnan(sigma[rows])]
+        by_sensor = [rows[sensor[rows] == s] for s in np.unique(sensor[rows])]
+        k = max(map(len, by_sensor), default=0)
+        dof = len(rows) - 2 * k
+        count = math.prod(math.perm(k, len(r)) for r in by_sensor) // math.factorial(k) if k else 0
+        result[i] = [{"reason": "ambiguous"}]
+        if k >= 2 and dof > 0 and count <= MOST_ASSIGNMENTS:
+            result[i] = [{"reason": "inconsistent"}]
+            for way in _assignments(by_sensor, k):
+                ways.append((i, k, dof))
+                parts += way
+    if not ways:
+        return result
+    rows = np.concatenate(parts)
+    part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    found = fix_many(part, lat[rows], lon[rows], bearing[rows], sigma[rows], sensor[rows], basis[rows], len(parts))
+    good = np.equal(found["reason"], None)
+    chi2 = np.full(len(parts), np.inf)
+    mine = good[part]
+    if mine.any():
+        _, az = G.inverse(lat[rows[mine]], lon[rows[mine]], found["lat"][part[mine]], found["lon"][part[mine]])
+        off = ((az - bearing[rows[mine]] + 180) % 360 - 180) / sigma[rows[mine]]
+        chi2[good] = np.bincount(part[mine], off * off, len(parts))[good]
+    at = 0
+    scored: dict[int, list[tuple[float, int]]] = {}
+    for i, k, _ in ways:
+        total = float(chi2[at : at + k].sum())
+        if math.isfinite(total):
+            scored.setdefault(i, []).append((total, at))
+        at += k
+    facts = {i: (k, dof) for i, k, dof in ways}
+    for i, list_ in scored.items():
+        list_.sort()
+        k, dof = facts[i]
+        if list_[0][0] > chi2_99(dof):
             continue
-        fixes = [fix(lat[g], lon[g], bearing[g], sigma[g], sensor[g], [basis[i] for i in g]) for g in groups]
-        if all(f["reason"] is None for f in fixes):
-            found.append((sum(chi2_of(f, lat[g], lon[g], bearing[g], sigma[g]) for f, g in zip(fixes, groups, strict=True)), len(found), fixes))
-    found.sort(key=lambda x: x[:2])
-    if not found or found[0][0] > chi2_99(dof):
-        return [{"reason": "inconsistent"}]
-    if len(found) > 1 and found[1][0] - found[0][0] < AMBIGUOUS_CHI2:
-        return [{"reason": "ambiguous"}]
-    return found[0][2]
+        close = len(list_) > 1 and list_[1][0] - list_[0][0] < AMBIGUOUS_CHI2
+        result[i] = [{"reason": "ambiguous"}] if close else [take(found, list_[0][1] + j) for j in range(k)]
+    return result
+
+
+def locate(lat, lon, bearing, sigma, sensor, basis) -> list[dict]:
+    """The fixes of one group."""
+    code = np.unique(sensor, return_inverse=True)[1].ravel()
+    made = locate_many(np.zeros(len(lat), int), lat, lon, bearing, sigma, code, np.array(basis, object), 1)[0]
+    return [{k: v for k, v in f.items() if not (isinstance(v, float) and math.isnan(v))} for f in made]
 
 
 def fixes(members: DataFrame, by: str = "group_id") -> DataFrame:
-    """Fixes of each group. ``members``: group_id, sensor, lat, lon, bearing_deg, sigma_deg (null: unreported), basis; groups with one value of ``by`` are handled together."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["group_id", "sensor", "bearing_deg"], kind="stable")
-        ids, columns = pdf["group_id"].to_numpy(), [pdf[c].to_numpy(float) for c in ("lat", "lon", "bearing_deg", "sigma_deg")]
-        sensor, basis = pdf["sensor"].to_numpy(str), list(pdf["basis"])
-        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        get = lambda f, c: f.get(c)
-        rows = []
-        for a, b in itertools.pairwise(cuts):
-            made = locate(*(c[a:b] for c in columns), sensor[a:b], basis[a:b])
-            rows += [(int(ids[a]), i, get(f, "reason"), get(f, "basis"), *(get(f, c) for c in ("lat", "lon", "ee", "en", "nn")), b - a) for i, f in enumerate(made)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    # few rows but much work for each: as many tasks as the session shuffles into
-    return members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).groupBy(by).applyInPandas(run, SCHEMA)
+    """Fixes of each group. ``members``: group_id, sensor, lat, lon, bearing_deg, sigma_deg (null: unreported), basis; rows with one value of ``by`` go to one task."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, of = np.unique(pdf["group_id"].to_numpy(), return_inverse=True)
+        columns = [pdf[c].to_numpy(float) for c in ("lat", "lon", "bearing_deg", "sigma_deg")]
+        sensor = np.unique(pdf["sensor"].to_numpy(str), return_inverse=True)[1].ravel()
+        made = locate_many(of.ravel(), *columns, sensor, pdf["basis"].to_numpy(object), len(ids))
+        size = np.bincount(of.ravel(), minlength=len(ids))
+        rows = [(int(ids[g]), i, f["reason"], f.get("basis"), *(f.get(c, np.nan) for c in _NUMBERS), int(size[g]), int(f.get("n_excluded", 0))) for g, found in enumerate(made) for i, f in enumerate(found)]
+        out = pd.DataFrame(rows, columns=names)
+        out[list(_NUMBERS)] = out[list(_NUMBERS)].astype(float)
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= BATCH_ROWS:
+                rows = pd.concat(held)
+                last = rows["group_id"] == rows["group_id"].iloc[-1]  # may go on in the next frame
+                held = [rows[last]]
+                if not last.all():
+                    yield solve(rows[~last])
+        if held and sum(map(len, held)):
+            yield solve(pd.concat(held))
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = members.repartition(parts, by).sortWithinPartitions("group_id", "sensor", "bearing_deg").mapInPandas(run, SCHEMA)
+    return made.replace(float("nan"), None, list(_NUMBERS))
 
 
 def height(sensor_alt: np.ndarray, ground: np.ndarray, elevation: np.ndarray, sigma_e: np.ndarray, sigma_range: np.ndarray, radius: float) -> tuple[float, float] | None:
