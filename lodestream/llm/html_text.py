@@ -2,7 +2,9 @@
 
 The page becomes a tree. Elements that never hold the article (scripts, menus, page
 headers and footers, sidebars, forms, notices, adverts, reader comments) are cut off;
-they end as any element does, where their end tag or what implies it stands.
+they end as any element does, where their end tag or what implies it stands. A part that
+only its class or id calls such is cut off unless hardly any text of the page stands
+elsewhere: then the name is no sign, and the largest such part is kept.
 Every node gets its composite density: characters per tag, scaled by a logarithm that
 falls as more of the characters stand in links. A node's density sum is that of its
 children. The node with the largest density sum is the core; the least density on its
@@ -39,6 +41,10 @@ NEVER_WORDS = set(
     "comment comments disqus replies share sharing social related newsletter subscribe signup login popup modal overlay footer masthead site-header page-header toolbar skip widget".split()
 )
 NEVER_STARTS = ("advert", "sponsor", "promo", "recommend")
+#: Of these names those that are never taken for the article's own, however long what they hold is.
+READERS = set("comment comments disqus replies".split())
+#: Share of a page's text that must stand outside of all parts cut off by their names.
+ELSEWHERE = 0.1
 #: With these a compound name is still one of an unwanted part; with others (no-sidebar, with-comments) it is a mark on what may hold the article.
 NEUTRAL = set("site page box block slot unit area bar link links list item items button buttons icons section inner form posts wrap wrapper container".split())
 HEAD = set("title meta link base script style noscript template head".split())
@@ -49,31 +55,33 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "chars", "cut", "density", "density_sum", "link_chars", "links", "parent", "tag", "tags")
+    __slots__ = ("children", "chars", "cut", "suspect", "density", "density_sum", "link_chars", "links", "parent", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False) -> None:
         self.tag, self.parent, self.children, self.cut = tag, parent, [], cut
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.density_sum = 0.0
+        self.suspect = False
 
 
-def _unwanted(value: str) -> bool:
-    """Whether one of the class names or ids is that of a part that holds no article."""
+def _unwanted(value: str) -> str:
+    """What one of the class names or ids calls the part: 'readers', 'other' or nothing of what holds no article."""
+    found = ""
     is_word = lambda w: w in NEVER_WORDS or w.startswith(NEVER_STARTS)
     for token in value.lower().split():
-        if token in NEVER_WORDS:
-            return True
         parts = re.split(r"[_-]+", token)
-        if any(map(is_word, parts)) and all(is_word(w) or w in NEUTRAL for w in parts):
-            return True
-    return False
+        if token in NEVER_WORDS or any(map(is_word, parts)) and all(is_word(w) or w in NEUTRAL for w in parts):
+            if READERS.intersection([token, *parts]):
+                return "readers"
+            found = "other"
+    return found
 
 
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
-        self.foreign = False
+        self.foreign = self.suspects = False
 
     def _close(self, tags: set[str], within: set[str] = frozenset()) -> None:
         """End the nearest open element of ``tags``, unless one of ``within`` is nearer."""
@@ -98,6 +106,8 @@ class _Tree(HTMLParser):
         if tag in ENDS_LIKE:
             self._close(*ENDS_LIKE[tag])
         node = Node(tag, self.at, self.at.cut or self._never(tag, attrs))
+        if not node.cut and tag not in HOLDS_ARTICLE and any(_unwanted(v) == "other" for n, v in attrs if v and n in ("class", "id")):
+            node.suspect = self.suspects = True
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -123,7 +133,7 @@ class _Tree(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if value and (name == "role" and value.lower() in NEVER_ROLES or name in ("class", "id") and _unwanted(value)):
+            if value and (name == "role" and value.lower() in NEVER_ROLES or name in ("class", "id") and _unwanted(value) == "readers"):
                 return True
         return False
 
@@ -145,11 +155,35 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    if tree.suspects:
+        _judge(tree.root)
     for node in _in_order(tree.root):
         node.children = [("\n" if c.tag in BLOCKS else " ") if isinstance(c, Node) and c.cut else c for c in node.children]
     return tree.root
 
 
+def _judge(root: Node) -> None:
+    """Cut the parts off that their names call no article, but for the one without which hardly any text is left."""
+    nodes, chars = _in_order(root), {}
+    for node in reversed(nodes):
+        chars[id(node)] = 0 if node.cut or node.tag == "a" else sum(len(c.strip()) if isinstance(c, str) else chars[id(c)] for c in node.children)
+    while True:
+        outer, waiting = [], [root]
+        while waiting:
+            node = waiting.pop()
+            if node.suspect:
+                outer.append(node)
+            elif not node.cut:
+                waiting.extend(c for c in node.children if isinstance(c, Node))
+        total, held = chars[id(root)], sum(chars[id(n)] for n in outer)
+        spared = max(outer, key=lambda n: chars[id(n)]) if held and total - held < ELSEWHERE * total else None
+        for node in outer:
+            node.suspect = False
+            node.cut = node is not spared
+        if spared is None:
+            return
+
+
 def _in_order(root: Node) -> list[Node]:
     """All nodes, every parent before its children."""
     found, waiting = [], [root]
