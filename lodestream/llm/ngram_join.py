@@ -59,7 +59,8 @@ CLASS = 1.06
 FILTER_BITS = 1 << 26
 #: Nodes that a task remembers at once to pass over copies.
 SEEN = 1 << 18
-_TOKEN = np.uint64((1 << 48) - 1)
+#: Signatures have 48 bits and are even; odd ones mark the sets that choose anew.
+_TOKEN, _MARK = np.uint64((1 << 48) - 2), np.uint64(1)
 _WEIGHTS = mix64(np.arange(7, 7 + PARTS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -180,8 +181,8 @@ def documents_to_nodes(source: DataFrame, k: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray]) -> DataFrame:
-    """Signatures of every node's round: a (48 bits of signature, 16 of the node), b (64 of the node)."""
+def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray], marks: bool = True) -> DataFrame:
+    """Signatures of every node's round: a (48 bits of signature, 16 of the node), b (64 of the node). After the first round a mark of each node that chose anew goes with them."""
     schema = "a long, b long"
     shared = source.sparkSession.sparkContext.broadcast(hot)
 
@@ -197,6 +198,8 @@ def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray
                     seen.clear()
                 seen.add((hi, lo))
                 signs = signer.of(found)
+                if marks and len(signs) and signer.hot:
+                    signs = np.append(signs, mix64(np.array([lo]).view(np.uint64)) & _TOKEN | _MARK)
                 if len(signs):
                     held_a.append((signs << np.uint64(16)) | np.uint64(hi))
                     held_b.append(np.full(len(signs), lo, np.int64))
@@ -212,11 +215,15 @@ TILE_PAIR = "sign long, i int, j int, " + PAIR
 ENDS = ["xh", "xl", "yh", "yl"]
 
 
-def _bucket_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that share a bucket of at most ``most`` nodes, and hot signatures; rows sorted by a, then b."""
+def _bucket_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that share a bucket of at most ``most`` nodes, hot signatures, and rows that are marks; rows sorted by a, then b."""
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     at = np.flatnonzero(new)
     sign = a[at].view(np.uint64) >> np.uint64(16)
+    marks = at[(sign & _MARK).astype(bool)]
+    at, sign = at[~(sign & _MARK).astype(bool)], sign[~(sign & _MARK).astype(bool)]
+    if not len(sign):
+        return at, at, sign, marks
     first = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
     size = np.diff(np.append(first, len(sign)))
     hot = sign[first[size > most]]
@@ -228,16 +235,16 @@ def _bucket_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray,
             xs.append((these[:, None] + i).ravel())
             ys.append((these[:, None] + j).ravel())
     none = np.empty(0, np.int64)
-    return at[np.concatenate([none, *xs])], at[np.concatenate([none, *ys])], hot
+    return at[np.concatenate([none, *xs])], at[np.concatenate([none, *ys])], hot, marks
 
 
 def small_buckets(rows: DataFrame, most: int, percent: int) -> DataFrame:
-    """Pairs of nodes in buckets of at most ``most``, and a row with xh = -1 and the signature as xl for every larger one."""
+    """Pairs of nodes in buckets of at most ``most``, a row with xh = -1 and the signature as xl for every larger one, and one with xh = -2 and the node as y for every mark."""
     schema, apart = PAIR, classes_apart(percent)
     rows = rows.repartition(F.shiftrightunsigned("a", 16)).sortWithinPartitions("a", "b")
 
     def pairs(a, b):
-        x, y, hot = _bucket_pairs(a, b, most)
+        x, y, hot, marks = _bucket_pairs(a, b, most)
         node = lambda i: ((a[i].view(np.uint64) & np.uint64(0xFFFF)).astype(np.int32), b[i])
         (xh, xl), (yh, yl) = node(x), node(y)
         near = np.abs((xh >> 8) - (yh >> 8)) <= apart  # sizes that can be similar
@@ -249,8 +256,8 @@ def small_buckets(rows: DataFrame, most: int, percent: int) -> DataFrame:
         xh, xl, yh, yl = xh[order], xl[order], yh[order], yl[order]
         keep = np.ones(len(xh), dtype=bool)
         keep[1:] = (xh[1:] != xh[:-1]) | (xl[1:] != xl[:-1]) | (yh[1:] != yh[:-1]) | (yl[1:] != yl[:-1])
-        zeros = np.zeros(len(hot), np.int64)
-        columns = [np.concatenate(c) for c in ((xh[keep], np.full(len(hot), -1)), (xl[keep], hot.view(np.int64)), (yh[keep], zeros), (yl[keep], zeros))]
+        zeros, (mh, ml) = np.zeros(len(hot), np.int64), node(marks)
+        columns = [np.concatenate(c) for c in ((xh[keep], np.full(len(hot), -1), np.full(len(marks), -2)), (xl[keep], hot.view(np.int64), 0 * ml), (yh[keep], zeros, mh), (yl[keep], zeros, ml))]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int64, np.int32, np.int64), strict=True)], ["xh", "xl", "yh", "yl"])
 
     def run(batches):
@@ -330,8 +337,8 @@ def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool)
         words = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, pad)))).view(np.uint64)
         key = tuple(t.column(c)[0].as_py() for c in ("sign", "i", "j"))
         same_tile = key[1] == key[2]
-        _, root = np.unique(np.stack([get("ch").astype(np.int64), get("cl")]), axis=1, return_inverse=True)
-        root, found = root.ravel(), []
+        _, root = np.unique(get("cl").view(np.uint64) ^ mix64(get("ch").astype(np.uint64)), return_inverse=True)
+        found = []
         for x in range(len(n) - 1):
             some = slice(x + 1, last[x])
             ok = root[some] != root[x]
@@ -399,20 +406,28 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _with_ids(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose id a filter of the wanted nodes' ids holds, and those without an id."""
+    shared = source.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            yield batch.filter(pa.array(_known(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | np.asarray(ids.is_null())))
+
+    return source.mapInArrow(run, "id long, text string")
+
+
 def _sets_of(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """hi, lo and the sorted set of the wanted nodes (id, hi, lo): a filter of their ids keeps other texts from being worked on or moved."""
     schema = "hi int, lo long, found binary"
-    shared = source.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            ids = batch.column(0)
-            hit = _known(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) | np.asarray(ids.is_null())
-            some = batch.filter(pa.array(hit))
-            yield _rows(schema, [(*node_of(found), found.tobytes()) for _, found in _sets(some, k)])
+            yield _rows(schema, [(*node_of(found), found.tobytes()) for _, found in _sets(batch, k)])
 
-    return source.mapInArrow(run, schema).join(wanted.select("hi", "lo"), ["hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"])
+    some = _with_ids(source, wanted).mapInArrow(run, schema)
+    return some.join(wanted.select("hi", "lo"), ["hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"])
 
 
 def _ends(table: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
@@ -462,17 +477,19 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(node("x").alias("u"), node("y").alias("v"))
 
 
-def candidates(source: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def candidates(source: DataFrame, nodes: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs from small buckets, and the signatures of the sets that are left after the rounds."""
     found, hot = None, []
-    for _ in range(rounds):
+    for number in range(rounds):
         made = scratch.keep(small_buckets(signature_rows(source, k, percent, hot), most, percent).distinct())
         pairs, signs = made.where("xh >= 0"), made.where("xh = -1")
         found = pairs if found is None else found.unionByName(pairs)
         hot = [*hot, _filter_of(signs.select(F.col("xl").alias("id")))]
+        if number:  # the nodes that chose anew in this round; no others can in the next
+            source = _with_ids(source, nodes.join(made.where("xh = -2").select(F.col("yh").alias("hi"), F.col("yl").alias("lo")), ["hi", "lo"], "left_semi"))
         if not hot[-1].any():
             break
-    return found, signature_rows(source, k, percent, hot)
+    return found, signature_rows(source, k, percent, hot, marks=False)
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, most: int = HOT, rounds: int = ROUNDS) -> DataFrame:
@@ -490,7 +507,7 @@ def _linked(source: DataFrame, scratch: Scratch, k: int, percent: int, most: int
     nodes = scratch.keep(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     similar = lambda pairs: links(pairs, source, nodes, k, percent, scratch)
 
-    pairs, left = candidates(source, k, percent, most, rounds, scratch)
+    pairs, left = candidates(source, nodes, k, percent, most, rounds, scratch)
     members = scratch.keep(bucket_members(left))
     star = stars(_edges(similar(_near(pairs.unionByName(with_least(members, percent)), nodes, percent))))
     groups = scratch.keep(tile_groups(members, star))
