@@ -36,7 +36,7 @@ def inside_polygons(points: DataFrame, edges: DataFrame, row: float, x: str = "x
     numbered = points.withColumn(key, F.struct(*points.columns)).withColumn("__row", F.floor(F.col(y) / row))
     first, last = F.floor(F.least("y1", "y2") / row), F.floor(F.greatest("y1", "y2") / row)
     rows = edges.select("x1", "y1", "x2", "y2", F.explode(F.sequence(first, last)).alias("__row"))
-    met = numbered.join(rows, "__row").where(M.crosses(F.col(x), F.col(y), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    met = numbered.distinct().join(rows, "__row").where(M.crosses(F.col(x), F.col(y), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     odd = met.groupBy(key).agg(F.count("*").alias("__n")).where("__n % 2 = 1").select(key, F.lit(True).alias("inside"))
     return numbered.join(odd, key, "left").select(*points.columns, F.coalesce("inside", F.lit(False)).alias("inside"))
 
@@ -66,7 +66,7 @@ def terrain(points: DataFrame, cells: DataFrame, cols: int, rows: int, x: Column
     inside = x.between(0, cols) & y.between(0, rows)
     key = points.withColumn("__key", F.struct(*points.columns)).withColumns({"__i": i, "__j": j, "__u": u - i, "__v": v - j, "__in": inside})
     corner = lambda a, b: F.struct((F.col("__i") + a).alias("i"), (F.col("__j") + b).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    four = key.where("__in").select("__key", "__u", "__v", F.inline(F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))))
+    four = key.distinct().where("__in").select("__key", "__u", "__v", F.inline(F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))))
     wu, wv = F.when(F.col("a") == 1, F.col("__u")).otherwise(1 - F.col("__u")), F.when(F.col("b") == 1, F.col("__v")).otherwise(1 - F.col("__v"))
     sign = lambda c: F.when(F.col(c) == 1, 1.0).otherwise(-1.0)
     met = four.join(cells, ["i", "j"]).groupBy("__key").agg(F.sum(F.col("h") * wu * wv).alias("ground"), F.sum(F.col("h") * sign("a") * wv).alias("slope_e"), F.sum(F.col("h") * sign("b") * wu).alias("slope_n"), F.count("*").alias("__n")).where("__n = 4")

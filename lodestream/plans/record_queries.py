@@ -40,7 +40,7 @@ def lines(spark, sf_dir):
     position = F.concat(F.lit(',"lat":50.0,"lon":10.0,"position_uncertainty":{"basis":"measured",'), region, F.lit("}"))
     coverage = F.format_string(',"t_start":"%s","t_end":"%s","band":{"min_hz":1.0,"max_hz":2.0},"dwell_s":%s,"revisit_s":2.0', t, t, F.when(is_("dwell"), "3.0").otherwise("1.0"))
     occupancy = F.format_string(',"t":"%s","band":{"min_hz":%s,"max_hz":2.0},"noise_floor_dbm":-100.0', t, F.when(is_("band"), "3.0").otherwise("1.0"))
-    infinite = F.when(is_("infinite") & kind.isin("coverage", "occupancy"), ',"power_dbm":1e999').otherwise("")
+    infinite = F.when(is_("infinite") & kind.isin("coverage", "occupancy"), ',"sensor_alt_m":1e999').otherwise("")
     body = F.when(kind == "bearing", F.concat(signal, bearing)).when(kind == "position", F.concat(signal, position)).when(kind == "coverage", coverage).otherwise(occupancy)
     text = F.concat(head, body, infinite, F.when(is_("field"), ',"bearing_sigma_deg":1.0').otherwise(""), F.lit("}"))
     return o.withColumn("text", F.when(is_("json"), F.substring(text, 1, 60)).otherwise(text))
@@ -61,7 +61,7 @@ _ISSUE = {
     "json": "/ is not JSON of this contract", "schema": "/schema is not this contract", "kind": "/kind is not a known kind", "field": "/bearing_sigma_deg is unknown", "bearing": "/bearing_deg is not in [0, 360)",
     "ellipse": "/position_uncertainty semi_minor_m is larger than semi_major_m", "psd": "/position_uncertainty covariance is not positive semi-definite", "dwell": "/dwell_s dwell_s is longer than revisit_s", "band": "/band min_hz is greater than max_hz",
 }
-_ISSUE_SQL = "CASE " + " ".join(f"WHEN flaw = '{f}' THEN '{text}'" for f, text in _ISSUE.items()) + " WHEN flaw = 'time' AND kind = 'coverage' THEN '/t_start or /t_end is not a UTC time' WHEN flaw = 'time' THEN '/t is not a UTC time' WHEN flaw = 'infinite' AND kind IN ('bearing', 'position') THEN '/freq_hz is not finite' WHEN flaw = 'infinite' THEN '/power_dbm is not finite' END"
+_ISSUE_SQL = "CASE " + " ".join(f"WHEN flaw = '{f}' THEN '{text}'" for f, text in _ISSUE.items()) + " WHEN flaw = 'time' AND kind = 'coverage' THEN '/t_start or /t_end is not a UTC time' WHEN flaw = 'time' THEN '/t is not a UTC time' WHEN flaw = 'infinite' AND kind IN ('bearing', 'position') THEN '/freq_hz is not finite' WHEN flaw = 'infinite' THEN '/sensor_alt_m is not finite' END"
 
 
 @query("reject_table", _WIRE + f"SELECT observation_id, CASE WHEN flaw = 'json' THEN NULL ELSE source_id END AS source_id, {_ISSUE_SQL} AS issue FROM j WHERE flaw <> 'ok'")
@@ -80,7 +80,7 @@ def record_stats(spark, sf_dir):
     return _judged(spark, sf_dir).groupBy("source_id").agg(*counts, F.count_if(~ok).alias("rejected"), F.count_if(ok & kind.isin("bearing", "position")).alias("accepted"))
 
 
-@query("typed_records", _WIRE + "SELECT observation_id, kind, CASE WHEN kind IN ('bearing', 'position') THEN freq_hz END AS freq_hz, CASE WHEN kind = 'bearing' THEN (k * 37.5::DOUBLE) % 360 END AS bearing_deg, CASE WHEN kind = 'position' THEN 100.0 END AS ee, CASE WHEN kind = 'coverage' THEN 0.5 END AS listening, CASE WHEN kind IN ('coverage', 'occupancy') THEN 1.0 <= 1.5 END AS in_band FROM j WHERE flaw = 'ok'")
+@query("typed_records", _WIRE + "SELECT observation_id, kind, CASE WHEN kind IN ('bearing', 'position') THEN freq_hz END AS freq_hz, CASE WHEN kind = 'bearing' THEN (k * 37.5::DOUBLE) % 360 END AS bearing_deg, CASE WHEN kind = 'position' THEN 100.0::DOUBLE END AS ee, CASE WHEN kind = 'coverage' THEN 0.5::DOUBLE END AS listening, CASE WHEN kind IN ('coverage', 'occupancy') THEN 1.0 <= 1.5 END AS in_band FROM j WHERE flaw = 'ok'")
 def typed_records(spark, sf_dir):
     """Each accepted line as the typed record of its kind."""
     r = lambda c: F.col(f"r.{c}")

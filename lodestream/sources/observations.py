@@ -127,4 +127,6 @@ def with_issues(lines: DataFrame) -> DataFrame:
         .when(rec("kind").isNull() | ~is_kind(*OWN), one("/kind is not a known kind"))
         .otherwise(F.array_sort(F.array_distinct(rules)))
     )
-    return r.withColumn("issues", issues).drop("keys")
+    # judged once: a column that is not deterministic is not copied into the filters on it
+    once = issues if lines.isStreaming else F.when(F.monotonically_increasing_id() >= 0, issues)
+    return r.withColumn("issues", once).drop("keys")
