@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontaminate, exact_dedup, html_text, license_scan, mixing, ngram_join, preference, quality_cnn, sharding, toxicity_gru
+from lodestream.llm import centroids, decontaminate, exact_dedup, html_text, impact_search, license_scan, mixing, ngram_join, preference, quality_cnn, sharding, toxicity_gru
 from lodestream.llm.common import table
 from lodestream.llm.labelled import fold
 
@@ -112,6 +112,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -124,8 +132,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_cnn": op8_quality_cnn,
         "op9_toxicity_gru": op9_toxicity_gru,
         "op10_license_scan": op10_license_scan,
+        "op11_impact_search": op11_impact_search,
+        "op12_centroids": op12_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_preference": OP6_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_preference": OP6_SQL, "op11_impact_search": impact_search.ORACLE, "op12_centroids": centroids.oracle()}
