@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import centroids, decontaminate, exact_dedup, html_text, impact_search, license_scan, mixing, ngram_join, preference, quality_cnn, sharding, toxicity_gru
+from lodestream.llm import bloom_lm, centroids, decontaminate, exact_dedup, html_text, impact_search, license_scan, mixing, ngram_join, preference, quality_cnn, sharding, toxicity_gru
 from lodestream.llm.common import table
 from lodestream.llm.labelled import fold
 
@@ -120,6 +120,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
 
 
+def op13_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -134,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_scan": op10_license_scan,
         "op11_impact_search": op11_impact_search,
         "op12_centroids": op12_centroids,
+        "op13_bloom_lm": op13_bloom_lm,
     }
 
 
