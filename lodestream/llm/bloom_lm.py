@@ -42,6 +42,8 @@ from lodestream.llm.words_np import blocks, grams, mix64, words
 HASHES, MU = 6, 4.0
 BLOCK_TEXT, SECTION_BYTES = 1 << 18, 96 << 20
 BROADCAST_WORDS = 1 << 19
+#: Bytes of text whose n-grams are asked for together.
+READ_TEXT = 4 << 20
 #: Distinct n-grams that a task holds before it sends them on.
 HELD = 1 << 21
 
@@ -110,20 +112,24 @@ class Section:
         self.data = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(x.as_buffer(), np.uint8) for x in rows["bits"]]])
 
     def read(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        """Set the levels of the keys that belong here."""
+        """Set the levels of the keys that belong here; each is asked for once, and in their order, in which the filter's blocks stand."""
+        keys, back = np.unique(keys, return_inverse=True)
         block = block_of(keys, self.n_blocks)
         left = np.flatnonzero(block % self.sections == self.remainder)
         own = (block[left] // self.sections).astype(np.int64)
         left, own = left[self.n_bits[own] > 0], own[self.n_bits[own] > 0]
-        mixed, n_bits, start = mix64(keys[left]), self.n_bits[own], self.start[own]
-        level = 0
+        asked, mixed, n_bits, start = left, mix64(keys[left]), self.n_bits[own], self.start[own]
+        found, level = np.zeros(len(keys), np.uint8), 0
         while len(left) and level < len(MIDDLES) - 1:
             for i in range(HASHES):
                 at = _places(mixed, level * HASHES + i, n_bits) + start
                 has = (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 left, mixed, n_bits, start = left[has], mixed[has], n_bits[has], start[has]
             level += 1
-            levels[left] = level
+            found[left] = level
+        mine = np.zeros(len(keys), bool)
+        mine[asked] = True
+        np.copyto(levels, found[back], where=mine[back])
 
 
 @dataclass
@@ -250,7 +256,7 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, id_col: str = "doc_id
 
     def read(section: Broadcast, batch: pa.RecordBatch, found_before: bool):
         """Tokens of a batch's texts by blocks, with their levels and those of their pairs."""
-        for row, end, data, offsets in blocks(batch.column(1)):
+        for row, end, data, offsets in blocks(batch.column(1), READ_TEXT):
             found, first = tokens(data, offsets)
             levels = np.zeros((2, len(found)), np.uint8)
             if found_before:
