@@ -63,14 +63,42 @@ def cochannel_split(spark, sf_dir):
     return locate.fixes(_members(spark, o).unionByName(_members(spark, o, shift=0.1)), by="entity")
 
 
-@query("imm_tracks")
-def imm_tracks(spark, sf_dir):
+def _fixes(spark, sf_dir):
+    """Every observation as a fix. Two entities share a site and a channel; half way through the odd one leaves it at some 15 m/s."""
     o = _scaled(observations(spark, sf_dir))
-    fixes = o.select(
+    site, half = F.floor(F.col("entity") / 80) * 40 + F.col("entity") % 40, 1296.0
+    first = F.broadcast(o.agg(F.min("t").alias("t0")))
+    away = F.when((F.floor(F.col("entity") / 40) % 2 == 1) & (F.col("t") - F.col("t0") > half), (F.col("t") - F.col("t0") - half) * 15.0).otherwise(0.0)
+    bias = F.when(F.col("source_id") == "purchase", 900.0).otherwise(0.0)
+    return o.crossJoin(first).select(
         (F.col("entity") % 40).cast("long").alias("island"), "t", F.col("observation_id").alias("fix_id"),
-        ((F.col("entity") * 733 % 20011) + (F.col("k") % 7 - 3) * 20.0).alias("e"), ((F.col("entity") * 397 % 19997) + (F.col("k") % 5 - 2) * 20.0).alias("n"),
-        F.lit(2500.0).alias("ee"), F.lit(0.0).alias("en"), F.lit(2500.0).alias("nn"), "freq_hz", "bandwidth_hz",
+        ((site * 733 % 20011) + (F.col("k") % 7 - 3) * 20.0 + away).alias("e"), ((site * 397 % 19997) + (F.col("k") % 5 - 2) * 20.0).alias("n"),
+        F.lit(2500.0).alias("ee"), F.lit(0.0).alias("en"), F.lit(2500.0).alias("nn"), (F.col("freq_hz") + bias).alias("freq_hz"), "bandwidth_hz", F.array("source_id").alias("sources"),
     )
-    return track.tracks(fixes)
 
 
+@query("imm_tracks")
+def imm_tracks(spark, sf_dir):
+    """Every change of every track."""
+    return track.tracks(_fixes(spark, sf_dir))
+
+
+@query("track_anchors")
+def track_anchors(spark, sf_dir):
+    """The last point of each anchor with its covariance, and how often it was heard there."""
+    rows = track.tracks(_fixes(spark, sf_dir)).where("anchor AND kind = 'fix'")
+    last = F.max_by(F.struct("anchor_e", "anchor_n", "anchor_ee", "anchor_en", "anchor_nn"), F.struct("t", "fix_id"))
+    return rows.groupBy("island", "run", "track").agg(F.count("*").alias("heard"), F.max("t").alias("t"), last.alias("a")).select("island", "run", "track", "heard", "t", "a.*")
+
+
+@query("track_lineage")
+def track_lineage(spark, sf_dir):
+    """What became of tracks that appeared beside others: splits, undone merges, relocations, folds and merges."""
+    rows = track.tracks(_fixes(spark, sf_dir))
+    return rows.where(F.col("kind").isin("candidate", "split", "unmerged", "relocated", "folded", "merged")).select("island", "run", "track", "t", "kind", "other", "stayed")
+
+
+@query("learned_biases")
+def learned_biases(spark, sf_dir):
+    """What the tracker learned of each source's frequency and clock."""
+    return track.nuisance(track.tracks(_fixes(spark, sf_dir)))
