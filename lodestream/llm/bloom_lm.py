@@ -28,6 +28,7 @@ texts are read in full. Columns besides the id and the text are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +43,8 @@ from lodestream.llm.words_np import blocks, grams, mix64, words
 HASHES, MU = 6, 4.0
 BLOCK_TEXT, SECTION_BYTES = 1 << 18, 96 << 20
 BROADCAST_WORDS = 1 << 19
-#: Bytes of text whose n-grams are asked for together.
-READ_TEXT = 4 << 20
+#: Tokens that are looked up together (or those of one text, if these are more).
+READ_TOKENS = 1 << 19
 #: Distinct n-grams that a task holds before it sends them on.
 HELD = 1 << 21
 
@@ -70,6 +71,25 @@ def pairs(found: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(min(1, len(found)), np.uint64), grams(found, 2)))
 
 
+def _token_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, last row + 1, tokens and where each text's begin, of so many rows that they have READ_TOKENS."""
+    held, n, row = [], 0, 0
+
+    def joined(end: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+        sizes = np.cumsum([0, *(len(found) for found, _ in held)])
+        first = [f[:-1] + at for (_, f), at in zip(held, sizes[:-1].tolist(), strict=True)]
+        return row, end, np.concatenate([found for found, _ in held]), np.concatenate([*first, sizes[-1:]])
+
+    for _, end, data, offsets in blocks(column):
+        held.append(tokens(data, offsets))
+        n += len(held[-1][0])
+        if n >= READ_TOKENS:
+            yield joined(end)
+            held, n, row = [], 0, end
+    if held:
+        yield joined(row + sum(len(f) - 1 for _, f in held))
+
+
 def block_of(keys: np.ndarray, n_blocks: int) -> np.ndarray:
     """Rises with the key."""
     return ((keys >> _32) * np.uint64(n_blocks)) >> _32
@@ -256,8 +276,7 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, id_col: str = "doc_id
 
     def read(section: Broadcast, batch: pa.RecordBatch, found_before: bool):
         """Tokens of a batch's texts by blocks, with their levels and those of their pairs."""
-        for row, end, data, offsets in blocks(batch.column(1), READ_TEXT):
-            found, first = tokens(data, offsets)
+        for row, end, found, first in _token_runs(batch.column(1)):
             levels = np.zeros((2, len(found)), np.uint8)
             if found_before:
                 for a, b, old in zip(first[:-1].tolist(), first[1:].tolist(), batch.column(2).slice(row, end - row), strict=True):
