@@ -93,6 +93,14 @@ def frame_bearing(lat0, lon0, lat, lon, azimuth, step=1000.0):
 _erf = np.frompyfunc(math.erf, 1, 1)
 
 
+def earth_radius(lat, azimuth):
+    """Euler's radius of curvature in a direction."""
+    e2 = F_ * (2 - F_)
+    w2 = 1 - e2 * np.sin(np.radians(lat)) ** 2
+    c2 = np.cos(np.radians(azimuth)) ** 2
+    return 1 / (c2 * w2**1.5 / (A * (1 - e2)) + (1 - c2) * np.sqrt(w2) / A)
+
+
 def phi(x):
     """Standard normal distribution function."""
     return 0.5 * (1 + _erf(np.asarray(x, float) / math.sqrt(2)).astype(float))

@@ -7,40 +7,49 @@ same groups.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.runs import cut
+
 WINDOW_S, TOLERANCE_HZ, SIMULTANEOUS_S = 2.0, 2500.0, 0.5
+STEP_S = 1.0
 SCHEMA = "island long, group_id long, last_t double, freq_hz double, bandwidth_hz double, observation_id long"
 
 
 @dataclass
 class Open:
-    """An open group: its members (t, source, sensor, bearing, freq, bandwidth, id)."""
+    """An open group: its members (t, source, sensor, bearing, freq, bandwidth, id), and what they add up to."""
 
+    number: int
     members: list[tuple] = field(default_factory=list)
-
-    @property
-    def last_t(self) -> float:
-        return max(m[0] for m in self.members)
+    last_t: float = -math.inf
+    total: float = 0.0
+    bandwidth: float = 0.0
+    heard: dict[tuple, tuple[float, float]] = field(default_factory=dict)
 
     @property
     def freq(self) -> float:
-        return sum(m[4] for m in self.members) / len(self.members)
+        return self.total / len(self.members)
 
-    @property
-    def bandwidth(self) -> float:
-        return max(m[5] for m in self.members)
+    def add(self, m: tuple) -> None:
+        self.members.append(m)
+        self.last_t, self.total, self.bandwidth = max(self.last_t, m[0]), self.total + m[4], max(self.bandwidth, m[5])
+        low, high = self.heard.get(m[1:3], (m[0], m[0]))
+        self.heard[m[1:3]] = (min(low, m[0]), max(high, m[0]))
 
     def takes(self, m: tuple, window_s: float = WINDOW_S) -> bool:
         return m[0] - self.last_t <= window_s and abs(m[4] - self.freq) <= max(TOLERANCE_HZ, (m[5] + self.bandwidth) / 4)
 
     def seen(self, m: tuple) -> bool:
         """Whether this sensor already has a member at another time: the next cycle."""
-        return any(o[1:3] == m[1:3] and abs(o[0] - m[0]) > SIMULTANEOUS_S for o in self.members)
+        low, high = self.heard.get(m[1:3], (m[0], m[0]))
+        return max(m[0] - low, high - m[0]) > SIMULTANEOUS_S
 
 
 def step(open_groups: list[Open], rows: list[tuple], now: float | None, window_s: float = WINDOW_S) -> tuple[list[Open], list[Open]]:
@@ -53,9 +62,9 @@ def step(open_groups: list[Open], rows: list[tuple], now: float | None, window_s
             closed.append(found)
             found = None
         if found is None:
-            found = Open()
+            found = Open(max((g.number for g in groups), default=0) + 1)
             groups.append(found)
-        found.members.append(m)
+        found.add(m)
     if now is not None:
         late = [g for g in groups if now - g.last_t > window_s]
         groups = [g for g in groups if now - g.last_t <= window_s]
@@ -63,33 +72,47 @@ def step(open_groups: list[Open], rows: list[tuple], now: float | None, window_s
     return groups, sorted(closed, key=lambda g: (g.last_t, g.freq))
 
 
+def by_steps(rows: list[tuple], clock: float, step_s: float = STEP_S) -> Iterator[tuple[float, list[tuple]]]:
+    """The ends of the time steps that have rows (in order), each with its rows, and the last step that ends by ``clock``."""
+    at = 0
+    while at < len(rows):
+        now = math.floor(rows[at][0] / step_s) * step_s + step_s
+        end = at
+        while end < len(rows) and rows[end][0] < now:
+            end += 1
+        yield now, rows[at:end]
+        at = end
+    if math.isfinite(clock):
+        yield math.floor(clock / step_s) * step_s, []
+
+
 def islands(bearings: DataFrame, gap_hz: float) -> DataFrame:
-    """Channel islands: frequencies sorted and cut where neighbours are further apart than any tolerance."""
-    channels = bearings.select("freq_hz").distinct()
-    w = Window.orderBy("freq_hz")  # distinct channels: bounded by the band plan, not by the rows
-    new = F.coalesce((F.col("freq_hz") - F.lag("freq_hz").over(w) > gap_hz).cast("int"), F.lit(0))
-    numbered = channels.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
-    return bearings.join(numbered, "freq_hz")
+    """Channel islands: frequencies cut where neighbours are further apart than any tolerance."""
+    return cut(bearings, "freq_hz", gap_hz, "island")
+
 
+def group_snapshots(bearings: DataFrame, step_s: float = STEP_S, gap_hz: float = 12_000.0, window_s: float = WINDOW_S) -> DataFrame:
+    """One row per member of each closed group. ``bearings``: t, source_id, sensor_id, bearing_deg, freq_hz, bandwidth_hz, observation_id.
 
-def group_snapshots(bearings: DataFrame, step_s: float = 1.0, gap_hz: float = 12_000.0, window_s: float = WINDOW_S) -> DataFrame:
-    """One row per member of each closed group. ``bearings``: t, source_id, sensor_id, bearing_deg, freq_hz, bandwidth_hz, observation_id."""
+    An island is cut where it is silent for longer than any group lasts, so a task has a
+    bounded run of it; groups are numbered over the island's runs by the time of the run.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "source_id", "observation_id"])
         rows = list(pdf[["t", "source_id", "sensor_id", "bearing_deg", "freq_hz", "bandwidth_hz", "observation_id"]].itertuples(index=False, name=None))
-        groups, out, at = [], [], 0
-        while at < len(rows):
-            now = rows[at][0] // step_s * step_s + step_s
-            end = at
-            while end < len(rows) and rows[end][0] < now:
-                end += 1
-            groups, closed = step(groups, rows[at:end], now, window_s)
+        groups, out = [], []
+        for now, some in by_steps(rows, math.inf, step_s):
+            groups, closed = step(groups, some, now, window_s)
             out += closed
-            at = end
         out += step(groups, [], float("inf"), window_s)[1]
-        island = int(pdf["island"].iloc[0])
-        made = [(island, i, g.last_t, g.freq, g.bandwidth, int(m[6])) for i, g in enumerate(out) for m in g.members]
+        island, first = int(pdf["island"].iloc[0]), int(pdf["__before"].iloc[0])
+        made = [(island, first + i, g.last_t, g.freq, g.bandwidth, int(m[6])) for i, g in enumerate(out) for m in g.members]
         return pd.DataFrame(made, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return islands(bearings, gap_hz).groupBy("island").applyInPandas(run, SCHEMA)
+    gap = 2 * window_s + 2 * step_s  # by then the step after a group's last row has closed it
+    placed = cut(islands(bearings, gap_hz), "t", max(gap, 60.0), "__run", ["island"])
+    sizes = placed.groupBy("island", "__run").count()
+    earlier = Window.partitionBy("island").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before")  # as many numbers as rows are free for a run
+    return placed.join(sizes.select("island", "__run", before), ["island", "__run"]).groupBy("island", "__run").applyInPandas(run, SCHEMA)

@@ -1,4 +1,4 @@
-"""Fixes from the bearings of a snapshot: weighted least squares, co-channel split, height.
+"""Fixes from the bearings of a snapshot: weighted least squares, co-channel split, height, and what each bearing gave.
 
 All groups of a batch are solved at once: rows are arrays, a group's sums are bin counts and
 its 2 x 2 systems closed forms, so Python's work does not grow with the number of groups. The
@@ -15,13 +15,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestream.functions import geo_np as G
 
 #: Least crossing, greatest condition, rounds of weighing, least range; assignments of a split, and how much worse the next must be.
 MIN_CROSSING_DEG, MAX_CONDITION, REWEIGHTS, MIN_RANGE_M = 10.0, 1e12, 3, 1.0
 MOST_ASSIGNMENTS, AMBIGUOUS_CHI2 = 4096, 4.0
-SCHEMA = "group_id long, emitter int, reason string, basis string, lat double, lon double, ee double, en double, nn double, residual_deg double, crossing_deg double, n_bearings int, n_excluded int"
+SCHEMA = (
+    "group_id long, emitter int, reason string, basis string, lat double, lon double, ee double, en double, nn double, residual_deg double, crossing_deg double, n_bearings int, n_excluded int, "
+    "t double, freq_hz double, bandwidth_hz double, height_m double, height_sigma_m double, height_basis string, n_heights int, "
+    "bearings array<struct<observation_id: long, sensor: string, share: double, excluded: string>>"
+)
+#: What members may have besides what a fix needs; null where it is not given.
+OPTIONAL = {"observation_id": "long", "t": "double", "freq_hz": "double", "bandwidth_hz": "double", "sensor_alt_m": "double", "elevation_deg": "double", "elevation_sigma_deg": "double", "elevation_basis": "string"}
+EXCLUDED = "no sigma to weigh it by"
+#: Least ground range and greatest elevation of a height.
+MIN_GROUND_M, MAX_ELEVATION_DEG = 50.0, 85.0
 _NUMBERS = ("lat", "lon", "ee", "en", "nn", "residual_deg", "crossing_deg")
 #: Rows that are solved at once, but for single groups that are larger.
 BATCH_ROWS = 1 << 17
@@ -64,8 +74,8 @@ def _best_crossing(of: np.ndarray, theta: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def fix_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Fixes of n groups. ``of``: each row's group; ``sensor``: a number; ``basis``: its name. A reason stands where there is no fix."""
+def fix_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: np.ndarray, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Fixes of n groups, and each row's share of the weight (NaN: not used). ``of``: each row's group; ``sensor``: a number; ``basis``: its name. A reason stands where there is no fix."""
     out = {k: np.full(n, np.nan) for k in _NUMBERS}
     reason = np.full(n, None, object)
     known = ~np.isnan(sigma)
@@ -120,12 +130,15 @@ def fix_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarr
         _, az = G.inverse(la[mine], lo[mine], out["lat"][g[mine]], out["lon"][g[mine]])
         off = (az - b[mine] + 180) % 360 - 180
         out["residual_deg"][ok] = np.sqrt(_sum(g[mine], off * off, n) / count)[ok]
-    return out | {"reason": reason, "basis": kind, "n_excluded": excluded}
+    share = np.full(len(of), np.nan)
+    with np.errstate(invalid="ignore"):
+        share[rows] = weight / _sum(g, weight, n)[g]
+    return out | {"reason": reason, "basis": kind, "n_excluded": excluded}, share
 
 
 def fix(lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: list[str]) -> dict:
     """A position, its covariance where the bearings have one, or the reason why there is none."""
-    found = fix_many(np.zeros(len(lat), int), lat, lon, bearing, sigma, np.unique(sensor, return_inverse=True)[1].ravel(), np.array(basis, object), 1)
+    found, _ = fix_many(np.zeros(len(lat), int), lat, lon, bearing, sigma, np.unique(sensor, return_inverse=True)[1].ravel(), np.array(basis, object), 1)
     return {k: v[0] for k, v in found.items() if not (isinstance(v[0], float) and math.isnan(v[0]))}
 
 
@@ -143,17 +156,18 @@ def _assignments(by_sensor: list[np.ndarray], k: int) -> Iterator[list[np.ndarra
 
 
 def locate_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: np.ndarray, n: int) -> list[list[dict]]:
-    """For each group one fix, or one for each emitter where a sensor has several bearings of one channel."""
+    """For each group one fix, or one for each emitter where a sensor has several bearings of one channel; each with its rows and their shares of the weight."""
     order = np.lexsort((sensor, of))
     of, lat, lon, bearing, sigma, sensor, basis = (x[order] for x in (of, lat, lon, bearing, sigma, sensor, basis))
     key = np.stack([of, sensor])
     again = np.concatenate(([False], (key[:, 1:] == key[:, :-1]).all(0))) if len(of) else np.empty(0, bool)
     several = np.bincount(of, again, n) > 0
     plain = ~several[of]
-    got = fix_many(of[plain], lat[plain], lon[plain], bearing[plain], sigma[plain], sensor[plain], basis[plain], n)
+    got, shares = fix_many(of[plain], lat[plain], lon[plain], bearing[plain], sigma[plain], sensor[plain], basis[plain], n)
     take = lambda found, i: {k: v[i] for k, v in found.items()}
-    result: list[list[dict]] = [[take(got, i)] for i in range(n)]
     starts = np.searchsorted(of, np.arange(n + 1))
+    inside = np.searchsorted(of[plain], np.arange(n + 1))
+    result: list[list[dict]] = [[take(got, i) | {"rows": order[starts[i] : starts[i + 1]], "share": shares[inside[i] : inside[i + 1]]}] for i in range(n)]
     ways, parts = [], []  # (group, k, degrees of freedom), and the rows of each emitter of each way
     for i in np.flatnonzero(several):
         rows = np.arange(starts[i], starts[i + 1])
@@ -172,7 +186,8 @@ def locate_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.nd
         return result
     rows = np.concatenate(parts)
     part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    found = fix_many(part, lat[rows], lon[rows], bearing[rows], sigma[rows], sensor[rows], basis[rows], len(parts))
+    found, shares = fix_many(part, lat[rows], lon[rows], bearing[rows], sigma[rows], sensor[rows], basis[rows], len(parts))
+    edges = np.searchsorted(part, np.arange(len(parts) + 1))
     good = np.equal(found["reason"], None)
     chi2 = np.full(len(parts), np.inf)
     mine = good[part]
@@ -194,7 +209,8 @@ def locate_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.nd
         if list_[0][0] > chi2_99(dof):
             continue
         close = len(list_) > 1 and list_[1][0] - list_[0][0] < AMBIGUOUS_CHI2
-        result[i] = [{"reason": "ambiguous"}] if close else [take(found, list_[0][1] + j) for j in range(k)]
+        chosen = [] if close else range(list_[0][1], list_[0][1] + k)
+        result[i] = [take(found, j) | {"rows": order[rows[edges[j] : edges[j + 1]]], "share": shares[edges[j] : edges[j + 1]]} for j in chosen] or [{"reason": "ambiguous"}]
     return result
 
 
@@ -202,23 +218,93 @@ def locate(lat, lon, bearing, sigma, sensor, basis) -> list[dict]:
     """The fixes of one group."""
     code = np.unique(sensor, return_inverse=True)[1].ravel()
     made = locate_many(np.zeros(len(lat), int), lat, lon, bearing, sigma, code, np.array(basis, object), 1)[0]
-    return [{k: v for k, v in f.items() if not (isinstance(v, float) and math.isnan(v))} for f in made]
+    return [{k: v for k, v in f.items() if k not in ("rows", "share") and not (isinstance(v, float) and math.isnan(v))} for f in made]
+
+
+def heights(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, alt: np.ndarray, elevation: np.ndarray, sigma: np.ndarray, basis: np.ndarray, fix: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A height for each fix from the elevations of its bearings: errors of angles average out, those of the range do not.
+
+    ``of``: each row's fix; ``basis``: of the elevation, None where there is no statement of its
+    uncertainty. Without a region, or without any sigma, there is a height but no sigma of it.
+    """
+    n = len(fix["lat"])
+    ground, azimuth = G.inverse(lat, lon, fix["lat"][of], fix["lon"][of]) if len(of) else (np.empty(0), np.empty(0))
+    stated = np.not_equal(basis, None)
+    with np.errstate(invalid="ignore"):
+        use = np.flatnonzero(stated & (np.abs(elevation) <= MAX_ELEVATION_DEG) & ~np.isnan(alt) & (ground >= MIN_GROUND_M))
+    of, ground, azimuth, alt, sigma, basis = of[use], ground[use], azimuth[use], alt[use], sigma[use], basis[use]
+    tan, radius = np.tan(np.radians(elevation[use])), G.earth_radius(lat[use], azimuth)
+    one = alt + ground * tan + ground**2 / (2 * radius)
+    known = ~np.isnan(sigma)
+    some, all_ = np.bincount(of, known, n), np.bincount(of, minlength=n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        by_angle = (ground * (1 + tan**2) * np.radians(sigma)) ** 2
+        w = np.where(known, 1 / by_angle, np.where(some[of] > 0, 0.0, 1.0))
+        e, north = np.sin(np.radians(azimuth)), np.cos(np.radians(azimuth))
+        along = e * e * fix["ee"][of] + 2 * e * north * fix["en"][of] + north * north * fix["nn"][of]
+        by_range = np.abs(tan + ground / radius) * np.sqrt(np.maximum(along, 0.0))
+        total = np.bincount(of, w, n)
+        height = np.bincount(of, w * one, n) / total
+        spread = np.sqrt(1 / total + (np.bincount(of, w * np.where(w > 0, by_range, 0.0), n) / total) ** 2)
+    whole = (some > 0) & ~np.isnan(fix["ee"])
+    kinds = {k: np.bincount(of, known & np.equal(basis, k), n) + np.equal(fix["basis"], k) > 0 for k in ("unreported", "measured", "assumed", "mixed")}
+    kind = np.select([kinds["unreported"], kinds["mixed"] | kinds["measured"] & kinds["assumed"], kinds["measured"]], ["unreported", "mixed", "measured"], "assumed").astype(object)
+    kind[~whole] = "unreported"
+    kind[all_ == 0] = None
+    return {"height_m": np.where(all_ > 0, height, np.nan), "height_sigma_m": np.where(whole, spread, np.nan), "height_basis": kind, "n_heights": np.where(some > 0, some, all_).astype(int)}
+
+
+def _records(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whole fix records of all groups of a frame."""
+    ids, of = np.unique(pdf["group_id"].to_numpy(), return_inverse=True)
+    number = lambda c: pdf[c].to_numpy(float)
+    columns = [number(c) for c in ("lat", "lon", "bearing_deg", "sigma_deg")]
+    names = pdf["sensor"].to_numpy(str)
+    made = locate_many(of.ravel(), *columns, np.unique(names, return_inverse=True)[1].ravel(), pdf["basis"].to_numpy(object), len(ids))
+    size = np.bincount(of.ravel(), minlength=len(ids))
+    found = [(g, i, f) for g, each in enumerate(made) for i, f in enumerate(each)]
+    fix = {c: np.array([f.get(c, np.nan) if f["reason"] is None or c == "crossing_deg" else np.nan for _, _, f in found]) for c in _NUMBERS}
+    fix["basis"] = np.array([f.get("basis") for _, _, f in found], object)
+    held = [f["rows"] if f["reason"] is None else np.empty(0, int) for _, _, f in found]
+    share = np.concatenate([np.empty(0), *(f["share"] for _, _, f in found if f["reason"] is None)])
+    rows, part = np.concatenate([np.empty(0, int), *held]), np.repeat(np.arange(len(found)), [len(x) for x in held])
+    used = ~np.isnan(share)
+    stated = pdf["elevation_basis"].astype(object).where(pdf["elevation_basis"].notna(), None).to_numpy(object)
+    solved = rows[used]
+    up = heights(part[used], columns[0][solved], columns[1][solved], *(number(c)[solved] for c in ("sensor_alt_m", "elevation_deg", "elevation_sigma_deg")), stated[solved], fix)
+    count = np.bincount(part, minlength=len(found))
+    cuts = np.cumsum(count)[:-1]
+    whole = np.full((3, len(found)), np.nan)
+    filled = np.flatnonzero(count)
+    if len(rows):
+        first = (np.cumsum(count) - count)[filled]
+        whole[0, filled] = np.maximum.reduceat(number("t")[rows], first)
+        whole[1, filled] = np.add.reduceat(number("freq_hz")[rows], first) / count[filled]
+        whole[2, filled] = np.maximum.reduceat(number("bandwidth_hz")[rows], first)
+    observation = pdf["observation_id"].astype("Int64").astype(object).where(pdf["observation_id"].notna(), None).to_numpy(object)
+    each = [{"observation_id": o, "sensor": n, "share": 0.0 if math.isnan(x) else x, "excluded": EXCLUDED if math.isnan(x) else None} for o, n, x in zip(observation[rows], names[rows], share, strict=True)]
+    lists = [each[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True)]
+    out = {
+        "group_id": ids[[g for g, _, _ in found]],
+        "emitter": [i for _, i, _ in found],
+        "reason": [f["reason"] for _, _, f in found],
+        **fix,
+        "n_bearings": size[[g for g, _, _ in found]],
+        "n_excluded": [int(f.get("n_excluded", 0)) for _, _, f in found],
+        **dict(zip(("t", "freq_hz", "bandwidth_hz"), whole, strict=True)),
+        **up,
+        "bearings": lists,
+    }
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")[:20]] + ["bearings"])
 
 
 def fixes(members: DataFrame, by: str = "group_id") -> DataFrame:
-    """Fixes of each group. ``members``: group_id, sensor, lat, lon, bearing_deg, sigma_deg (null: unreported), basis; rows with one value of ``by`` go to one task."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, of = np.unique(pdf["group_id"].to_numpy(), return_inverse=True)
-        columns = [pdf[c].to_numpy(float) for c in ("lat", "lon", "bearing_deg", "sigma_deg")]
-        sensor = np.unique(pdf["sensor"].to_numpy(str), return_inverse=True)[1].ravel()
-        made = locate_many(of.ravel(), *columns, sensor, pdf["basis"].to_numpy(object), len(ids))
-        size = np.bincount(of.ravel(), minlength=len(ids))
-        rows = [(int(ids[g]), i, f["reason"], f.get("basis"), *(f.get(c, np.nan) for c in _NUMBERS), int(size[g]), int(f.get("n_excluded", 0))) for g, found in enumerate(made) for i, f in enumerate(found)]
-        out = pd.DataFrame(rows, columns=names)
-        out[list(_NUMBERS)] = out[list(_NUMBERS)].astype(float)
-        return out
+    """Fix records of each group. ``members``: group_id, sensor, lat, lon, bearing_deg, sigma_deg (null: unreported), basis and any of ``OPTIONAL``; rows with one value of ``by`` go to one task.
+
+    A record has its time, frequency and bandwidth from all bearings of the fix, also those
+    excluded, each bearing with its share of the weight or why it has none, and a height where
+    elevations give one.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -229,23 +315,11 @@ def fixes(members: DataFrame, by: str = "group_id") -> DataFrame:
                 last = rows["group_id"] == rows["group_id"].iloc[-1]  # may go on in the next frame
                 held = [rows[last]]
                 if not last.all():
-                    yield solve(rows[~last])
+                    yield _records(rows[~last])
         if held and sum(map(len, held)):
-            yield solve(pd.concat(held))
+            yield _records(pd.concat(held))
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = members.repartition(parts, by).sortWithinPartitions("group_id", "sensor", "bearing_deg").mapInPandas(run, SCHEMA)
-    return made.replace(float("nan"), None, list(_NUMBERS))
-
-
-def height(sensor_alt: np.ndarray, ground: np.ndarray, elevation: np.ndarray, sigma_e: np.ndarray, sigma_range: np.ndarray, radius: float) -> tuple[float, float] | None:
-    """Height and sigma from several elevations: angle errors average out, range errors do not."""
-    ok = (np.abs(elevation) <= 85) & (ground >= 50)
-    if not ok.any():
-        return None
-    tan = np.tan(np.radians(elevation[ok]))
-    h = sensor_alt[ok] + ground[ok] * tan + ground[ok] ** 2 / (2 * radius)
-    by_angle = ground[ok] * (1 + tan**2) * np.radians(sigma_e[ok])
-    by_range = np.abs(tan + ground[ok] / radius) * sigma_range[ok]
-    w = 1 / by_angle**2
-    return float(w @ h / w.sum()), float(math.sqrt(1 / w.sum() + (w @ by_range / w.sum()) ** 2))
+    full = members.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in members.columns})
+    made = full.repartition(parts, by).sortWithinPartitions("group_id", "sensor", "bearing_deg").mapInPandas(run, SCHEMA)
+    return made.replace(float("nan"), None, [*_NUMBERS, "t", "freq_hz", "bandwidth_hz", "height_m", "height_sigma_m"])

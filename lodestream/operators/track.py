@@ -38,6 +38,7 @@ SPLIT_RADIUS_M, SPLIT_MARGIN_M, SPLIT_WINDOW_S = 5000.0, 500.0, 600.0
 ANCHOR_HITS, ANCHOR_AGE_S, ANCHOR_WINDOW_S, ANCHOR_HEARD, ANCHOR_STATIONARY, FOLD_S = 5, 120.0, 180.0, 2, 0.6, 180.0
 CHECK_S, MERGE_CONFIDENCE, PROBATION_S, RECENT_S = 10.0, 0.8, 300.0, 60.0
 LATENCY_S, TOLERANCE_HZ, BIAS_SAMPLES, SAME_TRANSMISSION_S = 3.0, 2500.0, 10, 2.0
+SHOW_S, ORPHAN_S = 10.0, 30.0
 RECENT, TIMES, SAMPLES = 200, 50, 2000
 
 TICK_S = 1.0
@@ -91,7 +92,7 @@ class Held:
 def _empty() -> dict[str, np.ndarray]:
     shapes = {"anchor_m": (2,), "anchor_c": (2, 2), "mu": (5,), "x": (5, 4), "p": (5, 4, 4)}
     numbers = {"number": np.int64, "hits": np.int64, "freq_n": np.int64, "state": np.int64, "probation": bool, "anchor": bool}
-    names = ("number", "hits", "freq_n", "state", "probation", "anchor", "born", "t", "heard", "updated", "freq", "bandwidth", "anchor_t", *shapes)
+    names = ("number", "hits", "freq_n", "state", "probation", "anchor", "born", "t", "heard", "updated", "shown", "freq", "bandwidth", "anchor_t", *shapes)
     return {n: np.zeros((0, *shapes.get(n, ())), numbers.get(n, np.float64)) for n in names}
 
 
@@ -106,6 +107,7 @@ class State:
     c: dict[str, np.ndarray] = field(default_factory=_empty)
     held: list[Held] = field(default_factory=list)
     streak: dict[tuple[int, int], int] = field(default_factory=dict)
+    orphans: list[tuple[float, int]] = field(default_factory=list)
     now: float = -math.inf  # the next tick
     check: float = -math.inf
     counts: dict[str, int] = field(default_factory=dict)
@@ -124,6 +126,20 @@ class State:
             out |= {"anchor_e": m[0], "anchor_n": m[1], "anchor_ee": a[0, 0], "anchor_en": a[0, 1], "anchor_nn": a[1, 1]}
         return out
 
+    def parted(self) -> tuple[dict[int, tuple], dict]:
+        """Each track by its number, and all else."""
+        items = {int(n): ({k: v[i] for k, v in self.c.items()}, self.held[i]) for i, n in enumerate(self.c["number"])}
+        return items, {k: v for k, v in self.__dict__.items() if k not in ("c", "held")}
+
+    @classmethod
+    def joined(cls, items: dict[int, tuple], rest: dict) -> State:
+        out = cls(**rest)
+        order = [items[n] for n in sorted(items)]
+        if order:
+            out.c = {k: np.stack([c[k] for c, _ in order]) for k in order[0][0]}
+            out.held = [held for _, held in order]
+        return out
+
     def index(self, number: int | None) -> int | None:
         found = np.flatnonzero(self.c["number"] == number) if number is not None else ()
         return int(found[0]) if len(found) else None
@@ -197,6 +213,8 @@ class State:
         if not located:
             if i is not None:
                 self.c["heard"][i] = max(self.c["heard"][i], t)
+            else:
+                self.orphans.append((t, fix_id))
             out.append(self.row(i, "orphan" if i is None else "support", t, fix_id))
             return
         for s in sources:
@@ -321,23 +339,28 @@ class State:
     # ticks
 
     def _due(self) -> float:
-        """The first tick at which silence or age changes a track."""
+        """The first tick at which silence or age changes a track, a coasting one is shown again, or an orphan expires."""
         c = self.c
+        gone = min((t for t, _ in self.orphans), default=math.inf) + ORPHAN_S
+        gone = max(self.now, (math.floor(gone / TICK_S) + 1) * TICK_S) if self.orphans else math.inf
         if not len(self.held):
-            return math.inf
+            return gone
         limit = c["heard"] + np.where(c["probation"], TENTATIVE_S, SILENCE[c["state"]])
         limit = np.where(c["probation"], np.minimum(limit, c["born"] + FOLD_S), limit)
         alone = [i for i in np.flatnonzero(c["probation"]) if self.index(self.held[i].parent) is None]
         limit[alone] = -math.inf
+        coasts = ~c["probation"] & (c["state"] == COASTING)
+        again = math.ceil((float(c["shown"][coasts].min()) + SHOW_S) / TICK_S) * TICK_S if coasts.any() else math.inf
         first = float(limit.min())
-        return max(self.now, (math.floor(first / TICK_S) + 1) * TICK_S) if math.isfinite(first) else self.now
+        first = (math.floor(first / TICK_S) + 1) * TICK_S if math.isfinite(first) else self.now
+        return max(self.now, min(first, again, gone))
 
     def _live(self, now: float) -> np.ndarray:
         return np.flatnonzero(~self.c["probation"] & (now - self.c["updated"] <= RECENT_S))
 
     def advance(self, to: float, out: list[dict]) -> None:
         """All ticks before ``to``."""
-        while len(self.held):
+        while len(self.held) or self.orphans:
             check = max(self.check, math.ceil(self.now / CHECK_S) * CHECK_S)
             if check < to and len(self._live(check)) < 2:
                 self.streak, check = {}, math.inf
@@ -365,11 +388,22 @@ class State:
                     self._fold(i, j, now, out)
             elif silent > SILENCE[c["state"][i]]:
                 if c["state"][i] == CONFIRMED:
-                    c["state"][i] = COASTING
-                    out.append(self.row(i, "coasting", now))
+                    c["state"][i], c["shown"][i] = COASTING, now
+                    out.append(self.row(i, "coasting", now) | self._ahead(i, now))
                 else:
                     out.append(self.row(i, "retired", now))
                     self.drop(i)
+            elif c["state"][i] == COASTING and now - c["shown"][i] >= SHOW_S:
+                c["shown"][i] = now
+                out.append(self.row(i, "predicted", now) | self._ahead(i, now))
+        for orphan in [x for x in self.orphans if now - x[0] > ORPHAN_S]:
+            self.orphans.remove(orphan)
+            out.append(self.row(None, "expired", now, orphan[1]))
+
+    def _ahead(self, i: int, now: float) -> dict:
+        """Where a silent track is by now."""
+        mean = imm.combined(*self.filters(np.array([i]), now))[0][0]
+        return {"e": mean[0], "n": mean[1], "speed": math.hypot(mean[2], mean[3])}
 
     def _merge(self, now: float, out: list[dict]) -> None:
         """Count how long pairs have kept together; the first that has for long enough becomes one, and the rest wait for the next check."""
@@ -401,6 +435,11 @@ class State:
                 self.drop(j)
                 return
 
+    def due(self) -> float:
+        """When something will happen if nothing is heard until then."""
+        check = max(self.check, math.ceil(self.now / CHECK_S) * CHECK_S) if len(self.held) > 1 else math.inf
+        return min(self._due(), check if math.isfinite(check) and len(self._live(check)) > 1 else math.inf)
+
     def finish(self, now: float, out: list[dict]) -> None:
         """The end of the input: what never came away from its anchor was the anchor's."""
         self.advance(now, out)

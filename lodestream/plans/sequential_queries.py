@@ -47,12 +47,16 @@ def _members(spark, o, shift: float = 0.0):
     lat, lon = 50.0 + (F.col("entity") % 17) * 0.01 - shift, 10.1 + (F.col("entity") % 13) * 0.01 + shift
     sited = o.join(_sites(spark, o), "source_id")
     true = F.degrees(F.atan2((lon - F.col("s_lon")) * F.cos(F.radians(lat)), lat - F.col("s_lat")))
-    return sited.select("entity", "group_id", F.col("source_id").alias("sensor"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.pmod(true + (F.col("k") % 5 - 2) * 0.5, F.lit(360.0)).alias("bearing_deg"), "sigma_deg", "basis")
+    return sited.select(
+        "entity", "group_id", F.col("source_id").alias("sensor"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.pmod(true + (F.col("k") % 5 - 2) * 0.5, F.lit(360.0)).alias("bearing_deg"), "sigma_deg", "basis",
+        "observation_id", (F.col("t_us") / 1e6).alias("t"), "freq_hz", "bandwidth_hz", (300.0 + F.col("k") % 5 * 40).alias("sensor_alt_m"),
+        F.when(F.col("k") % 3 == 0, 1.0 + F.col("k") % 7).alias("elevation_deg"), (F.col("sigma_deg") / 4).alias("elevation_sigma_deg"), F.when(F.col("k") % 3 == 0, F.col("basis")).alias("elevation_basis"),
+    )
 
 
 @query("bearing_fix")
 def bearing_fix(spark, sf_dir):
-    """Fixes of all snapshot groups; every bearing is in one."""
+    """Fix records of all snapshot groups, with their bearings' shares and heights; every bearing is in one group."""
     return locate.fixes(_members(spark, _cycles(observations(spark, sf_dir))), by="entity")
 
 

@@ -93,13 +93,16 @@ def test_filter_tells_a_mover_from_a_stayer():
 
 
 def test_tracks_keep_two_emitters_apart():
-    state, numbers = track.State(), []
+    state, out = track.State(), []
     rng = np.random.default_rng(5)
     for i in range(60):
         for which in (0, 1):
             e, n = rng.normal(0, 50, 2) + which * 5000
-            numbers.append((which, track.step(state, [(i * 5.0 + which, i * 2 + which, e, n, 2500.0, 0.0, 2500.0, 4e8, 5000.0)], i * 5.0 + which)[0][0]))
-    assert {w: {n for x, n in numbers if x == w} for w in (0, 1)} == {0: {1}, 1: {2}}
+            state.take((i * 5.0 + which, i * 2 + which, e, n, 2500.0, 0.0, 2500.0, 4e8, 5000.0, ["a"]), {}, out)
+    state.finish(304.0, out)
+    into = {r["track"]: r["other"] for r in out if r["kind"] == "folded"}  # strays beside an anchor
+    held = {(r["fix_id"] % 2, into.get(r["track"], r["track"])) for r in out if r["fix_id"] is not None and r["kind"] != "offset"}
+    assert held == {(0, 1), (1, 2)} and state.c["number"].tolist() == [1, 2]
 
 
 def record(**more):

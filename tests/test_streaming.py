@@ -1,49 +1,137 @@
-"""The streaming forms give what the batch forms give."""
+"""The streaming forms give what the batch forms give, after silence and after a restart."""
 
+import math
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import grouping
+from lodestream.operators import grouping, track
 from lodestream.streaming import picture, stateful
 
+FIXES = "island long, t double, fix_id long, e double, n double, ee double, en double, nn double, freq_hz double, bandwidth_hz double, sources array<string>"
 
-def test_grouping_stream_matches_batch(spark, tmp_path):
-    rows = [(float(t), s, s, 0.0, 4e8 + 12500.0 * c, 5000.0, t * 10 + c * 3 + i) for t in range(0, 40, 4) for c in (0, 1) for i, s in enumerate("abc")]
-    names = "t double, source_id string, sensor_id string, bearing_deg double, freq_hz double, bandwidth_hz double, observation_id long"
-    bearings = spark.createDataFrame(rows, names)
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    stateful.use_rocksdb(spark)
+    yield spark
+    spark.conf.set(name, before)
+
+
+def all_of(spark, stream, folder, out):
+    """Run to the end of what is there; rows so far."""
+    query = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert query.exception() is None
+    return spark.read.schema(stream.schema).parquet(str(out))
+
+
+def test_groups_close_by_the_clock(rocksdb, tmp_path):
+    spark = rocksdb
+    rows = [(float(t) + 0.1 * i, s, s, 0.0, 4e8 + 12500.0 * c, 5000.0, t * 10 + c * 3 + i) for t in range(0, 40, 4) for c in (0, 1) for i, s in enumerate("abc")]
+    bearings = spark.createDataFrame(rows, "t double, source_id string, sensor_id string, bearing_deg double, freq_hz double, bandwidth_hz double, observation_id long")
     islands = grouping.islands(bearings, 12_000.0)
-    batch = {tuple(sorted(r["ids"])) for r in grouping.group_snapshots(bearings).groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids")).collect()}
-    for part in (0, 1):
-        islands.where((F.col("t") >= 20) == bool(part)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = stateful.group_stream(spark.readStream.schema(islands.schema).parquet(str(tmp_path / "in")), settle_ms=1500)
-    query = stream.writeStream.format("memory").queryName("groups").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
-    try:
-        for _ in range(90):  # what is still open comes out once the islands are silent
-            found = {tuple(sorted(r["ids"])) for r in spark.table("groups").groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids")).collect()}
-            if found == batch:
-                break
-            time.sleep(1)
-    finally:
-        query.stop()
+    sets = lambda df: sorted(tuple(sorted(r["ids"])) for r in df.groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids")).collect())
+    batch = sets(grouping.group_snapshots(bearings))
+    assert len(batch) == 20
+    found = []
+    for part in (0, 1, 2):  # restarted between the parts; in the last one only the clock moves
+        if part < 2:
+            islands.where((F.col("t") >= 18) == bool(part)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        else:
+            spark.createDataFrame([(50.0,)], stateful.CLOCK).write.mode("append").json(str(tmp_path / "clock"))
+        stream = stateful.group_stream(spark.readStream.schema(islands.schema).parquet(str(tmp_path / "in")), stateful.clock_stream(spark, str(tmp_path / "clock")))
+        found = sets(all_of(spark, stream, tmp_path / "state", tmp_path / "out"))
+        assert len(found) < len(batch) or part == 2
     assert found == batch
-    assert picture.health(query)["active"] is False
 
 
-def test_tracks_come_out_of_the_buffer(spark, tmp_path):
-    fixes = spark.createDataFrame([(1, float(t), t, 100.0, 50.0, 100.0, 0.0, 100.0, 4e8, 5e3) for t in (0, 10, 5, 20)], "island long, t double, fix_id long, e double, n double, ee double, en double, nn double, freq_hz double, bandwidth_hz double")
+def fixes_of(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for island, stop in ((1, 400), (2, 60), (3, 1500)):  # the second and the first fall silent, the third moves the clock
+        for t in np.arange(island, stop, 9.0):
+            rows.append((island, float(t + rng.uniform(0, 2)), len(rows), float(rng.normal(0, 80)), float(rng.normal(0, 80)), 6400.0, 0.0, 6400.0, 4e8, 5e3, ["A"]))
+        for t in np.arange(200, min(stop, 390), 11.0):  # leaves its site
+            rows.append((island, float(t), len(rows), float(12.0 * (t - 200)), float(rng.normal(0, 80)), 6400.0, 0.0, 6400.0, 4e8, 5e3, ["B"]))
+    rows.append((2, 30.5, len(rows), 9e5, 0.0, None, None, None, 4e8, 5e3, ["A"]))
+    return spark.createDataFrame(rows, FIXES)
+
+
+def test_silent_tracks_coast_and_retire_in_the_stream(rocksdb, tmp_path):
+    """Three batches with restarts, then the clock alone: the rows of the batch form, at the same times."""
+    spark = rocksdb
+    fixes = fixes_of(spark)
+    want = sorted(repr(tuple(r)) for r in track.tracks(fixes).where("kind <> 'folded' OR t < 1000").collect())
+    kinds = {r["kind"] for r in track.tracks(fixes).select("kind").distinct().collect()}
+    assert {"created", "fix", "coasting", "predicted", "retired", "orphan", "expired", "split"} <= kinds
+    end = fixes.agg(F.max("t")).first()[0]
+    for part, (low, high) in enumerate(((0, 150), (150, 700), (700, 1e9), (None, None))):
+        if low is not None:
+            fixes.where((F.col("t") >= low) & (F.col("t") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        else:
+            spark.createDataFrame([(end + track.LATENCY_S + track.TICK_S + stateful.LATENESS_S,)], stateful.CLOCK).write.mode("append").json(str(tmp_path / "clock"))
+        stream = stateful.track_stream(spark.readStream.schema(fixes.schema).parquet(str(tmp_path / "in")), stateful.clock_stream(spark, str(tmp_path / "clock")), standard="A")
+        rows = all_of(spark, stream, tmp_path / "state", tmp_path / "out").collect()
+        if part == 0:
+            assert max(r["t"] for r in rows if r["kind"] == "fix") <= 150 - stateful.LATENESS_S
+    got = sorted(repr(tuple(r)) for r in rows)
+    assert got == want
+
+
+def test_late_records_are_taken(rocksdb, tmp_path):
+    spark = rocksdb
+    row = lambda t, i: (1, float(t), i, 0.0, 0.0, 100.0, 0.0, 100.0, 4e8, 5e3, ["A"])
+    for part, some in enumerate(([row(0, 0), row(5, 1), row(100, 2)], [row(120, 3)], [row(20, 4), row(121, 5)], [row(200, 6)])):
+        spark.createDataFrame(some, FIXES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stateful.track_stream(spark.readStream.schema(FIXES).parquet(str(tmp_path / "in")))
+        out = all_of(spark, stream, tmp_path / "state", tmp_path / "out")
+    taken = [r["fix_id"] for r in out.where("fix_id IS NOT NULL").collect()]
+    assert sorted(taken) == [0, 1, 2, 3, 4, 5]  # the last one waits for the clock
+
+
+def test_settle_moves_the_clock_once_and_gives_notice(spark, tmp_path):
+    now, notices = [0.0], []
+    clock = stateful.clock_stream(spark, str(tmp_path / "clock"))
+    assert clock.isStreaming
+    settle = stateful.Settle(spark, str(tmp_path / "clock"), lambda kind, text: notices.append(kind), now=lambda: now[0])
+    read = lambda: [r["t"] for r in spark.read.schema(stateful.CLOCK).json(str(tmp_path / "clock")).collect()]
+    settle.progress(5, "1970-01-01T00:01:40.000Z")
+    for at in (1, 4.9, 5, 6, 20, 31, 40):
+        now[0] = float(at)
+        settle.silent()
+        assert len(read()) == (at >= 5)
+    assert read()[0] == pytest.approx(100 + track.LATENCY_S + track.TICK_S + stateful.LATENESS_S + 0.001) and notices == ["idle"]
+    settle.progress(1, "1970-01-01T00:01:46.001Z")  # its own record
+    assert notices == ["idle"]
+    settle.progress(3, "1970-01-01T00:02:00.000Z")
+    assert notices == ["idle", "resumed"] and math.isclose(settle.newest, 120)
+
+
+def test_settled_stream(rocksdb, tmp_path):
+    """With the listener at work, what waited for the clock comes out of a silent stream."""
+    spark = rocksdb
+    fixes = spark.createDataFrame([(1, float(t), t, 100.0, 50.0, 100.0, 0.0, 100.0, 4e8, 5e3, ["A"]) for t in (0, 10, 5, 20)], FIXES)
     fixes.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = stateful.track_stream(spark.readStream.schema(fixes.schema).parquet(str(tmp_path / "in")), settle_ms=1500)
+    stream = stateful.track_stream(spark.readStream.schema(fixes.schema).parquet(str(tmp_path / "in")), stateful.clock_stream(spark, str(tmp_path / "clock")))
+    settle = stateful.Settle(spark, str(tmp_path / "clock"), settle_s=2.0)
+    spark.streams.addListener(settle)
     query = stream.writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
     try:
-        for _ in range(60):
-            rows = [r["fix_id"] for r in spark.table("tracks").where("fix_id is not null").collect()]
+        for _ in range(90):
+            rows = [r["fix_id"] for r in spark.table("tracks").where("fix_id is not null").orderBy("t").collect()]
             if len(rows) == 4:
                 break
             time.sleep(1)
     finally:
         query.stop()
-    assert rows == [0, 5, 10, 20]  # by time, the last one once the stream is silent
+        spark.streams.removeListener(settle)
+    assert rows == [0, 5, 10, 20]
+    assert picture.health(query)["active"] is False
 
 
 def test_published_log_has_no_gap_and_removes(spark, tmp_path):

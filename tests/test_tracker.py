@@ -173,6 +173,10 @@ def test_a_fix_without_a_region():
     loose = [(12.0, 100, 3.0, 0.0, None, None, None, 4e8, 5e3, ["B"]), (13.0, 101, 90_000.0, 0.0, None, None, None, 4e8, 5e3, None)]
     out, state = play([*rows, *loose])
     assert [(r["fix_id"], r["kind"]) for r in out if r["fix_id"] in (100, 101)] == [(100, "support"), (101, "orphan")]
+    out, _ = play([*rows, *loose, (200.0, 102, 3.0, 0.0, 100.0, 0.0, 100.0, 9e8, 5e3, ["A"])])
+    assert [(r["fix_id"], r["t"]) for r in out if r["kind"] == "expired"] == [(101, 44.0)]
+    shown = [r["t"] for r in out if r["kind"] in ("coasting", "predicted") and r["track"] == 1]
+    assert shown == [116.0 + 10 * i for i in range(len(shown))] and len(shown) == 9
     assert state.c["hits"].tolist() == [6]
 
 
