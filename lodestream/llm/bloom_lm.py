@@ -4,7 +4,7 @@ Counting: each task adds up the words and pairs of words of its texts, and sends
 block of the filter; a block's task merges these to exact counts. A count c is held as its
 level 1 + floor(log2 c): the filter has the n-gram with every level from 1 to that. So a
 count is read by asking for level 1, 2, ... until one is missing, and what is read is never
-under the level that was stored; a level too much is read with chance 2^-HASHES at most, or so.
+under the level that was stored; a level too much is read with chance 2^-hashes at most, or so.
 Every block of the filter has as many bits as what it holds asks for, so the chance is
 the same at any size, and the number of blocks follows the bytes of text, so a block stays small.
 
@@ -44,9 +44,9 @@ HASHES, MU = 6, 4.0
 BLOCK_TEXT, SECTION_BYTES = 1 << 18, 96 << 20
 BROADCAST_WORDS = 1 << 19
 #: Tokens that are looked up together (or those of one text, if these are more).
-READ_TOKENS = 1 << 19
+READ_TOKENS = 1 << 18
 #: Distinct n-grams that a task holds before it sends them on.
-HELD = 1 << 21
+HELD = 3 << 19
 
 END = np.uint64(0x5851F42D4C957F2D)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -108,22 +108,22 @@ def _places(mixed: np.ndarray, number: int, n_bits: np.ndarray) -> np.ndarray:
     return ((((mixed & _LOW) + np.uint64(number) * (mixed >> _32) + np.uint64(number * number) * _SQUARE) & _LOW) * n_bits) >> _32
 
 
-def filled(keys: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
+def filled(keys: np.ndarray, levels: np.ndarray, hashes: int) -> tuple[int, np.ndarray]:
     """A block of the filter: number of bits, and the bytes."""
-    n_bits = 8 * max(8, math.ceil(int(levels.sum()) * HASHES / math.log(2) / 8))
+    n_bits = 8 * max(8, math.ceil(int(levels.sum()) * hashes / math.log(2) / 8))
     bits, mixed = np.zeros(n_bits, bool), mix64(keys)
     for level in range(int(levels.max(initial=0))):
         mixed, levels = mixed[levels > level], levels[levels > level]
-        for i in range(HASHES):
-            bits[_places(mixed, level * HASHES + i, np.uint64(n_bits))] = True
+        for i in range(hashes):
+            bits[_places(mixed, level * hashes + i, np.uint64(n_bits))] = True
     return n_bits, np.packbits(bits, bitorder="little")
 
 
 class Section:
     """Blocks of the filter whose number has one remainder."""
 
-    def __init__(self, rows: pa.Table, n_blocks: int, sections: int, remainder: int) -> None:
-        self.n_blocks, self.sections, self.remainder = n_blocks, np.uint64(sections), np.uint64(remainder)
+    def __init__(self, rows: pa.Table, n_blocks: int, sections: int, remainder: int, hashes: int) -> None:
+        self.n_blocks, self.sections, self.remainder, self.hashes = n_blocks, np.uint64(sections), np.uint64(remainder), hashes
         count = (n_blocks - remainder + sections - 1) // sections
         self.n_bits, self.start = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
         at = rows["block"].to_numpy() // sections
@@ -141,8 +141,8 @@ class Section:
         asked, mixed, n_bits, start = left, mix64(keys[left]), self.n_bits[own], self.start[own]
         found, level = np.zeros(len(keys), np.uint8), 0
         while len(left) and level < len(MIDDLES) - 1:
-            for i in range(HASHES):
-                at = _places(mixed, level * HASHES + i, n_bits) + start
+            for i in range(self.hashes):
+                at = _places(mixed, level * self.hashes + i, n_bits) + start
                 has = (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 left, mixed, n_bits, start = left[has], mixed[has], n_bits[has], start[has]
             level += 1
@@ -162,11 +162,12 @@ class Model:
     tokens: int
     distinct: int
     bound: int
+    hashes: int
     frequent: tuple[np.ndarray, np.ndarray]
 
     def section(self, number: int) -> Broadcast:
         rows = self.table.where(F.col("block") % self.sections == number).select("block", "n_bits", "bits").toArrow()  # SECTION_BYTES or so
-        return self.table.sparkSession.sparkContext.broadcast(Section(rows, self.n_blocks, self.sections, number))
+        return self.table.sparkSession.sparkContext.broadcast(Section(rows, self.n_blocks, self.sections, number, self.hashes))
 
 
 def _vocabulary(table: DataFrame) -> DataFrame:
@@ -197,18 +198,18 @@ def _sent(held: list[tuple[np.ndarray, np.ndarray]], n_blocks: int) -> pa.Record
     return pa.RecordBatch.from_arrays(columns, ["block", "words", "word_counts", "pairs", "pair_counts"])
 
 
-def _merged(rows: pa.Table) -> pa.Table:
+def _merged(rows: pa.Table, hashes: int) -> pa.Table:
     def total(keys: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
         return _counted(*[[np.frombuffer(x.as_buffer(), kind) for x in rows[c]] for c, kind in ((keys, "<u8"), (counts, "<i8"))])
 
     words, word_counts = total("words", "word_counts")
     both, both_counts = total("pairs", "pair_counts")
-    n_bits, bits = filled(np.concatenate((words, both)), level_of(np.concatenate((word_counts, both_counts))))
+    n_bits, bits = filled(np.concatenate((words, both)), level_of(np.concatenate((word_counts, both_counts))), hashes)
     values = [rows["block"][0].as_py(), n_bits, bits.tobytes(), words.tobytes(), word_counts.tobytes(), int(word_counts.sum()), len(words)]
     return pa.table({c.split()[0]: pa.array([v], pa.binary() if "binary" in c else pa.int64()) for c, v in zip(FILTER.split(", "), values, strict=True)})
 
 
-def train(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
+def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", hashes: int = HASHES) -> Model:
     """Learn from all texts; the filter is a table in ``scratch``."""
     size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
     n_blocks = 1 + ((size[0] or 0) + size[1]) // BLOCK_TEXT
@@ -241,7 +242,7 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
             yield flush()
 
     sent = docs.select(text_col).mapInArrow(count, COUNTS)
-    table = scratch.keep(sent.groupBy("block").applyInArrow(_merged, FILTER))
+    table = scratch.keep(sent.groupBy("block").applyInArrow(lambda rows: _merged(rows, hashes), FILTER))
     n_tokens, distinct, n_bytes = (x or 0 for x in table.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.octet_length("bits"))).first())
     bound, frequent = 0, [np.empty(0, np.int64)] * 2
     if distinct:
@@ -252,7 +253,7 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Model:
         known = _vocabulary(table).where(F.col("count") >= bound).toArrow()  # BROADCAST_WORDS at most
         order = np.argsort(known["word"].to_numpy())
         frequent = [known["word"].to_numpy()[order], known["count"].to_numpy()[order]]
-    return Model(table, n_blocks, max(1, math.ceil(n_bytes / SECTION_BYTES)), n_tokens, distinct, bound, tuple(frequent))
+    return Model(table, n_blocks, max(1, math.ceil(n_bytes / SECTION_BYTES)), n_tokens, distinct, bound, hashes, tuple(frequent))
 
 
 def probabilities(word_levels: np.ndarray, pair_levels: np.ndarray, first: np.ndarray, n_tokens: int, distinct: int) -> np.ndarray:
@@ -343,7 +344,7 @@ def _rest(single: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.
     return keys[new].view(np.int64), np.diff(np.append(new, len(keys))), np.searchsorted(rows[new], np.arange(len(first)))
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES) -> DataFrame:
     """Learn from the rows that are not held out, then score all: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` is a condition over the id alone; where it is null the row is learned from.
@@ -351,7 +352,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     out = F.coalesce(held_out, F.lit(False))
     scratch = Scratch(docs.sparkSession)
     try:
-        model = train(docs.where(~out), scratch, text_col)
+        model = train(docs.where(~out), scratch, text_col, hashes)
         scored = score(docs, model, scratch, id_col, text_col).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
         named = scored.withColumnRenamed("id", id_col)
         return checkpoint(named.select(F.col(id_col), out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))

@@ -174,10 +174,10 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, id_
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
 
     def run(batches):
-        screen = Screen(centroids)
+        screen = Screen(centroids) if centroids else None
         for batch in batches:
             rows, found = vectors_of(batch.column(1), dimensions)
-            nearest = screen.assign(found) if len(found) and centroids else np.empty(0, np.int64)
+            nearest = screen.assign(found) if screen else np.empty(0, np.int64)
             away = squared(found, screen.exact[nearest]) if len(nearest) else np.empty(0, np.int64)
             away = pa.array(away if away.dtype != object else [_long(int(x)) for x in away], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[: len(nearest)])), pa.array(nearest.astype(np.int32)), away], ["vec_id", "cluster", "distance"])
