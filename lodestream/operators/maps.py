@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import geo_sql as G
 from lodestream.operators import matching as M
+from lodestream.operators.lineage import cut_lineage
 
 #: Steps of the even grid in the unit disc, samples of an uncertainty and their seed.
 DISC_STEPS, SAMPLES, SEED = 25, 1000, 20260930
@@ -26,6 +27,16 @@ def disc_grid(steps: int = DISC_STEPS) -> list[tuple[float, float]]:
     return [(x, y) for y in ticks for x in ticks if math.hypot(x, y) <= 1]
 
 
+def near_edges(boxes: DataFrame, edges: DataFrame, row: float) -> DataFrame:
+    """The boxes (x1, y1, x2, y2 and more) that an edge's own box touches; inside all others every point is on the same side of every ring."""
+    rows = lambda low, high: F.explode(F.sequence(F.floor(low / row), F.floor(high / row)))
+    own = edges.select(F.least("x1", "x2").alias("__a"), F.least("y1", "y2").alias("__b"), F.greatest("x1", "x2").alias("__c"), F.greatest("y1", "y2").alias("__d"))
+    own = own.withColumn("__row", rows(F.col("__b"), F.col("__d")))
+    met = boxes.withColumn("__row", rows(F.col("y1"), F.col("y2"))).join(own, "__row")
+    touch = (F.col("__a") <= F.col("x2")) & (F.col("__c") >= F.col("x1")) & (F.col("__b") <= F.col("y2")) & (F.col("__d") >= F.col("y1"))
+    return met.where(touch).select(boxes.columns).distinct()
+
+
 def normal_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[float, float]]:
     return [(round(float(a), 9), round(float(b), 9)) for a, b in np.random.default_rng(seed).standard_normal((n, 2))]
 
@@ -41,19 +52,26 @@ def inside_polygons(points: DataFrame, edges: DataFrame, row: float, x: str = "x
     return numbered.join(odd, key, "left").select(*points.columns, F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, cell: float, most: int = 6) -> DataFrame:
-    """The nearest segment of each point, over rings that grow threefold for those that have none yet. ``points``: key, x, y; ``segments``: id, ax, ay, bx, by."""
-    left, found = points.select(key, "x", "y"), None
-    for ring in range(most):
-        size = cell * 3**ring
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, cell: float) -> DataFrame:
+    """The nearest segment of each point, however far. ``points``: key, x, y; ``segments``: id, ax, ay, bx, by.
+
+    Each ring is three times as wide as the one before and takes only the points that have
+    none yet; there is no last ring. Without segments no point has a row.
+    """
+    left, found, size = points.select(key, "x", "y"), None, cell
+    if segments.isEmpty():
+        return left.limit(0).select(key, F.lit(None).cast(segments.schema["id"].dataType).alias("segment"), F.lit(0.0).alias("distance"))
+    while True:
         seg = M.cells_of_segments(segments, size)
         near = left.withColumn("ci", M.near_buckets(F.col("x"), size)).withColumn("cj", M.near_buckets(F.col("y"), size)).join(seg, ["ci", "cj"])
         d = M.point_segment_distance(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))
         best = near.withColumn("distance", d).where(F.col("distance") <= size).groupBy(key).agg(F.min(F.struct("distance", "id")).alias("m"))
-        some = best.select(key, F.col("m.id").alias("segment"), F.col("m.distance").alias("distance"))
-        found = some if found is None else found.unionByName(some)
-        left = left.join(best, key, "left_anti")
-    return found
+        tried = cut_lineage(left.join(best, key, "left"))
+        some = tried.where("m IS NOT NULL").select(key, F.col("m.id").alias("segment"), F.col("m.distance").alias("distance"))
+        found, left = some if found is None else found.unionByName(some), tried.where("m IS NULL").drop("m")
+        if left.isEmpty():
+            return found
+        size *= 3
 
 
 def terrain(points: DataFrame, cells: DataFrame, cols: int, rows: int, x: Column, y: Column) -> DataFrame:
@@ -102,6 +120,7 @@ def place_llr(places: DataFrame, segments: DataFrame, key: list[str], ee: float,
     return all_.withColumn("llr", F.when((F.col("inside_m") > 0) & (F.col("area") > 0) & (F.col("integral") > 0), ratio).otherwise(-LLR_CLIP))
 
 
-def newest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """The last ``n`` rows of each key, with their place from the newest on (rn)."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rn") <= n)
+def newest(rows: DataFrame, key: str, order: list[Column], n: int, t: str | None = None, span: float | None = None) -> DataFrame:
+    """The last ``n`` rows of each key, with their place from the newest on (rn); of these, with ``span``, those of that time before the newest."""
+    last = rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rn") <= n)
+    return last if span is None else last.withColumn("__top", F.max(t).over(Window.partitionBy(key))).where(F.col(t) >= F.col("__top") - span).drop("__top")

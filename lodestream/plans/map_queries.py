@@ -11,7 +11,7 @@ from lodestream.plans.matching_queries import _EDGE_SQL, _EDGES, _SEG_SQL, _SEGM
 from lodestream.plans.scalar_queries import phi_sql
 from lodestream.plans.tables import observations, query
 
-_BOX = (0.0, 0.0, 10_500.0, 9_500.0)
+_BOX = (0.0, 0.0, 9_800.0, 9_500.0)
 
 
 def _edges(spark):
@@ -80,8 +80,12 @@ def map_totals(spark, sf_dir):
     return road.unionByName(water.select(F.lit("water_m2").alias("layer"), "total"))
 
 
-_TRAIL = """, p AS (SELECT entity, t_us, observation_id, ((entity * 733 + k * 137) % 10007)::DOUBLE AS x, ((entity * 397 + k * 91) % 9001)::DOUBLE AS y FROM obs),
-trail AS (SELECT entity, list(struct_pack(x := x, y := y) ORDER BY t_us DESC, observation_id DESC) AS pts FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t_us DESC, observation_id DESC) AS rn FROM p) WHERE rn <= 60 GROUP BY 1 HAVING count(*) >= 5)"""
+#: A trail is what is left of 900 s (hours stand for seconds, as the table is that sparse) in a ring of 200 points.
+_RING, _SPAN = 200, 900 * 3600 * 1_000_000
+_TRAIL = f""", p AS (SELECT entity, t_us, observation_id, ((entity * 733 + k * 137) % 10007)::DOUBLE AS x, ((entity * 397 + k * 91) % 9001)::DOUBLE AS y FROM obs),
+last AS (SELECT *, max(t_us) OVER (PARTITION BY entity) AS top FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t_us DESC, observation_id DESC) AS rn FROM p) WHERE rn <= {_RING}),
+recent AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM last WHERE t_us >= top - {_SPAN}),
+trail AS (SELECT entity, list(struct_pack(x := x, y := y) ORDER BY t_us DESC, observation_id DESC) AS pts FROM recent WHERE n >= 5 AND x BETWEEN {_BOX[0]} AND {_BOX[2]} AND y BETWEEN {_BOX[1]} AND {_BOX[3]} GROUP BY 1)"""
 _EE, _EN, _NN = 2500.0 + maps.ROAD_SIGMA_M**2, 300.0, 1600.0 + maps.ROAD_SIGMA_M**2
 _MAJOR = math.sqrt((_EE + _NN) / 2 + math.sqrt(((_EE - _NN) / 2) ** 2 + _EN**2))
 _SEPARATION = max(maps.SEPARATION_M, 2 * _MAJOR)
@@ -92,8 +96,9 @@ thin AS (SELECT entity, kept FROM g WHERE i = len(pts) + 1)"""
 
 def _thin(spark, sf_dir):
     p = observations(spark, sf_dir).select("entity", "t_us", "observation_id", ((F.col("entity") * 733 + F.col("k") * 137) % 10007).cast("double").alias("x"), ((F.col("entity") * 397 + F.col("k") * 91) % 9001).cast("double").alias("y"))
-    last = maps.newest(p, "entity", [F.desc("t_us"), F.desc("observation_id")], 60)
-    trail = last.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("rn", "x", "y"))).alias("pts")).where(F.size("pts") >= 5)
+    last = maps.newest(p, "entity", [F.desc("t_us"), F.desc("observation_id")], _RING, "t_us", _SPAN)
+    covered = F.col("x").between(_BOX[0], _BOX[2]) & F.col("y").between(_BOX[1], _BOX[3])
+    trail = last.groupBy("entity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(covered, F.struct("rn", "x", "y")))).alias("pts")).where((F.col("n") >= 5) & (F.size("pts") > 0))
     return trail.select("entity", maps.thinned(F.col("pts"), F.lit(_SEPARATION)).alias("kept"))
 
 
@@ -106,7 +111,7 @@ def _recursive(sql: str) -> str:
 
 @query("place_thinning", _recursive(_THIN + " SELECT entity, len(kept)::INTEGER AS places, round(list_sum(list_transform(kept, lambda q: q.x)), 3) AS sum_x FROM thin"), obs=False)
 def place_thinning(spark, sf_dir):
-    """Separate places of each trail, newest first."""
+    """Separate places of each trail inside of the map, newest first."""
     total = F.aggregate("kept", F.lit(0.0), lambda s, p: s + p["x"])
     return _thin(spark, sf_dir).select("entity", F.size("kept").alias("places"), F.round(total, 3).alias("sum_x"))
 
@@ -153,5 +158,8 @@ def on_water(spark, sf_dir):
     """Share of 1000 seeded samples of a position's uncertainty that fall on the lake, less its island."""
     z = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_Z)], "i int, a double, b double"))  # a fixed number of samples
     c = observations(spark, sf_dir).select("entity").distinct().select("entity", (F.col("entity") * 733 % 10007).cast("double").alias("e"), (F.col("entity") * 397 % 9001).cast("double").alias("n"))
-    p = c.join(z).select("entity", "i", (F.col("e") + _L11 * F.col("a")).alias("x"), (F.col("n") + _L21 * F.col("a") + _L22 * F.col("b")).alias("y"))
-    return maps.inside_polygons(p, _edges(spark), 1000.0).groupBy("entity").agg(F.round(F.avg(F.col("inside").cast("int")), 6).alias("on_water"))
+    edges, rx, ry = _edges(spark), max(abs(_L11 * a) for a, _ in _Z), max(abs(_L21 * a + _L22 * b) for a, b in _Z)
+    near = maps.near_edges(c.select("entity", "e", "n", (F.col("e") - rx).alias("x1"), (F.col("n") - ry).alias("y1"), (F.col("e") + rx).alias("x2"), (F.col("n") + ry).alias("y2")), edges, 1000.0)
+    p = near.join(z).select("entity", "i", (F.col("e") + _L11 * F.col("a")).alias("x"), (F.col("n") + _L21 * F.col("a") + _L22 * F.col("b")).alias("y"))
+    far = c.join(near, "entity", "left_anti").select("entity", F.lit(0).alias("i"), F.col("e").alias("x"), F.col("n").alias("y"))  # no shore near: all samples are where the centre is
+    return maps.inside_polygons(p.unionByName(far), edges, 1000.0).groupBy("entity").agg(F.round(F.avg(F.col("inside").cast("int")), 6).alias("on_water"))

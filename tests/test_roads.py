@@ -33,10 +33,12 @@ def test_kernels_are_numeric_integrals(spark):
 
 
 def test_rings_grow_to_the_nearest_road(spark):
-    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 4000.0, 0.0), (3, 60_000.0, 0.0)], "p int, x double, y double")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 4000.0, 0.0), (3, 60_000.0, 0.0), (4, -9e6, 4e6)], "p int, x double, y double")
     segments = spark.createDataFrame([(7, -10.0, 5.0, 10.0, 5.0), (8, 0.0, -300.0, 900.0, -300.0)], "id int, ax double, ay double, bx double, by double")
     got = {r["p"]: (r["segment"], round(r["distance"], 3)) for r in maps.nearest_segment(points, segments, "p", 100.0).collect()}
-    assert got[1] == (7, 5.0) and got[2] == (8, round(math.hypot(3100, 300), 3)) and 3 not in got  # beyond the last ring
+    assert got[1] == (7, 5.0) and got[2] == (8, round(math.hypot(3100, 300), 3))
+    assert got[3] == (8, round(math.hypot(59_100, 300), 3)) and got[4] == (7, round(math.hypot(9e6 - 10, 4e6 - 5), 3))  # however far
+    assert maps.nearest_segment(points, segments.limit(0), "p", 100.0).count() == 0 and maps.nearest_segment(points.limit(0), segments, "p", 100.0).count() == 0
 
 
 def test_a_point_in_a_hole_is_outside(spark):
