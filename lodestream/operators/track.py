@@ -454,7 +454,7 @@ def frame(key: int, rows: list[dict]) -> pd.DataFrame:
     out["island"] = key
     kinds = {"run": "int64", "island": "int64"} | dict.fromkeys(("track", "fix_id", "hits", "other", "stayed"), "Int64") | {"anchor": "boolean"}
     text = ("kind", "state", "source", "reference")
-    return out.astype(kinds | {c: "float64" for c in COLUMNS if c not in kinds and c not in text})
+    return out.astype(kinds | dict.fromkeys(text, object) | {c: "float64" for c in COLUMNS if c not in kinds and c not in text})
 
 
 def fix_rows(pdf: pd.DataFrame) -> Iterator[tuple]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestream.functions import geo_np
 from lodestream.operators import grouping, locate, track
-from lodestream.plans.tables import observations, query
+from lodestream.plans.tables import observations, observed, query
+from lodestream.streaming import stateful
 
 #: Sites of the five sources (latitude, longitude).
 _SITES = {"click": (50.00, 10.00), "view": (50.10, 10.25), "purchase": (49.90, 10.30), "signup": (50.15, 10.05), "logout": (49.85, 10.12)}
@@ -25,11 +24,13 @@ def _scaled(o):
     return o.withColumns({"t": F.col("t_us") / 1e9, "bandwidth_hz": F.lit(5000.0)})
 
 
+def _grouped(o):
+    return _scaled(o).select("t", "source_id", (F.col("entity") % 3).cast("string").alias("sensor_id"), "bearing_deg", "freq_hz", "bandwidth_hz", "observation_id")
+
+
 @query("snapshot_groups")
 def snapshot_groups(spark, sf_dir):
-    o = _scaled(observations(spark, sf_dir))
-    rows = o.select("t", "source_id", (F.col("entity") % 3).cast("string").alias("sensor_id"), "bearing_deg", "freq_hz", "bandwidth_hz", "observation_id")
-    return grouping.group_snapshots(rows)
+    return grouping.group_snapshots(_grouped(observations(spark, sf_dir)))
 
 
 def _cycles(o):
@@ -67,30 +68,36 @@ def cochannel_split(spark, sf_dir):
     return locate.fixes(_members(spark, o).unionByName(_members(spark, o, shift=0.1)), by="entity")
 
 
-def _fixes(spark, sf_dir):
+def _began(spark, sf_dir) -> float:
+    return _scaled(observations(spark, sf_dir)).agg(F.min("t")).first()[0] or 0.0
+
+
+def _fixes(o, t0: float):
     """Every observation as a fix. Two entities share a site and a channel; half way through the odd one leaves it at some 15 m/s."""
-    o = _scaled(observations(spark, sf_dir))
-    site, half = F.floor(F.col("entity") / 80) * 40 + F.col("entity") % 40, 1296.0
-    first = F.broadcast(o.agg(F.min("t").alias("t0")))
-    away = F.when((F.floor(F.col("entity") / 40) % 2 == 1) & (F.col("t") - F.col("t0") > half), (F.col("t") - F.col("t0") - half) * 15.0).otherwise(0.0)
+    site, since = F.floor(F.col("entity") / 80) * 40 + F.col("entity") % 40, F.col("t") - (t0 + 1296.0)
+    away = F.when((F.floor(F.col("entity") / 40) % 2 == 1) & (since > 0), since * 15.0).otherwise(0.0)
     bias = F.when(F.col("source_id") == "purchase", 900.0).otherwise(0.0)
-    return o.crossJoin(first).select(
+    return _scaled(o).select(
         (F.col("entity") % 40).cast("long").alias("island"), "t", F.col("observation_id").alias("fix_id"),
         ((site * 733 % 20011) + (F.col("k") % 7 - 3) * 20.0 + away).alias("e"), ((site * 397 % 19997) + (F.col("k") % 5 - 2) * 20.0).alias("n"),
         F.lit(2500.0).alias("ee"), F.lit(0.0).alias("en"), F.lit(2500.0).alias("nn"), (F.col("freq_hz") + bias).alias("freq_hz"), "bandwidth_hz", F.array("source_id").alias("sources"),
     )
 
 
+def _all_fixes(spark, sf_dir):
+    return _fixes(observations(spark, sf_dir), _began(spark, sf_dir))
+
+
 @query("imm_tracks")
 def imm_tracks(spark, sf_dir):
     """Every change of every track."""
-    return track.tracks(_fixes(spark, sf_dir))
+    return track.tracks(_all_fixes(spark, sf_dir))
 
 
 @query("track_anchors")
 def track_anchors(spark, sf_dir):
     """The last point of each anchor with its covariance, and how often it was heard there."""
-    rows = track.tracks(_fixes(spark, sf_dir)).where("anchor AND kind = 'fix'")
+    rows = track.tracks(_all_fixes(spark, sf_dir)).where("anchor AND kind = 'fix'")
     last = F.max_by(F.struct("anchor_e", "anchor_n", "anchor_ee", "anchor_en", "anchor_nn"), F.struct("t", "fix_id"))
     return rows.groupBy("island", "run", "track").agg(F.count("*").alias("heard"), F.max("t").alias("t"), last.alias("a")).select("island", "run", "track", "heard", "t", "a.*")
 
@@ -98,11 +105,31 @@ def track_anchors(spark, sf_dir):
 @query("track_lineage")
 def track_lineage(spark, sf_dir):
     """What became of tracks that appeared beside others: splits, undone merges, relocations, folds and merges."""
-    rows = track.tracks(_fixes(spark, sf_dir))
+    rows = track.tracks(_all_fixes(spark, sf_dir))
     return rows.where(F.col("kind").isin("candidate", "split", "unmerged", "relocated", "folded", "merged")).select("island", "run", "track", "t", "kind", "other", "stayed")
 
 
 @query("learned_biases")
 def learned_biases(spark, sf_dir):
     """What the tracker learned of each source's frequency and clock."""
-    return track.nuisance(track.tracks(_fixes(spark, sf_dir)))
+    return track.nuisance(track.tracks(_all_fixes(spark, sf_dir)))
+
+
+def _events_stream(spark, sf_dir):
+    """The table as a stream; a pattern, as a stream's path may be a file only by one."""
+    return observed(spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+@query("timed_groups")
+def timed_groups(spark, sf_dir):
+    """Snapshot groups of the table as a stream, closed by the stream's clock; those still open at its end are not in it."""
+    channels = _grouped(observations(spark, sf_dir))
+    islands = grouping.islands(channels, 12_000.0).groupBy("freq_hz").agg(F.first("island").alias("island"))  # one row a channel
+    return stateful.to_the_end(spark, stateful.group_stream(_grouped(_events_stream(spark, sf_dir)).join(islands, "freq_hz")))
+
+
+@query("timed_tracks")
+def timed_tracks(spark, sf_dir):
+    """Tracks of the table as a stream: what timers and the clock bring out by its end."""
+    standard = observations(spark, sf_dir).groupBy("source_id").count().orderBy(F.desc("count"), "source_id").first()
+    return stateful.to_the_end(spark, stateful.track_stream(_fixes(_events_stream(spark, sf_dir), _began(spark, sf_dir)), standard=standard["source_id"] if standard else None))

@@ -13,8 +13,11 @@ def epoch_us(column: str):
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation per event; ``dirt`` says what a record violates, by formula."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return observed(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def observed(e: DataFrame) -> DataFrame:
+    """One observation per event, of a table or a stream of them."""
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("observation_id"),

@@ -20,15 +20,18 @@ from __future__ import annotations
 import math
 import pickle
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from lodestream.operators import grouping, track
+from lodestream.operators.lineage import cut_lineage, shared_folder
 
 #: Seconds by which the clock trails the newest record, of silence until it catches up, and until a notice.
 LATENESS_S, SETTLE_S, IDLE_S = 2.0, 5.0, 30.0
@@ -39,6 +42,22 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def to_the_end(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a stream over all that its source has now, with its state in the shared folder; the rows, once the folder is removed."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    use_rocksdb(spark)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return cut_lineage(spark.read.schema(stream.schema).parquet(f"{folder}/rows"))
+    finally:
+        spark.conf.set(name, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Clocked(StatefulProcessor):
     """Rows of a key in the order of their times, and timers. Subclasses say what an item of state is and what happens."""
 
@@ -52,7 +71,8 @@ class Clocked(StatefulProcessor):
         self.rest = handle.getValueState("rest", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for pdf in rows for r in pdf.loc[pdf["taken"], self.columns].itertuples(index=False, name=None)]
+        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+        new = [tuple(map(plain, r)) for pdf in rows for r in pdf.loc[pdf["taken"], self.columns].itertuples(index=False, name=None)]
         yield self._run(key[0], new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

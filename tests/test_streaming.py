@@ -145,3 +145,18 @@ def test_published_log_has_no_gap_and_removes(spark, tmp_path):
     assert {(r["key"], r["value"]) for r in picture.snapshot(log).collect()} == {("a", "2"), ("c", "5")}
     assert [r["value"] for r in picture.record(log, "r").collect()][0] == '{"run_id":"r","op":"hello"}'
     assert picture.resume(log, 2)[0] == "deltas" and picture.resume(log.where("seq > 3"), 1)[0] == "snapshot"
+
+
+def test_the_table_as_a_stream(spark):
+    """What the streamed queries give is what the batch queries give up to the clock."""
+    from lodestream.plans import catalog
+
+    sf, q = "/root/testdata/sf0.001", catalog.queries()
+    batch, timed = q["imm_tracks"](spark, sf), q["timed_tracks"](spark, sf)
+    assert timed.schema == batch.schema
+    end = batch.where("kind = 'fix'").agg(F.max("t")).first()[0] - stateful.LATENESS_S - track.LATENCY_S
+    early = lambda df: sorted(repr(tuple(r)) for r in df.where(F.col("t") < end).collect())
+    assert early(timed) == early(batch) and len(early(timed)) > 500
+    sets = lambda df: {(tuple(sorted(r["ids"])), r["t"]) for r in df.groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids"), F.max("last_t").alias("t")).collect()}
+    batch, timed = sets(q["snapshot_groups"](spark, sf)), sets(q["timed_groups"](spark, sf))
+    assert timed <= batch and {t for _, t in batch - timed} and all(t > end - 2 for _, t in batch - timed)
