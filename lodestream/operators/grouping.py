@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.operators.runs import cut
+from lodestream.operators.runs import cut, spread
 
 WINDOW_S, TOLERANCE_HZ, SIMULTANEOUS_S = 2.0, 2500.0, 0.5
 STEP_S = 1.0
@@ -115,4 +115,4 @@ def group_snapshots(bearings: DataFrame, step_s: float = STEP_S, gap_hz: float =
     sizes = placed.groupBy("island", "__run").count()
     earlier = Window.partitionBy("island").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before")  # as many numbers as rows are free for a run
-    return placed.join(sizes.select("island", "__run", before), ["island", "__run"]).groupBy("island", "__run").applyInPandas(run, SCHEMA)
+    return spread(placed.join(sizes.select("island", "__run", before), ["island", "__run"]), "island", "__run").groupBy("island", "__run").applyInPandas(run, SCHEMA)

@@ -20,3 +20,8 @@ def cut(rows: DataFrame, value: str, gap: float, name: str, by: list[str] | None
     new = F.coalesce((F.col("__low") - F.lag("__high").over(order) > gap).cast("long"), F.lit(0))
     numbered = ends.withColumn("__new", new).select(*keys, "__bin", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
     return rows.withColumn("__bin", bin_).join(numbered, [*keys, "__bin"]).drop("__bin")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by their keys over several tasks a core, which are not put together again for being small: what they do is heavy."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators import imm
-from lodestream.operators.runs import cut
+from lodestream.operators.lineage import cut_lineage
+from lodestream.operators.runs import cut, spread
 
 #: Gates by their probabilities, then the tracker's times, counts and distances.
 GATE, ANCHOR_GATE, MERGE_GATE = (-2 * math.log(1 - p) for p in (0.999, 0.99, 0.99))
@@ -484,7 +485,7 @@ def tracks(fixes: DataFrame, learned: dict[str, float] | None = None, split: boo
 
     source = fixes.select("island", *FIX).dropna(subset=["island", "t", "fix_id", "e", "n", "freq_hz", "bandwidth_hz"])
     keys = ["island", "__run"] if split else ["island"]
-    return (cut(source, "t", CUT_S, "__run", ["island"]) if split else source).groupBy(*keys).applyInPandas(lambda pdf: run(pdf), SCHEMA)
+    return spread(cut(source, "t", CUT_S, "__run", ["island"]) if split else source, *keys).groupBy(*keys).applyInPandas(lambda pdf: run(pdf), SCHEMA)
 
 
 def nuisance(rows: DataFrame) -> DataFrame:
@@ -493,7 +494,7 @@ def nuisance(rows: DataFrame) -> DataFrame:
     Medians by mergeable sketches, so a source's samples are not gathered; the median's error
     is 1.2533 / sqrt(n) times 1.4826 of the median distance from it.
     """
-    samples = rows.where("kind = 'offset'").select("source", "reference", "offset_hz", "offset_s")
+    samples = cut_lineage(rows.where("kind = 'offset'").select("source", "reference", "offset_hz", "offset_s"))
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
     centre = samples.groupBy("source", "reference").agg(middle("offset_hz").alias("freq_bias_hz"), middle("offset_s").alias("clock_offset_s"))
     away = samples.join(F.broadcast(centre), ["source", "reference"])  # a row a source and reference
