@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.functions import geo_np
+from lodestream.functions import sql_surface
 from lodestream.operators import grouping, locate, track
 from lodestream.plans.tables import observations, observed, query
 from lodestream.streaming import stateful
@@ -68,6 +68,19 @@ def cochannel_split(spark, sf_dir):
     return locate.fixes(_members(spark, o).unionByName(_members(spark, o, shift=0.1)), by="entity")
 
 
+@query("cochannel_split_sql")
+def cochannel_split_sql(spark, sf_dir):
+    """The fixes of ``cochannel_split``, asked for in SQL alone: grouped bearings into a table function, and how far each fix is from the first sensor."""
+    sql_surface.register(spark)
+    o = _cycles(observations(spark, sf_dir))
+    _members(spark, o).unionByName(_members(spark, o, shift=0.1)).createOrReplaceTempView("lodestream_members")
+    return spark.sql("""
+        WITH first AS (SELECT group_id, min_by(struct(lat, lon), sensor) AS s FROM lodestream_members GROUP BY group_id)
+        SELECT f.*, geodesic_distance_m(first.s.lat, first.s.lon, f.lat, f.lon) AS range_m
+        FROM locate_fixes(TABLE(SELECT group_id, sensor, lat, lon, bearing_deg, sigma_deg, basis FROM lodestream_members) PARTITION BY group_id) f
+        JOIN first USING (group_id)""")
+
+
 def _began(spark, sf_dir) -> float:
     return _scaled(observations(spark, sf_dir)).agg(F.min("t")).first()[0] or 0.0
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import geo_sql as G
 from lodestream.operators import matching as M
+from lodestream.operators import memory
 from lodestream.plans.feature_queries import _TX, _tx
 from lodestream.plans.matching_queries import WIDTH, tracks
 from lodestream.plans.matching_queries import _TRACKS as TRACKS
@@ -284,6 +285,22 @@ def reid_published(spark, sf_dir):
     return best.where("rn = 1 and p >= 0.5 and p - p2 >= 0.15").select("entity", "session", "old", "old_session", F.round("p", 6).alias("p"))
 
 
+@query("reid_memory")
+def reid_memory(spark, sf_dir):
+    """Sessions one after the other: whom each is consistent with once earlier ones have used up theirs, and the prior that it starts from."""
+    s = _tx(spark, sf_dir)
+    name = lambda e, n: (F.col(e) * 10_000 + F.col(n)).cast("long")
+    each = s.select(F.pmod("entity", F.lit(40)).cast("long").alias("channel"), name("entity", "session").alias("id"), (F.col("start_us") / 1e6).alias("start_s"), (F.col("end_us") / 1e6).alias("end_s"), "n", F.col("entity").alias("e"))
+    share = F.lit(1.0) / (1 + F.col("e") % 4)
+    posterior = F.create_map(F.lit("a"), share * 0.9, F.lit("b"), (1 - share) * 0.9, F.lit("background"), F.lit(0.1))
+    c = reidentified(spark, sf_dir).select(name("entity", "session").alias("id"), name("old", "old_session").alias("old"), "odds")
+    n = each.select("id", "channel", "n")
+    old = n.select(F.col("id").alias("old"), F.col("n").alias("m"))
+    shared = F.lit(3) + ((F.col("n") >= 2) & (F.col("m") >= 2)).cast("int")  # frequency, bandwidth, duration; a period only of two or more
+    pairs = c.join(n, "id").join(old, "old").select("channel", "id", "old", "odds", shared.alias("shared"))
+    return memory.reidentify(each.select("channel", "id", "start_s", "end_s", posterior.alias("posterior")), pairs, {"a": 0.3, "b": 0.2, "background": 0.5})
+
+
 @query("identity_bound", """SELECT entity, CASE WHEN count(*) FILTER (NOT k % 10 BETWEEN 0 AND 10) > 0 THEN NULL WHEN count(*) FILTER (k % 50 = 49) > 0 THEN 0.0 ELSE round(exp(coalesce(sum(ln(1 - 0.001 * (k % 10))) FILTER (k % 2 = 0 AND k % 50 <> 49), 0)), 9) END AS bound FROM obs GROUP BY 1""")
 def identity_bound(spark, sf_dir):
     """The product of an entity's confidences: one if there is none, nought if one is nought; none outside of [0, 1] is let through."""
