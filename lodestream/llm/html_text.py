@@ -1,26 +1,32 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree. Elements that never hold the article (scripts, menus, page
-headers and footers, sidebars, forms, notices, adverts, reader comments) are cut off;
-they end as any element does, where their end tag or what implies it stands. A part that
-only its class or id calls such is cut off unless hardly any text of the page stands
+The page becomes a tree; the work for it grows with the page, however deep it is nested.
+Elements that never hold the article (scripts, menus, page headers and footers, sidebars,
+notices, adverts, reader comments) are cut off; they end as any element does, where their
+end tag or what implies it stands. A form is cut off unless it is the page's frame: it holds
+an article, a main part, a page header, footer or menu, or all of the page's paragraphs. A part
+that only its class or id calls no article is cut off where an ``article`` or ``main`` element
+outside of all such parts has text; on other pages unless hardly any text of the page stands
 elsewhere: then the name is no sign, and the largest such part is kept.
 Every node gets its composite density: characters per tag, scaled by a logarithm that
 falls as more of the characters stand in links. A node's density sum is that of its
 children. The node with the largest density sum is the core; the least density on its
 path to the body is the threshold, and of every node that reaches it the subtree with
 the largest density sum is content; where that is a lone paragraph or a part of an
-``article`` element, what holds it is.
+``article`` element, what holds it is. A ``main`` element whose text outside of its one article
+is mostly links is that article.
 
 Defined results: null and empty pages give an empty text; a page without a body is
-taken as a body; a cut-off page is read as far as it goes; repeated rows give rows
-each; nothing is shortened.
+taken as a body; a cut-off page is read as far as it goes; of equal density sums the
+outermost and first counts; repeated rows and ids give rows each; an empty table gives no
+rows; columns besides id, url and html are not read; nothing is shortened.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,16 +39,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_PARAGRAPH = BLOCKS - set("body html td th tr tbody thead tfoot caption li dd dt summary figcaption".split()) | {"li", "dd", "dt"}
 ENDS_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-NEVER = set("script style noscript template iframe object svg canvas math head title nav aside form button select textarea input label dialog audio video footer menu".split())
+NEVER = set("script style noscript template iframe object svg canvas math head title nav aside button select textarea input dialog audio video footer menu".split())
 NEVER_ROLES = set("navigation banner contentinfo search complementary dialog alert menu menubar toolbar form".split())
 #: Whole class names and ids of what is no article, and words that are such by their beginning.
 NEVER_WORDS = set(
     "ad ads adsense banner cookie cookies consent gdpr notice alert sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
-    "comment comments disqus replies share sharing social related newsletter subscribe signup login popup modal overlay footer masthead site-header page-header toolbar skip widget".split()
+    "comment comments commentlist respond disqus replies share sharing social related newsletter subscribe signup login popup modal overlay footer masthead site-header page-header toolbar skip widget".split()
 )
 NEVER_STARTS = ("advert", "sponsor", "promo", "recommend")
 #: Of these names those that are never taken for the article's own, however long what they hold is.
-READERS = set("comment comments disqus replies".split())
+READERS = set("comment comments commentlist respond disqus replies".split())
 #: Share of a page's text that must stand outside of all parts cut off by their names.
 ELSEWHERE = 0.1
 #: With these a compound name is still one of an unwanted part; with others (no-sidebar, with-comments) it is a mark on what may hold the article.
@@ -50,6 +56,8 @@ NEUTRAL = set("site page box block slot unit area bar link links list item items
 HEAD = set("title meta link base script style noscript template head".split())
 CONTAINERS = set("article main section div body html td center".split())
 HOLDS_ARTICLE = {"article", "main", "body", "html"}
+#: What makes a form that holds it the frame of its page.
+FRAME = {"article", "main", "header", "footer", "nav"}
 FOREIGN, SCOPES = {"svg", "math"}, {"table", "object", "template", "svg", "math"}
 _SPACE = re.compile(r"\s+")
 
@@ -78,29 +86,39 @@ def _unwanted(value: str) -> str:
 
 
 class _Tree(HTMLParser):
+    """Open elements are a stack, and the places of each tag in it a list, so that no ancestors are walked."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None)
-        self.foreign = self.suspects = False
+        self.root = Node("#root", None)
+        self.stack, self.places = [self.root], defaultdict(list)
+        self.suspects, self.forms, self.framed = False, [], set()
+
+    @property
+    def at(self) -> Node:
+        return self.stack[-1]
+
+    def _nearest(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _leave(self, place: int) -> None:
+        """End the open element at a place of the stack, and all in it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
 
     def _close(self, tags: set[str], within: set[str] = frozenset()) -> None:
         """End the nearest open element of ``tags``, unless one of ``within`` is nearer."""
-        node = self.at
-        while node.parent is not None and node.tag not in tags:
-            if node.tag in within:
-                return
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        place = self._nearest(tags)
+        if place > self._nearest(within):
+            self._leave(place)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body":
             self._close({"head"})
         elif self.at.tag == "head" and tag not in HEAD:
-            self.at = self.at.parent
-        if self.foreign and tag in BLOCKS:
+            self._leave(len(self.stack) - 1)
+        if tag in BLOCKS:
             self._close(FOREIGN, {"foreignobject", "desc", "annotation-xml"})
-        self.foreign |= tag in FOREIGN
         if tag in ENDS_PARAGRAPH:
             self._close({"p"}, {"td", "th", "button", "table", "article", "section", "div", "blockquote"})
         if tag in ENDS_LIKE:
@@ -108,25 +126,25 @@ class _Tree(HTMLParser):
         node = Node(tag, self.at, self.at.cut or self._never(tag, attrs))
         if not node.cut and tag not in HOLDS_ARTICLE and any(_unwanted(v) == "other" for n, v in attrs if v and n in ("class", "id")):
             node.suspect = self.suspects = True
+        if tag == "form" and not node.cut:
+            self.forms.append(node)
+        if tag in FRAME and self.places["form"]:
+            self.framed.add(id(self.stack[self.places["form"][0]]))
         self.at.children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.places[tag].append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        node = self.at if self.foreign else None
-        while node is not None and node.tag not in FOREIGN:
-            node = node.parent
-        if node is not None and self.at.tag == tag:
-            self.at = self.at.parent
+        if self._nearest(FOREIGN) and self.at.tag == tag:
+            self._leave(len(self.stack) - 1)
 
     def _never(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER:
             return True
-        inside = self.at
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        if tag == "header" and inside is None:
+        inside = bool(self.places["article"] or self.places["main"])
+        if tag == "header" and not inside or tag == "label" and not self.places["article"]:
             return True
         if tag in HOLDS_ARTICLE:
             return False
@@ -146,7 +164,7 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.at.tag == "head" and data.strip():
-            self.at = self.at.parent
+            self._leave(len(self.stack) - 1)
         if not self.at.cut:
             self.at.children.append(data)
 
@@ -155,6 +173,8 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    if tree.forms:
+        _cut_forms(tree)
     if tree.suspects:
         _judge(tree.root)
     for node in _in_order(tree.root):
@@ -162,11 +182,36 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def _judge(root: Node) -> None:
-    """Cut the parts off that their names call no article, but for the one without which hardly any text is left."""
-    nodes, chars = _in_order(root), {}
+def _characters(nodes: list[Node], of=lambda node: True) -> dict[int, int]:
+    """Characters outside of links and cut parts in each node's subtree, where they are directly in nodes ``of`` or below such."""
+    chars: dict[int, int] = {}
     for node in reversed(nodes):
-        chars[id(node)] = 0 if node.cut or node.tag == "a" else sum(len(c.strip()) if isinstance(c, str) else chars[id(c)] for c in node.children)
+        chars[id(node)] = 0 if node.cut or node.tag == "a" else sum((len(c.strip()) if of(node) else 0) if isinstance(c, str) else chars[id(c)] for c in node.children)
+    return chars
+
+
+def _cut_forms(tree: _Tree) -> None:
+    """Cut the forms off that are not the frame of their page."""
+    nodes = _in_order(tree.root)
+    inside: set[int] = set()
+    for node in nodes:  # parents first
+        if node.tag == "p" or node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+    chars = _characters(nodes, lambda node: id(node) in inside)
+    for form in tree.forms:
+        whole = chars[id(form)] > 0 and chars[id(form)] == chars[id(tree.root)]
+        form.cut = not (id(form) in tree.framed or whole)
+
+
+def _judge(root: Node) -> None:
+    """Cut the parts off that their names call no article, but for the one without which hardly any text is left on a page without an article."""
+    nodes = _in_order(root)
+    chars, named, marked = _characters(nodes), set(), False
+    for node in nodes:
+        if node.suspect or node.cut or node.parent is not None and id(node.parent) in named:
+            named.add(id(node))
+        elif node.tag in ("article", "main"):
+            marked |= _outside(node) > 0
     while True:
         outer, waiting = [], [root]
         while waiting:
@@ -176,7 +221,7 @@ def _judge(root: Node) -> None:
             elif not node.cut:
                 waiting.extend(c for c in node.children if isinstance(c, Node))
         total, held = chars[id(root)], sum(chars[id(n)] for n in outer)
-        spared = max(outer, key=lambda n: chars[id(n)]) if held and total - held < ELSEWHERE * total else None
+        spared = max(outer, key=lambda n: chars[id(n)]) if held and not marked and total - held < ELSEWHERE * total else None
         for node in outer:
             node.suspect = False
             node.cut = node is not spared
@@ -184,6 +229,18 @@ def _judge(root: Node) -> None:
             return
 
 
+def _outside(root: Node) -> int:
+    """Characters of a subtree outside of links and of parts that are cut or named."""
+    total, waiting = 0, [root]
+    while waiting:
+        for child in waiting.pop().children:
+            if isinstance(child, str):
+                total += len(child.strip())
+            elif not (child.cut or child.suspect or child.tag == "a"):
+                waiting.append(child)
+    return total
+
+
 def _in_order(root: Node) -> list[Node]:
     """All nodes, every parent before its children."""
     found, waiting = [], [root]
@@ -222,16 +279,31 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _container(node: Node) -> Node:
-    """The article that the node is in, or else what holds it: a paragraph is no whole article, nor is a heading."""
-    above = node
-    while above is not None and above.tag not in ("article", "main"):
-        above = above.parent
-    if above is not None:
-        return above
-    while node.parent is not None and node.tag not in CONTAINERS:
-        node = node.parent
-    return node
+def _containers(nodes: list[Node]) -> dict[int, Node]:
+    """Of each node the article that it is in, or else what holds it: a paragraph is no whole article, nor is a heading."""
+    article: dict[int, Node | None] = {}
+    near: dict[int, Node] = {}
+    for node in nodes:  # parents first
+        up = node.parent
+        article[id(node)] = node if node.tag in ("article", "main") else article[id(up)] if up is not None else None
+        near[id(node)] = node if up is None or node.tag in CONTAINERS else near[id(up)]
+    mains = {id(n): _one_article(n) for n in nodes if n.tag == "main"}
+    return {i: mains.get(id(above), above) if above is not None else near[i] for i, above in article.items()}
+
+
+def _one_article(main: Node) -> Node:
+    """The only article of a main part that has besides it mostly links (teasers); else the part."""
+    articles, waiting = [], [main]
+    while waiting and len(articles) < 2:
+        for child in waiting.pop().children:
+            if isinstance(child, Node) and not child.cut:
+                (articles if child.tag == "article" and child.chars else waiting).append(child)
+    if len(articles) == 1:
+        one = articles[0]
+        chars, links = main.chars - one.chars, main.link_chars - one.link_chars
+        if chars and 2 * links >= chars:
+            return one
+    return main
 
 
 def content_nodes(root: Node) -> list[Node]:
@@ -252,7 +324,8 @@ def content_nodes(root: Node) -> list[Node]:
             if isinstance(child, Node) and best[id(child)].density_sum > top.density_sum:
                 top = best[id(child)]
         best[id(node)] = top
-    chosen = {id(_container(best[id(n)])) for n in nodes if n.density >= threshold and n.density > 0}
+    holds = _containers(nodes)
+    chosen = {id(holds[id(best[id(n)])]) for n in nodes if n.density >= threshold and n.density > 0}
     found, waiting = [], [root]
     while waiting:
         node = waiting.pop()
