@@ -160,3 +160,26 @@ def test_the_table_as_a_stream(spark):
     sets = lambda df: {(tuple(sorted(r["ids"])), r["t"]) for r in df.groupBy("island", "group_id").agg(F.collect_list("observation_id").alias("ids"), F.max("last_t").alias("t")).collect()}
     batch, timed = sets(q["snapshot_groups"](spark, sf)), sets(q["timed_groups"](spark, sf))
     assert timed <= batch and {t for _, t in batch - timed} and all(t > end - 2 for _, t in batch - timed)
+
+
+def test_a_batch_reads_the_kept_picture_and_what_came_after(spark, tmp_path):
+    """With old deltas gone, batches go on as before: they are not read."""
+    import shutil
+
+    schema, want, log = "key string, value string, at long", {}, str(tmp_path / "log")
+    for n in range(7):
+        rows = [(f"k{(n * 3 + i) % 8}", None if (n + i) % 4 == 3 else f"v{n % 3}", n) for i in range(3)]
+        want |= {k: v for k, v, _ in rows}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = picture.publish(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), log, "key", "value", "at", str(tmp_path / "state"), keep_every=3).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        if n == 5:
+            numbers = [r["seq"] for r in spark.read.parquet(log).orderBy("seq").collect()]
+            assert numbers == list(range(1, len(numbers) + 1))
+            for old in range(6):
+                shutil.rmtree(f"{log}/batch={old}")
+            assert {r["key"]: r["value"] for r in picture.standing(spark, log, 6)[0].collect()} == {k: v for k, v in want.items() if v is not None}
+    now, last = picture.standing(spark, log, 7)
+    assert {r["key"]: r["value"] for r in now.collect()} == {k: v for k, v in want.items() if v is not None}
+    assert sorted(r["seq"] for r in spark.read.parquet(log).collect()) == list(range(len(numbers) + 1, last + 1))
