@@ -6,9 +6,10 @@ domain is cut into partitions and each of these into ``PARTS`` parts; of every p
 all subsets of ``PARTS`` - 1 parts are enumerated, and the elements that a set has in such
 a subset are one signature. Sets that are similar enough differ in at most
 h = (|r| + |s|) (1 - t) / (1 + t) elements. Where a partition holds one of these, the
-subset without its part is still shared; each element spoils ``PARTS`` - 1 signatures at
-most, so of r's signatures all but (PARTS - 1) h are s's too. It suffices to keep, in an
-order that all sets share, the first (PARTS - 1) h + 1 of them: two similar sets then have
+subset without its part is still shared; the first element in a partition spoils
+``PARTS`` - 1 signatures at most and further ones the one that is left, so with P partitions
+all but (PARTS - 1) min(h, P) + min(P, max(0, h - P)) of r's signatures are s's too. It suffices
+to keep, in an order that all sets share, one more than that: two similar sets then have
 one in common. (A set with too few non-empty signatures for that keeps all, the empty ones
 included.) A set belongs to its own band and, if a larger partner can be there, to the
 next. Sets that can only be similar to their equals have no signature.
@@ -45,13 +46,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch, checkpoint
+from lodestream.llm.common import Scratch, checkpoint, small_batches
 from lodestream.llm.components import stars
 from lodestream.llm.words_np import blocks, mix64, shingle_sets
 
 K, PERCENT = 5, 80
-#: Parts of a partition; partitions for each element of the largest set of a band.
-PARTS, DENSITY = 3, 0.18
+#: Parts of a partition; partitions for each element in which the largest sets of a band may differ (over 1/2, or all signatures could be spoiled).
+PARTS, SPREAD = 3, 0.7
 #: A bucket of more nodes than this is hot; rounds of choosing anew.
 HOT, ROUNDS = 16, 2
 TILE = 2048
@@ -59,6 +60,8 @@ CLASS = 1.06
 FILTER_BITS = 1 << 26
 #: Nodes that a task remembers at once to pass over copies.
 SEEN = 1 << 18
+#: Signatures that a task holds before it sends them on; signatures of a block, or so.
+HELD, BLOCK = 1 << 19, 1 << 17
 #: Signatures have 48 bits and are even; odd ones mark the sets that choose anew.
 _TOKEN, _MARK = np.uint64((1 << 48) - 2), np.uint64(1)
 _WEIGHTS = mix64(np.arange(7, 7 + PARTS, dtype=np.uint64)) | np.uint64(1)
@@ -69,6 +72,11 @@ def most_different(n: int, m: int, percent: int) -> int:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
+def most_spoiled(different: int, partitions: int) -> int:
+    """Signatures that so many differing elements can spoil."""
+    return (PARTS - 1) * min(different, partitions) + min(partitions, max(0, different - partitions))
+
+
 def classes_apart(percent: int) -> int:
     return math.ceil(math.log(100 / percent) / math.log(CLASS)) + 1
 
@@ -78,9 +86,9 @@ def band(n: int) -> int:
 
 
 @cache
-def _places(j: int) -> np.ndarray:
+def _places(j: int, percent: int) -> np.ndarray:
     """A number for each partition of band j and subset of its parts, which names the signature's place."""
-    partitions = math.ceil(DENSITY * ((2 << j) - 1))
+    partitions = 1 + math.ceil(SPREAD * most_different((2 << j) - 1, (2 << j) - 1, percent))
     return mix64(np.arange(partitions * PARTS, dtype=np.uint64) + (np.uint64(j + 1) << np.uint64(40))).reshape(partitions, PARTS)
 
 
@@ -92,11 +100,11 @@ class Signer:
 
     def _all(self, found: np.ndarray, j: int) -> tuple[np.ndarray, int]:
         """All signatures of a set in band j, ordered, and how many of them to keep."""
-        n, places = len(found), _places(j)
+        n, places = len(found), _places(j, self.percent)
         different = most_different(n, min((2 << j) - 1, n * 100 // self.percent), self.percent)
         if not different:
             return np.empty(0, np.uint64), 0
-        keep = (PARTS - 1) * different + 1
+        keep = most_spoiled(different, len(places)) + 1
         part = (found >> np.uint64(32)) * np.uint64(places.size) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         held = np.zeros(places.size, np.uint64)
@@ -181,33 +189,88 @@ def documents_to_nodes(source: DataFrame, k: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray], marks: bool = True) -> DataFrame:
-    """Signatures of every node's round: a (48 bits of signature, 16 of the node), b (64 of the node). After the first round a mark of each node that chose anew goes with them."""
-    schema = "a long, b long"
+def _signatures(batches, signer: Signer, k: int, marks: bool):
+    """a (48 bits of signature, 16 of the node) and b (64 of the node) of every node's round, some ``HELD`` at once. After the first round a mark of each node that chose anew goes with them."""
+    seen: set[int] = set()
+    held_a, held_b, count = [], [], 0
+    for batch in batches:
+        for _, found in _sets(batch, k):
+            hi, lo = node_of(found)
+            if not len(found) or (node := hi << 64 | lo & 0xFFFFFFFFFFFFFFFF) in seen:  # copies within a task
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+            signs = signer.of(found)
+            if marks and len(signs) and signer.hot:
+                signs = np.append(signs, mix64(np.array([lo]).view(np.uint64)) & _TOKEN | _MARK)
+            if len(signs):
+                held_a.append((signs << np.uint64(16)) | np.uint64(hi))
+                held_b.append(np.full(len(signs), lo, np.int64))
+                count += len(signs)
+            if count >= HELD:
+                yield np.concatenate(held_a), np.concatenate(held_b)
+                held_a, held_b, count = [], [], 0
+    if count:
+        yield np.concatenate(held_a), np.concatenate(held_b)
+
+
+def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray]) -> DataFrame:
+    """Signatures of every node's round, a row each."""
     shared = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        signer, seen = Signer(shared.value, percent), set()
-        for batch in batches:
-            held_a, held_b = [], []
-            for _, found in _sets(batch, k):
-                hi, lo = node_of(found)
-                if not len(found) or (hi, lo) in seen:  # copies within a task
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add((hi, lo))
-                signs = signer.of(found)
-                if marks and len(signs) and signer.hot:
-                    signs = np.append(signs, mix64(np.array([lo]).view(np.uint64)) & _TOKEN | _MARK)
-                if len(signs):
-                    held_a.append((signs << np.uint64(16)) | np.uint64(hi))
-                    held_b.append(np.full(len(signs), lo, np.int64))
-            columns = [np.concatenate([np.empty(0, np.uint64), *held_a]).view(np.int64), np.concatenate([np.empty(0, np.int64), *held_b])]
-            for start in range(0, len(columns[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 18)]) for c in columns], [f.split()[0] for f in schema.split(", ")])
+        for a, b in _signatures(batches, Signer(shared.value, percent), k, False):
+            for start in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in (a.view(np.int64), b)], ["a", "b"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, "a long, b long")
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows by a (unsigned), then b."""
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    at = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    b[at] = b[at[np.lexsort((b[at], a[at]))]]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    return a[new], b[new]
+
+
+def _enough(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket ``most`` + 1 nodes at most, which tell that it is hot; distinct rows in order."""
+    sign = a >> np.uint64(16)
+    keep = np.ones(len(a), dtype=bool)
+    keep[most + 1 :] = sign[most + 1 :] != sign[: -most - 1]
+    return a[keep], b[keep]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Bytes of 64-bit values by their place, so that those which are alike in sorted values compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(raw: list[pa.Scalar]) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in raw])
+
+
+def signature_blocks(source: DataFrame, k: int, percent: int, hot: list[np.ndarray], most: int, n_blocks: int) -> DataFrame:
+    """The signatures of ``signature_rows`` and the marks, packed by blocks of the signature; of a bucket with more than ``most`` nodes in a task's share only as many as tell that it is hot."""
+    shared = source.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        for a, b in _signatures(batches, Signer(shared.value, percent), k, True):
+            a, b = _enough(*_in_order(a, b), most)
+            block = ((a >> np.uint64(32)) * np.uint64(n_blocks)) >> np.uint64(32)
+            numbers, first = np.unique(block, return_index=True)
+            cuts = np.append(first, len(a)).tolist()
+            for some in range(0, len(numbers), 64):
+                ends = list(zip(cuts[:-1], cuts[1:], strict=True))[some : some + 64]
+                columns = [pa.array([_packed(v[x:y]) for x, y in ends], pa.binary()) for v in (a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[some : some + 64].astype(np.int64)), *columns], ["block", "a", "b"])
+
+    return source.mapInArrow(run, "block long, a binary, b binary")
 
 
 PAIR = "xh int, xl long, yh int, yl long"
@@ -216,10 +279,9 @@ ENDS = ["xh", "xl", "yh", "yl"]
 
 
 def _bucket_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that share a bucket of at most ``most`` nodes, hot signatures, and rows that are marks; rows sorted by a, then b."""
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    at = np.flatnonzero(new)
-    sign = a[at].view(np.uint64) >> np.uint64(16)
+    """Pairs of rows that share a bucket of at most ``most`` nodes, hot signatures, and rows that are marks; distinct rows in order."""
+    at = np.arange(len(a))
+    sign = a >> np.uint64(16)
     marks = at[(sign & _MARK).astype(bool)]
     at, sign = at[~(sign & _MARK).astype(bool)], sign[~(sign & _MARK).astype(bool)]
     if not len(sign):
@@ -238,14 +300,14 @@ def _bucket_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray,
     return at[np.concatenate([none, *xs])], at[np.concatenate([none, *ys])], hot, marks
 
 
-def small_buckets(rows: DataFrame, most: int, percent: int) -> DataFrame:
+def small_buckets(packed: DataFrame, most: int, percent: int) -> DataFrame:
     """Pairs of nodes in buckets of at most ``most``, a row with xh = -1 and the signature as xl for every larger one, and one with xh = -2 and the node as y for every mark."""
     schema, apart = PAIR, classes_apart(percent)
-    rows = rows.repartition(F.shiftrightunsigned("a", 16)).sortWithinPartitions("a", "b")
+    rows = packed.repartition("block").sortWithinPartitions("block")
 
     def pairs(a, b):
         x, y, hot, marks = _bucket_pairs(a, b, most)
-        node = lambda i: ((a[i].view(np.uint64) & np.uint64(0xFFFF)).astype(np.int32), b[i])
+        node = lambda i: ((a[i] & np.uint64(0xFFFF)).astype(np.int32), b[i])
         (xh, xl), (yh, yl) = node(x), node(y)
         near = np.abs((xh >> 8) - (yh >> 8)) <= apart  # sizes that can be similar
         xh, xl, yh, yl = xh[near], xl[near], yh[near], yl[near]
@@ -260,36 +322,25 @@ def small_buckets(rows: DataFrame, most: int, percent: int) -> DataFrame:
         columns = [np.concatenate(c) for c in ((xh[keep], np.full(len(hot), -1), np.full(len(marks), -2)), (xl[keep], hot.view(np.int64), 0 * ml), (yh[keep], zeros, mh), (yl[keep], zeros, ml))]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int64, np.int32, np.int64), strict=True)], ["xh", "xl", "yh", "yl"])
 
+    def merged(held_a, held_b):
+        return pairs(*_in_order(_unpacked(held_a), _unpacked(held_b).view(np.int64)))
+
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
+        held_a, held_b, current = [], [], None
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            held.append((a, b))
-            count += len(a)
-            if count >= 1 << 19:
-                a, b = (np.concatenate(c) for c in zip(*held, strict=True))
-                sign = a.view(np.uint64) >> np.uint64(16)
-                cut = int(np.searchsorted(sign.view(np.int64), sign.view(np.int64)[-1])) if sign[0] <= sign[-1] else _last_run(sign)
-                if cut:
-                    yield pairs(a[:cut], b[:cut])
-                a, b = a[cut:], b[cut:]
-                if len(a) > 4 * most:  # of a hot bucket so many distinct rows that it is known to be hot
-                    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                    a, b = a[new][: most + 1], b[new][: most + 1]
-                held, count = [(a, b)], len(a)
-        if count:
-            yield pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            for block, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if block != current and held_a:
+                    yield merged(held_a, held_b)
+                    held_a, held_b = [], []
+                current = block
+                held_a.append(a)
+                held_b.append(b)
+        if held_a:
+            yield merged(held_a, held_b)
 
     return rows.mapInArrow(run, schema)
 
 
-def _last_run(sign: np.ndarray) -> int:
-    """Where the last run of equal values begins (a signed sort may put large values first)."""
-    other = np.flatnonzero(sign != sign[-1])
-    return int(other[-1]) + 1 if len(other) else 0
-
-
 def bucket_members(rows: DataFrame) -> DataFrame:
     """sign, hi, lo of the nodes in each bucket of the last round that has several, and the bucket's least one (rh, rl)."""
     nodes = rows.distinct().select(F.shiftrightunsigned("a", 16).alias("sign"), F.col("a").bitwiseAND(0xFFFF).cast("int").alias("hi"), F.col("b").alias("lo"))
@@ -480,8 +531,9 @@ def _edges(pairs: DataFrame) -> DataFrame:
 def candidates(source: DataFrame, nodes: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs from small buckets, and the signatures of the sets that are left after the rounds."""
     found, hot = None, []
+    n_blocks = 1 + (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK
     for number in range(rounds):
-        made = scratch.keep(small_buckets(signature_rows(source, k, percent, hot), most, percent).distinct())
+        made = scratch.keep(small_buckets(signature_blocks(source, k, percent, hot, most, n_blocks), most, percent).distinct())
         pairs, signs = made.where("xh >= 0"), made.where("xh = -1")
         found = pairs if found is None else found.unionByName(pairs)
         hot = [*hot, _filter_of(signs.select(F.col("xl").alias("id")))]
@@ -489,7 +541,7 @@ def candidates(source: DataFrame, nodes: DataFrame, k: int, percent: int, most:
             source = _with_ids(source, nodes.join(made.where("xh = -2").select(F.col("yh").alias("hi"), F.col("yl").alias("lo")), ["hi", "lo"], "left_semi"))
         if not hot[-1].any():
             break
-    return found, signature_rows(source, k, percent, hot, marks=False)
+    return found, signature_rows(source, k, percent, hot)
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, most: int = HOT, rounds: int = ROUNDS) -> DataFrame:
@@ -497,7 +549,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
     try:
-        return checkpoint(_linked(source, scratch, k, percent, most, rounds))
+        with small_batches(docs.sparkSession):
+            return checkpoint(_linked(source, scratch, k, percent, most, rounds))
     finally:
         scratch.remove()
 
