@@ -37,7 +37,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch, checkpoint
+from lodestream.llm.common import Scratch, checkpoint, small_batches
 from lodestream.llm.words_np import blocks, grams, mix64, words
 
 HASHES, MU = 6, 4.0
@@ -45,8 +45,8 @@ BLOCK_TEXT, SECTION_BYTES = 1 << 18, 96 << 20
 BROADCAST_WORDS = 1 << 19
 #: Tokens that are looked up together (or those of one text, if these are more).
 READ_TOKENS = 1 << 18
-#: Distinct n-grams that a task holds before it sends them on.
-HELD = 3 << 19
+#: Distinct n-grams that a task holds before it sends them on; blocks that go in one Arrow batch.
+HELD, SENT_BLOCKS = 3 << 19, 128
 
 END = np.uint64(0x5851F42D4C957F2D)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -186,16 +186,19 @@ def _counted(found: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return keys, total
 
 
-def _sent(held: list[tuple[np.ndarray, np.ndarray]], n_blocks: int) -> pa.RecordBatch:
-    """One row for each block that any of the words and pairs belong to."""
+def _sent(held: list[tuple[np.ndarray, np.ndarray]], n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """One row for each block that any of the words and pairs belong to, ``SENT_BLOCKS`` at once."""
     of = [block_of(keys, n_blocks).astype(np.int64) for keys, _ in held]
     numbers = np.unique(np.concatenate(of))
-    columns = [pa.array(numbers)]
-    for (keys, counts), block in zip(held, of, strict=True):
-        cuts = np.append(np.searchsorted(block, numbers), len(block)).tolist()
-        for values in (keys.astype("<u8"), counts.astype("<i8")):
-            columns.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, ["block", "words", "word_counts", "pairs", "pair_counts"])
+    cuts = [np.append(np.searchsorted(block, numbers), len(block)).tolist() for block in of]
+    for start in range(0, len(numbers), SENT_BLOCKS):
+        some = numbers[start : start + SENT_BLOCKS]
+        columns = [pa.array(some)]
+        for (keys, counts), cut in zip(held, cuts, strict=True):
+            ends = cut[start : start + len(some) + 1]
+            for values in (keys.astype("<u8", copy=False), counts.astype("<i8", copy=False)):
+                columns.append(pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, ["block", "words", "word_counts", "pairs", "pair_counts"])
 
 
 def _merged(rows: pa.Table, hashes: int) -> pa.Table:
@@ -218,9 +221,6 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", hashes: int
         held = [([], []), ([], [])]
         holds = 0
 
-        def flush():
-            return _sent([_counted(*x) for x in held], n_blocks)
-
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 found, first = tokens(data, offsets)
@@ -235,11 +235,11 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str = "text", hashes: int
                     summed = [_counted(*x) for x in held]
                     held = [([k], [n]) for k, n in summed]
                     if (left := sum(len(k) for k, _ in summed)) > HELD // 2:
-                        yield flush()
+                        yield from _sent(summed, n_blocks)
                         held, left = [([], []), ([], [])], 0
                     holds = left
         if holds:
-            yield flush()
+            yield from _sent([_counted(*x) for x in held], n_blocks)
 
     sent = docs.select(text_col).mapInArrow(count, COUNTS)
     table = scratch.keep(sent.groupBy("block").applyInArrow(lambda rows: _merged(rows, hashes), FILTER))
@@ -352,9 +352,10 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     out = F.coalesce(held_out, F.lit(False))
     scratch = Scratch(docs.sparkSession)
     try:
-        model = train(docs.where(~out), scratch, text_col, hashes)
-        scored = score(docs, model, scratch, id_col, text_col).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
-        named = scored.withColumnRenamed("id", id_col)
-        return checkpoint(named.select(F.col(id_col), out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+        with small_batches(docs.sparkSession):
+            model = train(docs.where(~out), scratch, text_col, hashes)
+            scored = score(docs, model, scratch, id_col, text_col).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+            named = scored.withColumnRenamed("id", id_col)
+            return checkpoint(named.select(F.col(id_col), out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
     finally:
         scratch.remove()
