@@ -38,11 +38,14 @@ texts are read in full. Other columns are not read, so their names cannot clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,7 +180,31 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def documents_to_nodes(source: DataFrame, k: int) -> DataFrame:
+@dataclass(frozen=True)
+class Texts:
+    """Documents (id, text), and filters of the ids that a pass takes; they are applied in the pass itself, as a step of their own takes a second Python worker for each task."""
+
+    rows: DataFrame
+    filters: tuple[Broadcast, ...] = ()
+
+    def only(self, wanted: DataFrame) -> Texts:
+        """The documents whose id a filter of the wanted nodes' ids holds, and those without an id."""
+        return Texts(self.rows, (*self.filters, self.rows.sparkSession.sparkContext.broadcast(_filter_of(wanted))))
+
+    def map(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        filters = self.filters
+
+        def some(batches):
+            for batch in batches:
+                for held in filters:
+                    ids = batch.column(0)
+                    batch = batch.filter(pa.array(_known(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | np.asarray(ids.is_null())))
+                yield batch
+
+        return self.rows.mapInArrow(lambda batches: run(some(batches)), schema)
+
+
+def documents_to_nodes(source: Texts, k: int) -> DataFrame:
     """id, hi, lo, n and sketch of every row."""
     schema = "id long, hi int, lo long, n long, sketch binary"
 
@@ -186,7 +213,7 @@ def documents_to_nodes(source: DataFrame, k: int) -> DataFrame:
             ids = batch.column(0).to_pylist()
             yield _rows(schema, [(ids[row], *node_of(found), len(found), sketch(found) if len(found) else None) for row, found in _sets(batch, k)])
 
-    return source.mapInArrow(run, schema)
+    return source.map(run, schema)
 
 
 def _signatures(batches, signer: Signer, k: int, marks: bool):
@@ -215,16 +242,16 @@ def _signatures(batches, signer: Signer, k: int, marks: bool):
         yield np.concatenate(held_a), np.concatenate(held_b)
 
 
-def signature_rows(source: DataFrame, k: int, percent: int, hot: list[np.ndarray]) -> DataFrame:
+def signature_rows(source: Texts, k: int, percent: int, hot: list[np.ndarray]) -> DataFrame:
     """Signatures of every node's round, a row each."""
-    shared = source.sparkSession.sparkContext.broadcast(hot)
+    shared = source.rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for a, b in _signatures(batches, Signer(shared.value, percent), k, False):
             for start in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in (a.view(np.int64), b)], ["a", "b"])
 
-    return source.mapInArrow(run, "a long, b long")
+    return source.map(run, "a long, b long")
 
 
 def _in_order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,9 +282,9 @@ def _unpacked(raw: list[pa.Scalar]) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in raw])
 
 
-def signature_blocks(source: DataFrame, k: int, percent: int, hot: list[np.ndarray], most: int, n_blocks: int) -> DataFrame:
+def signature_blocks(source: Texts, k: int, percent: int, hot: list[np.ndarray], most: int, n_blocks: int) -> DataFrame:
     """The signatures of ``signature_rows`` and the marks, packed by blocks of the signature; of a bucket with more than ``most`` nodes in a task's share only as many as tell that it is hot."""
-    shared = source.sparkSession.sparkContext.broadcast(hot)
+    shared = source.rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for a, b in _signatures(batches, Signer(shared.value, percent), k, True):
@@ -270,7 +297,7 @@ def signature_blocks(source: DataFrame, k: int, percent: int, hot: list[np.ndarr
                 columns = [pa.array([_packed(v[x:y]) for x, y in ends], pa.binary()) for v in (a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[some : some + 64].astype(np.int64)), *columns], ["block", "a", "b"])
 
-    return source.mapInArrow(run, "block long, a binary, b binary")
+    return source.map(run, "block long, a binary, b binary")
 
 
 PAIR = "xh int, xl long, yh int, yl long"
@@ -457,19 +484,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _with_ids(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The documents whose id a filter of the wanted nodes' ids holds, and those without an id."""
-    shared = source.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            yield batch.filter(pa.array(_known(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | np.asarray(ids.is_null())))
-
-    return source.mapInArrow(run, "id long, text string")
-
-
-def _sets_of(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _sets_of(source: Texts, wanted: DataFrame, k: int) -> DataFrame:
     """hi, lo and the sorted set of the wanted nodes (id, hi, lo): a filter of their ids keeps other texts from being worked on or moved."""
     schema = "hi int, lo long, found binary"
 
@@ -477,7 +492,7 @@ def _sets_of(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             yield _rows(schema, [(*node_of(found), found.tobytes()) for _, found in _sets(batch, k)])
 
-    some = _with_ids(source, wanted).mapInArrow(run, schema)
+    some = source.only(wanted).map(run, schema)
     return some.join(wanted.select("hi", "lo"), ["hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"])
 
 
@@ -504,7 +519,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("xh", "xl", "xn", "xv", "yh", "yl", "yn", "yv").mapInArrow(run, PAIR)
 
 
-def links(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def links(pairs: DataFrame, source: Texts, nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs of nodes whose sets are similar, checked exactly."""
     pairs = scratch.keep(pairs.distinct())
     ends = pairs.select(F.col("xh").alias("hi"), F.col("xl").alias("lo")).unionByName(pairs.select(F.col("yh").alias("hi"), F.col("yl").alias("lo"))).distinct()
@@ -528,7 +543,7 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(node("x").alias("u"), node("y").alias("v"))
 
 
-def candidates(source: DataFrame, nodes: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def candidates(source: Texts, nodes: DataFrame, k: int, percent: int, most: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs from small buckets, and the signatures of the sets that are left after the rounds."""
     found, hot = None, []
     n_blocks = 1 + (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK
@@ -538,7 +553,7 @@ def candidates(source: DataFrame, nodes: DataFrame, k: int, percent: int, most:
         found = pairs if found is None else found.unionByName(pairs)
         hot = [*hot, _filter_of(signs.select(F.col("xl").alias("id")))]
         if number:  # the nodes that chose anew in this round; no others can in the next
-            source = _with_ids(source, nodes.join(made.where("xh = -2").select(F.col("yh").alias("hi"), F.col("yl").alias("lo")), ["hi", "lo"], "left_semi"))
+            source = source.only(nodes.join(made.where("xh = -2").select(F.col("yh").alias("hi"), F.col("yl").alias("lo")), ["hi", "lo"], "left_semi"))
         if not hot[-1].any():
             break
     return found, signature_rows(source, k, percent, hot)
@@ -546,7 +561,7 @@ def candidates(source: DataFrame, nodes: DataFrame, k: int, percent: int, most:
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, most: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every row."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = Texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     scratch = Scratch(docs.sparkSession)
     try:
         with small_batches(docs.sparkSession):
@@ -555,7 +570,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         scratch.remove()
 
 
-def _linked(source: DataFrame, scratch: Scratch, k: int, percent: int, most: int, rounds: int) -> DataFrame:
+def _linked(source: Texts, scratch: Scratch, k: int, percent: int, most: int, rounds: int) -> DataFrame:
     rows = scratch.keep(documents_to_nodes(source, k))
     nodes = scratch.keep(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     similar = lambda pairs: links(pairs, source, nodes, k, percent, scratch)

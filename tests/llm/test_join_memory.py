@@ -63,3 +63,22 @@ def test_join_takes_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame(texts, SCHEMA)
     rows = ngram_join.link_documents(docs).where(F.col("component_id") == 0).count()
     assert rows == 60 and max(seen) <= 1000 and spark.conf.get(BATCH) == before
+
+
+def test_no_stage_of_the_join_needs_two_python_workers_for_a_task(spark, monkeypatch):
+    """Steps in Python that follow each other without an exchange each hold a worker while the task runs."""
+    from pyspark.sql import DataFrame
+
+    plans, real = [], DataFrame.mapInArrow
+    for kind in {type(spark.range(1)), DataFrame}:
+        real = kind.mapInArrow
+        monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, real=real, **b: (plans.append(real(self, *a, **b)), plans[-1])[1])
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{shared} {i % 20} x{i % 7} y{i % 3}") for i in range(60)], SCHEMA)
+    ngram_join.link_documents(docs, most=4).count()
+    assert len(plans) > 5
+    for df in plans:
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = [i for i, line in enumerate(lines) if "MapInArrow" in line]
+        for a, b in zip(at, at[1:]):
+            assert any(word in line for line in lines[a:b] for word in ("Join", "Aggregate", "Repartition", "Sort", "Union"))
