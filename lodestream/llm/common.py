@@ -36,16 +36,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` in so many partitions at most: where a session deals small tables out widely, each task costs more than its rows and leaves files of its own."""
+    return df if partitions is None else df.coalesce(partitions)
+
+
+def enough_partitions(spark: SparkSession, shares: int) -> int:
+    """A partition for each share of the work, but two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, shares)
+
+
 class Scratch:
-    """Tables of one operator's work in the shared folder: compressed columns, all removed when it is done."""
+    """Tables of one operator's work in the shared folder: compressed columns, all removed when it is done; once ``partitions`` is set, each in so many files at most."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.partitions: int | None = None
+
+    def few(self, df: DataFrame) -> DataFrame:
+        return few(df, self.partitions)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
-        df.write.parquet(path)
+        self.few(df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

@@ -49,7 +49,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch, checkpoint, small_batches
+from lodestream.llm.common import Scratch, checkpoint, enough_partitions, small_batches
 from lodestream.llm.components import stars
 from lodestream.llm.words_np import blocks, mix64, shingle_sets
 
@@ -65,6 +65,8 @@ FILTER_BITS = 1 << 26
 SEEN = 1 << 18
 #: Signatures that a task holds before it sends them on; signatures of a block, or so.
 HELD, BLOCK = 1 << 19, 1 << 17
+#: Shingles for each partition of the tables between the steps, at least.
+SHARE = 1 << 19
 #: Signatures have 48 bits and are even; odd ones mark the sets that choose anew.
 _TOKEN, _MARK = np.uint64((1 << 48) - 2), np.uint64(1)
 _WEIGHTS = mix64(np.arange(7, 7 + PARTS, dtype=np.uint64)) | np.uint64(1)
@@ -368,9 +370,16 @@ def small_buckets(packed: DataFrame, most: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def bucket_members(rows: DataFrame) -> DataFrame:
+Few = Callable[[DataFrame], DataFrame]
+
+
+def unchanged(df: DataFrame) -> DataFrame:
+    return df
+
+
+def bucket_members(rows: DataFrame, few: Few = unchanged) -> DataFrame:
     """sign, hi, lo of the nodes in each bucket of the last round that has several, and the bucket's least one (rh, rl)."""
-    nodes = rows.distinct().select(F.shiftrightunsigned("a", 16).alias("sign"), F.col("a").bitwiseAND(0xFFFF).cast("int").alias("hi"), F.col("b").alias("lo"))
+    nodes = few(rows.distinct()).select(F.shiftrightunsigned("a", 16).alias("sign"), F.col("a").bitwiseAND(0xFFFF).cast("int").alias("hi"), F.col("b").alias("lo"))
     least = nodes.groupBy("sign").agg(F.min(F.struct("hi", "lo")).alias("least"), F.count("*").alias("size")).where("size > 1")
     return nodes.join(least, "sign").select("sign", "hi", "lo", F.col("least.hi").alias("rh"), F.col("least.lo").alias("rl"))
 
@@ -388,9 +397,9 @@ def labelled(rows: DataFrame, star: DataFrame, node: str = "", to: str = "c") ->
     return rows.join(root, [hi, lo], "left").withColumns({h: F.coalesce(h, hi), l: F.coalesce(l, lo)})
 
 
-def tile_groups(members: DataFrame, star: DataFrame) -> DataFrame:
+def tile_groups(members: DataFrame, star: DataFrame, few: Few = unchanged) -> DataFrame:
     """Nodes of buckets in which some are of other components than the least one's, once for each pair of tiles: two of others, or one of others and one of the rest."""
-    both = labelled(labelled(members, star), star, "r", "k").withColumn("other", (F.col("ch") != F.col("kh")) | (F.col("cl") != F.col("kl")))
+    both = few(labelled(few(labelled(members, star)), star, "r", "k")).withColumn("other", (F.col("ch") != F.col("kh")) | (F.col("cl") != F.col("kl")))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
     sizes = both.groupBy("sign").agg(tiles(F.count_if("other")).alias("others"), tiles(F.count_if(~F.col("other"))).alias("rest")).where("others > 0")
     placed = both.join(sizes, "sign").withColumn("tile", F.when(F.col("other"), F.pmod(F.xxhash64("hi", "lo"), "others")).otherwise(F.pmod(F.xxhash64("hi", "lo"), "rest") + F.col("others")).cast("int"))
@@ -398,10 +407,10 @@ def tile_groups(members: DataFrame, star: DataFrame) -> DataFrame:
     return placed.select("sign", "tile", "hi", "lo", F.explode(meets).alias("meets")).select("sign", F.least("tile", "meets").alias("i"), F.greatest("tile", "meets").alias("j"), "tile", "hi", "lo")
 
 
-def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+def tile_pairs(groups: DataFrame, nodes: DataFrame, percent: int, forest: bool, few: Few = unchanged) -> DataFrame:
     """Pairs of different components (columns ch, cl) in a tile group whose sketches allow a link; with ``forest`` only a spanning forest of them."""
     names = ["sign", "i", "j", "tile", "hi", "lo", "n", "sketch", "ch", "cl"]
-    rows = groups.join(nodes.select("hi", "lo", "n", "sketch"), ["hi", "lo"]).select(*names).repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "hi", "lo")
+    rows = few(groups.join(nodes.select("hi", "lo", "n", "sketch"), ["hi", "lo"])).select(*names).repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "hi", "lo")
 
     def pairs(t: pa.Table) -> list[tuple]:
         get = lambda c: t.column(c).to_numpy()
@@ -500,7 +509,7 @@ def _ends(table: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     return tuple(table.select(F.col("hi").alias(f"{e}h"), F.col("lo").alias(f"{e}l"), *([F.col("n").alias(f"{e}n")] if "n" in table.columns else []), F.col(value).alias(f"{e}v")) for e in "xy")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int, few: Few = unchanged) -> DataFrame:
     """The pairs that sizes and sketches allow to be similar."""
     x, y = _ends(nodes.select("hi", "lo", "n", "sketch"), "sketch")
 
@@ -515,7 +524,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep[i] = int(np.bitwise_count(one ^ two).sum()) <= most_different(int(n[i]), int(m[i]), percent)
             yield batch.select(["xh", "xl", "yh", "yl"]).filter(pa.array(keep))
 
-    sized = pairs.join(x, ["xh", "xl"]).join(y, ["yh", "yl"]).where(F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
+    sized = few(few(pairs.join(x, ["xh", "xl"])).join(y, ["yh", "yl"])).where(F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent)
     return sized.select("xh", "xl", "xn", "xv", "yh", "yl", "yn", "yv").mapInArrow(run, PAIR)
 
 
@@ -523,6 +532,7 @@ def links(pairs: DataFrame, source: Texts, nodes: DataFrame, k: int, percent: in
     """The pairs of nodes whose sets are similar, checked exactly."""
     pairs = scratch.keep(pairs.distinct())
     ends = pairs.select(F.col("xh").alias("hi"), F.col("xl").alias("lo")).unionByName(pairs.select(F.col("yh").alias("hi"), F.col("yl").alias("lo"))).distinct()
+    ends = scratch.few(ends)
     wanted = scratch.keep(nodes.select("id", "hi", "lo").join(ends, ["hi", "lo"]))
     x, y = _ends(_sets_of(source, wanted, k), "found")
 
@@ -535,7 +545,8 @@ def links(pairs: DataFrame, source: Texts, nodes: DataFrame, k: int, percent: in
                 keep.append(100 * same >= percent * (len(one) + len(two) - same))
             yield batch.select(["xh", "xl", "yh", "yl"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(x, ["xh", "xl"]).join(y, ["yh", "yl"]).select("xh", "xl", "xv", "yh", "yl", "yv").mapInArrow(run, PAIR)
+    both = scratch.few(scratch.few(pairs.join(x, ["xh", "xl"])).join(y, ["yh", "yl"]))
+    return both.select("xh", "xl", "xv", "yh", "yl", "yv").mapInArrow(run, PAIR)
 
 
 def _edges(pairs: DataFrame) -> DataFrame:
@@ -548,7 +559,7 @@ def candidates(source: Texts, nodes: DataFrame, k: int, percent: int, most: int,
     found, hot = None, []
     n_blocks = 1 + (nodes.agg(F.sum("n")).first()[0] or 0) // BLOCK
     for number in range(rounds):
-        made = scratch.keep(small_buckets(signature_blocks(source, k, percent, hot, most, n_blocks), most, percent).distinct())
+        made = scratch.keep(scratch.few(small_buckets(signature_blocks(source, k, percent, hot, most, n_blocks), most, percent)).distinct())
         pairs, signs = made.where("xh >= 0"), made.where("xh = -1")
         found = pairs if found is None else found.unionByName(pairs)
         hot = [*hot, _filter_of(signs.select(F.col("xl").alias("id")))]
@@ -572,26 +583,29 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _linked(source: Texts, scratch: Scratch, k: int, percent: int, most: int, rounds: int) -> DataFrame:
     rows = scratch.keep(documents_to_nodes(source, k))
+    scratch.partitions = enough_partitions(rows.sparkSession, 1 + (rows.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    few = scratch.few
     nodes = scratch.keep(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     similar = lambda pairs: links(pairs, source, nodes, k, percent, scratch)
 
     pairs, left = candidates(source, nodes, k, percent, most, rounds, scratch)
-    members = scratch.keep(bucket_members(left))
-    star = stars(_edges(similar(_near(pairs.unionByName(with_least(members, percent)), nodes, percent))))
-    groups = scratch.keep(tile_groups(members, star))
+    members = scratch.keep(bucket_members(left, few))
+    linked = lambda edges: stars(edges, scratch.partitions)
+    star = linked(_edges(similar(_near(pairs.unionByName(with_least(members, percent)), nodes, percent, few))))
+    groups = scratch.keep(tile_groups(members, star, few))
     if groups.limit(1).count():
-        forest = scratch.keep(tile_pairs(labelled(groups, star), nodes, percent, forest=True))
+        forest = scratch.keep(tile_pairs(few(labelled(groups, star)), nodes, percent, True, few))
         held = scratch.keep(similar(forest.select(ENDS)))
-        star = stars(star.unionByName(_edges(held)))
+        star = linked(star.unionByName(_edges(held)))
         failed = forest.join(held, ENDS, "left_anti").select("sign", "i", "j").distinct()
-        again = groups.join(failed, ["sign", "i", "j"], "left_semi")
-        more = scratch.keep(tile_pairs(labelled(again, star), nodes, percent, forest=False).select(ENDS).distinct())
+        again = few(groups.join(failed, ["sign", "i", "j"], "left_semi"))
+        more = scratch.keep(few(tile_pairs(few(labelled(again, star)), nodes, percent, False, few)).select(ENDS).distinct())
         if more.limit(1).count():
-            star = stars(star.unionByName(_edges(similar(more))))
+            star = linked(star.unionByName(_edges(similar(more))))
 
     member = star.unionByName(star.select(F.col("v").alias("u"), "v").distinct()).select("u.hi", "u.lo", F.col("v").alias("root"))
-    rooted = nodes.select("hi", "lo", "id").join(member, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
+    rooted = few(nodes.select("hi", "lo", "id").join(member, ["hi", "lo"], "left")).withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    component = rooted.join(least, "root").select("hi", "lo", "component_id")
-    some = rows.where("n > 0").select("id", "n", "hi", "lo").join(component, ["hi", "lo"], "left").select("id", F.col("n").alias("n_shingles"), "component_id")
+    component = few(rooted.join(least, "root")).select("hi", "lo", "component_id")
+    some = few(rows.where("n > 0").select("id", "n", "hi", "lo").join(component, ["hi", "lo"], "left")).select("id", F.col("n").alias("n_shingles"), "component_id")
     return some.unionByName(rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
