@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontaminate, mixing, ngram_join, quality_cnn, sharding
-from lodestream.llm.common import Scratch, checkpoint, fresh_name, table
+from lodestream.llm.common import Scratch, checkpoint, enough_partitions, few, fresh_name, table
 
 #: Documents whose score is under it are rejected.
 QUALITY = 0.3
@@ -35,8 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = Scratch(spark).keep(docs.withColumn(key, F.monotonically_increasing_id()))
     linked = ngram_join.link_documents(rows, id_col=key).select(F.col("id").alias(key), F.col("component_id").alias("__component"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("row"))).alias("first")
-    kept = rows.select("doc_id", key).join(linked, key).groupBy("__component").agg(first).select(F.col("first.row").alias(key))
-    return rows.join(kept, key, "left_semi").select(*docs.columns)
+    most = enough_partitions(spark, rows.rdd.getNumPartitions())  # those of the scan, which follow the bytes
+    found = few(rows.select("doc_id", key).join(linked, key), most)
+    kept = few(found.groupBy("__component").agg(first), most).select(F.col("first.row").alias(key))
+    return few(rows.join(kept, key, "left_semi"), most).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import WORD_SPACE, Scratch, checkpoint, word_count
+from lodestream.llm.common import WORD_SPACE, Scratch, checkpoint, enough_partitions, few, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -200,4 +200,5 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     some = F.rtrim(F.array_join(F.slice(words, (F.col("piece")["from"] + 1).cast("int"), F.col("piece")["words"].cast("int")), ""), F.lit(WORD_SPACE))
     out = each.withColumn("part", F.when(F.col("piece")["words"] < F.col("size"), some))
     changed = {text_col: F.coalesce("part", F.col("row")[text_col]), chars_col: F.coalesce(F.length("part").cast("long"), F.col("row")[chars_col])}
-    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    most = enough_partitions(docs.sparkSession, rows.rdd.getNumPartitions())  # those of the scan, which follow the bytes
+    return few(out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns]), most)

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import Scratch, checkpoint, sha60, text_of
+from lodestream.llm.common import Scratch, checkpoint, enough_partitions, few, sha60, text_of
 
 N_SHARDS = 24
 HEAVY_PARTS = 1024
@@ -210,7 +210,8 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with size, shard and slot."""
     rows = Scratch(docs.sparkSession).keep(docs.select(*_keys(id_col, text_col, row_bytes), F.struct(*docs.columns).alias("row")))
     placed = _slots(_placed(rows, n_shards))
-    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot")
+    most = enough_partitions(docs.sparkSession, rows.rdd.getNumPartitions())  # those of the scan, which follow the bytes
+    return few(placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot"), most)
 
 
 def _keys(id_col: str, text_col: str, row_bytes: int) -> list[Column]:
