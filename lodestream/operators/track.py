@@ -10,7 +10,8 @@ source's frequency and clock are compared with those of the source heard most of
 what is learned corrects the frequencies that the gate sees.
 
 What all tracks have is held in arrays, so that a fix meets all tracks of its island at
-once. Time moves in ticks of ``TICK_S``; a tick sees the fixes up to ``LATENCY_S`` before it, so
+once: bounds of a few numbers a track tell which ones it may reach, and only those are taken
+to its time. Time moves in ticks of ``TICK_S``; a tick sees the fixes up to ``LATENCY_S`` before it, so
 rows do not depend on how the fixes are cut into batches. An island is cut where nothing
 is heard for ``CUT_S``: by then every track has retired, numbers start anew and what was learned
 of the sources is forgotten (``learned`` gives it to a later run).
@@ -18,6 +19,7 @@ of the sources is forgotten (``learned`` gives it to a later run).
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import deque
 from collections.abc import Iterator
@@ -41,6 +43,8 @@ CHECK_S, MERGE_CONFIDENCE, PROBATION_S, RECENT_S = 10.0, 0.8, 300.0, 60.0
 LATENCY_S, TOLERANCE_HZ, BIAS_SAMPLES, SAME_TRANSMISSION_S = 3.0, 2500.0, 10, 2.0
 SHOW_S, ORPHAN_S = 10.0, 30.0
 RECENT, TIMES, SAMPLES = 200, 50, 2000
+#: Bounds that only leave out what is far away are wider by this, for rounding; tracks without bounds until they are made.
+WIDER, UNBOUNDED = 1 + 1e-6, 8
 
 TICK_S = 1.0
 CUT_S = 690.0
@@ -76,6 +80,41 @@ def one_point(z: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
     return point, cov, float(imm.quadratic(z - point, r).sum())
 
 
+class Samples:
+    """The last samples of a source, also in order, for their median."""
+
+    def __init__(self) -> None:
+        self.last: deque = deque()
+        self.ordered: list[float] = []
+
+    def __len__(self) -> int:
+        return len(self.last)
+
+    def __getitem__(self, i: int) -> float:
+        return self.last[i]
+
+    def append(self, value: float) -> None:
+        if len(self.last) == SAMPLES:
+            del self.ordered[bisect.bisect_left(self.ordered, self.last.popleft())]
+        self.last.append(value)
+        bisect.insort(self.ordered, value)
+
+    def median(self) -> float:
+        half, odd = divmod(len(self.ordered), 2)
+        return float(self.ordered[half] if odd else (self.ordered[half - 1] + self.ordered[half]) / 2)
+
+
+def overlapping(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a < b) of intervals that meet."""
+    order = np.argsort(low, kind="stable")
+    upto = np.searchsorted(low[order], high[order], "right")
+    count = np.maximum(upto - np.arange(len(order)) - 1, 0)
+    first = np.repeat(np.arange(len(order)), count)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+    one, other = order[first], order[second]
+    return np.minimum(one, other), np.maximum(one, other)
+
+
 @dataclass
 class Held:
     """What only one track at a time is asked for."""
@@ -91,9 +130,9 @@ class Held:
 
 
 def _empty() -> dict[str, np.ndarray]:
-    shapes = {"anchor_m": (2,), "anchor_c": (2, 2), "mu": (5,), "x": (5, 4), "p": (5, 4, 4)}
-    numbers = {"number": np.int64, "hits": np.int64, "freq_n": np.int64, "state": np.int64, "probation": bool, "anchor": bool}
-    names = ("number", "hits", "freq_n", "state", "probation", "anchor", "born", "t", "heard", "updated", "shown", "freq", "bandwidth", "anchor_t", *shapes)
+    shapes = {"anchor_m": (2,), "anchor_c": (2, 2), "mu": (5,), "x": (5, 4), "p": (5, 4, 4), "middle": (2,), "limit": (2,)}
+    numbers = {"number": np.int64, "hits": np.int64, "freq_n": np.int64, "state": np.int64, "probation": bool, "anchor": bool, "bounded": bool}
+    names = ("number", "hits", "freq_n", "state", "probation", "anchor", "bounded", "wide", "born", "t", "heard", "updated", "shown", "freq", "bandwidth", "anchor_t", *shapes)
     return {n: np.zeros((0, *shapes.get(n, ())), numbers.get(n, np.float64)) for n in names}
 
 
@@ -112,23 +151,59 @@ class State:
     now: float = -math.inf  # the next tick
     check: float = -math.inf
     counts: dict[str, int] = field(default_factory=dict)
-    hz: dict[str, deque] = field(default_factory=dict)
-    clock: dict[str, deque] = field(default_factory=dict)
+    hz: dict[tuple, Samples] = field(default_factory=dict)
+    clock: dict[tuple, deque] = field(default_factory=dict)
+    soon: float = -math.inf  # no tick before it is due
+    horizon: float = -math.inf  # up to when the bounds of tracks hold
+    queue: list[tuple] = field(default_factory=list)  # (track, t, z, r, row): what anchors took and their filters did not yet
 
     def row(self, i: int | None, kind: str, t: float, fix_id: int | None = None, **more) -> dict:
+        if i is not None and self.queue:
+            self.settle(int(self.c["number"][i]))
+        out = self._row(i, kind, t, fix_id, **more)
+        return out if i is None else out | self._filtered(self.c["mu"][i], self.c["x"][i])
+
+    @staticmethod
+    def _filtered(mu: np.ndarray, x: np.ndarray) -> dict:
+        mean = mu @ x
+        return {"e": mean[0], "n": mean[1], "speed": math.hypot(mean[2], mean[3]), "p_stationary": float(mu[0])}
+
+    def _row(self, i: int | None, kind: str, t: float, fix_id: int | None = None, **more) -> dict:
+        """All of a row but what the filter says."""
         out = {"run": self.run, "t": t, "fix_id": fix_id, "kind": kind, **more}
         if i is None:
             return out
         c = self.c
-        mean = c["mu"][i] @ c["x"][i]
-        out |= {"track": int(c["number"][i]), "state": STATES[c["state"][i]], "e": mean[0], "n": mean[1], "speed": math.hypot(mean[2], mean[3]), "p_stationary": float(c["mu"][i, 0]), "hits": int(c["hits"][i]), "anchor": bool(c["anchor"][i])}
+        out |= {"track": int(c["number"][i]), "state": STATES[c["state"][i]], "hits": int(c["hits"][i]), "anchor": bool(c["anchor"][i])}
         if out["anchor"]:
             m, a = c["anchor_m"][i], c["anchor_c"][i]
             out |= {"anchor_e": m[0], "anchor_n": m[1], "anchor_ee": a[0, 0], "anchor_en": a[0, 1], "anchor_nn": a[1, 1]}
         return out
 
+    def settle(self, number: int | None = None) -> None:
+        """Take what is queued into the filters, all tracks at once: if that of a track is needed, or in any case."""
+        if not self.queue or number is not None and all(q[0] != number for q in self.queue):
+            return
+        turns: dict[int, int] = {}
+        rounds: list[list[tuple]] = []
+        for item in self.queue:
+            turn = turns[item[0]] = turns.get(item[0], -1) + 1
+            if turn == len(rounds):
+                rounds.append([])
+            rounds[turn].append(item)
+        self.queue = []
+        c = self.c
+        for items in rounds:
+            rows = c["number"].searchsorted([q[0] for q in items])
+            t, z, r = (np.array([q[k] for q in items]) for k in (1, 2, 3))
+            c["mu"][rows], c["x"][rows], c["p"][rows] = mu, x, _ = imm.updated_many(*imm.predicted(c["mu"][rows], c["x"][rows], c["p"][rows], t - c["t"][rows]), z, r)
+            c["t"][rows] = np.maximum(c["t"][rows], t)
+            for k, item in enumerate(items):
+                item[4].update(self._filtered(mu[k], x[k]))
+
     def parted(self) -> tuple[dict[int, tuple], dict]:
         """Each track by its number, and all else."""
+        self.settle()
         items = {int(n): ({k: v[i] for k, v in self.c.items()}, self.held[i]) for i, n in enumerate(self.c["number"])}
         return items, {k: v for k, v in self.__dict__.items() if k not in ("c", "held")}
 
@@ -142,10 +217,14 @@ class State:
         return out
 
     def index(self, number: int | None) -> int | None:
-        found = np.flatnonzero(self.c["number"] == number) if number is not None else ()
-        return int(found[0]) if len(found) else None
+        numbers = self.c["number"]  # they rise
+        at = int(numbers.searchsorted(number)) if number is not None else len(numbers)
+        return at if at < len(numbers) and numbers[at] == number else None
 
     def drop(self, i: int) -> None:
+        self.soon = -math.inf
+        if self.queue:
+            self.settle(int(self.c["number"][i]))
         self.c = {k: np.delete(v, i, axis=0) for k, v in self.c.items()}
         del self.held[i]
 
@@ -169,7 +248,7 @@ class State:
         for s in sources:
             if s != reference:
                 own = self.hz.get((s, reference), ())
-                total += float(np.median(own)) if len(own) >= BIAS_SAMPLES else learned.get(s, 0.0)
+                total += own.median() if len(own) >= BIAS_SAMPLES else learned.get(s, 0.0)
         return freq - total / len(sources)
 
     def _compare(self, i: int, t: float, freq: float, sources: list[str], out: list[dict]) -> None:
@@ -177,9 +256,10 @@ class State:
         held, reference, own = self.held[i], self.reference(), dict.fromkeys(sources)
 
         def sample(source: str, hz: float | None, s: float | None) -> None:
-            for value, into in ((hz, self.hz), (s, self.clock)):
-                if value is not None:
-                    into.setdefault((source, reference), deque(maxlen=SAMPLES)).append(value)
+            if hz is not None:
+                self.hz.setdefault((source, reference), Samples()).append(hz)
+            if s is not None:
+                self.clock.setdefault((source, reference), deque(maxlen=SAMPLES)).append(s)
             out.append(self.row(None, "offset", t, track=int(self.c["number"][i]), source=source, reference=reference, offset_hz=hz, offset_s=s))
 
         close = lambda a: a is not None and abs(t - a) <= SAME_TRANSMISSION_S
@@ -210,12 +290,13 @@ class State:
         z, located = np.array([e, n]), not any(v is None or math.isnan(v) for v in (ee, en, nn))
         r = np.array([[ee, en], [en, nn]]) if located else np.zeros((2, 2))
         freq = self.corrected(raw, sources, learned)
-        i = self._nearest(t, z, r, freq, bandwidth)
+        i, ahead = self._nearest(t, z, r, freq, bandwidth)
         if not located:
             if i is not None:
                 self.c["heard"][i] = max(self.c["heard"][i], t)
             else:
                 self.orphans.append((t, fix_id))
+                self.soon = min(self.soon, t + ORPHAN_S)
             out.append(self.row(i, "orphan" if i is None else "support", t, fix_id))
             return
         for s in sources:
@@ -224,28 +305,69 @@ class State:
             self._birth(t, z, r, freq, raw, bandwidth, sources, fix_id, out)
             return
         c = self.c
-        mu, x, p = (a[0] for a in self.filters(np.array([i]), t))
-        c["mu"][i], c["x"][i], c["p"][i] = imm.updated(mu, x, p, z, r)
-        c["t"][i] = max(c["t"][i], t)
+        if not (later := bool(c["anchor"][i])):  # an anchor takes fixes by its own point: what its filter says is not asked for until there is a row or a check of it
+            c["mu"][i], c["x"][i], c["p"][i] = imm.updated(*ahead, z, r)
+            c["t"][i] = max(c["t"][i], t)
+        c["bounded"][i] = False
         self._absorb(i, t, z, r, freq, raw, bandwidth, sources, out)
         if c["state"][i] == COASTING or c["state"][i] == TENTATIVE and c["hits"][i] >= CONFIRM_HITS:
             c["state"][i] = CONFIRMED
+        self.soon = min(self.soon, float(c["heard"][i]) + COAST_S)
         number = int(c["number"][i])
-        out.append(self.row(i, "fix", t, fix_id))
+        if later:
+            out.append(self._row(i, "fix", t, fix_id))
+            self.queue.append((number, t, z, r, out[-1]))
+        else:
+            out.append(self.row(i, "fix", t, fix_id))
         self._apart(self.index(number), t, out)
 
-    def _nearest(self, t: float, z: np.ndarray, r: np.ndarray, freq: float, bandwidth: float) -> int | None:
+    def _bound(self, t: float) -> None:
+        """Where fixes up to the horizon can be that a track may take: a middle, and on each axis the greatest square of the distance, which grows by ``wide`` times a fix's variance.
+
+        Bounds of some time hold for all tracks, those that changed since have none until there are several.
+        """
+        c = self.c
+        if t > self.horizon:
+            self.horizon, c["bounded"][:] = t + imm.HORIZON_S, False
+        new = np.flatnonzero(~c["bounded"])
+        if len(new) <= UNBOUNDED and len(new) < len(c["bounded"]):
+            return
+        c["bounded"][new] = True
+        anchor = c["anchor"][new]
+        fixed, free = new[anchor], new[~anchor]
+        if fixed.size:
+            grown = np.maximum(self.horizon - c["anchor_t"][fixed], 0.0) * imm.Q_STATIONARY
+            c["middle"][fixed], c["wide"][fixed] = c["anchor_m"][fixed], WIDER * ANCHOR_GATE
+            c["limit"][fixed] = WIDER * ANCHOR_GATE * (c["anchor_c"][fixed][:, [0, 1], [0, 1]] + grown[:, None])
+        if free.size:
+            c["middle"][free], moment = imm.moments(c["mu"][free], c["x"][free], c["p"][free], self.horizon - c["t"][free])
+            c["limit"][free], c["wide"][free] = WIDER * (1 + GATE) * moment, WIDER * (1 + GATE)
+
+    def _nearest(self, t: float, z: np.ndarray, r: np.ndarray, freq: float, bandwidth: float) -> tuple[int | None, tuple | None]:
+        """The track that takes a fix, and its filter at the fix's time if that was needed to tell."""
+        self._bound(t)
         c = self.c
-        d2 = np.full(len(self.held), math.inf)
         near = same_channel(freq, bandwidth, c["freq"], c["bandwidth"])
-        if (fixed := np.flatnonzero(near & c["anchor"])).size:
+        if t >= self.horizon - imm.HORIZON_S:  # not for a late one
+            far = (z - c["middle"]) ** 2 > c["limit"] + c["wide"][:, None] * r[[0, 1], [0, 1]]
+            near &= ~((far[:, 0] | far[:, 1]) & c["bounded"])
+        near = np.flatnonzero(near)
+        found, least, ahead = None, GATE, None
+        anchor = c["anchor"][near]
+        if (fixed := near[anchor]).size:
             grown = np.maximum(t - c["anchor_t"][fixed], 0.0)[:, None, None] * np.eye(2) * imm.Q_STATIONARY
             value = imm.quadratic(z - c["anchor_m"][fixed], c["anchor_c"][fixed] + grown + r)
-            d2[fixed] = np.where(value <= ANCHOR_GATE, value, math.inf)
-        if (free := np.flatnonzero(near & ~c["anchor"])).size:
-            mean, cov = imm.combined(*self.filters(free, t))
-            d2[free] = imm.quadratic(z - mean[:, :2], cov[:, :2, :2] + r)
-        return int(np.argmin(d2)) if len(d2) and d2.min() <= GATE else None
+            value = np.where(value <= ANCHOR_GATE, value, math.inf)
+            if value.min() <= least:
+                found, least = int(fixed[value.argmin()]), float(value.min())
+        if (free := near[~anchor]).size:
+            mu, x, p = self.filters(free, t)
+            mean, cov = imm.combined(mu, x, p)
+            value = imm.quadratic(z - mean[:, :2], cov[:, :2, :2] + r)
+            at, best = int(value.argmin()), float(value.min())
+            if best < least or best == least and (found is None or free[at] < found):
+                found, ahead = int(free[at]), (mu[at], x[at], p[at])
+        return found, ahead
 
     def _absorb(self, i: int, t: float, z: np.ndarray, r: np.ndarray, freq: float, raw: float, bandwidth: float, sources: list[str], out: list[dict]) -> None:
         c, held = self.c, self.held[i]
@@ -286,12 +408,15 @@ class State:
         i, c = len(self.held) - 1, self.c
         self._absorb(i, t, z, r, freq, raw, bandwidth, sources, out)
         older = np.flatnonzero(~c["probation"][:i] & same_channel(freq, bandwidth, c["freq"][:i], c["bandwidth"][:i]) & (t - c["heard"][:i] <= SPLIT_WINDOW_S))
+        about = np.where(c["anchor"][older, None], c["anchor_m"][older], np.einsum("km,kmd->kd", c["mu"][older], c["x"][older][:, :, :2]))
+        older = older[np.hypot(*(about - z).T) <= SPLIT_RADIUS_M * WIDER + 1]
         away = [float(np.hypot(*(self.place(j) - z))) for j in older]
         near = [(not c["anchor"][j], d, j) for j, d in zip(older.tolist(), away, strict=True) if d <= SPLIT_RADIUS_M]
         if near:  # an anchor first: it is what others depart from
             _, self.held[i].apart, j = min(near)
             self.held[i].parent = int(c["number"][j])
             c["probation"][i] = c["anchor"][j]
+        self.soon = min(self.soon, t + COAST_S)
         out.append(self.row(i, "candidate" if c["probation"][i] else "created", t, fix_id, other=self.held[i].parent))
 
     # tracks beside tracks
@@ -303,7 +428,7 @@ class State:
             return
         j = self.index(child.parent)
         if j is None or t - c["born"][i] > SPLIT_WINDOW_S:
-            child.parent = None
+            child.parent, self.soon = None, -math.inf
             return
         if c["hits"][i] < CONFIRM_HITS or float(np.hypot(*(self.place(j) - self.place(i)))) - child.apart < SPLIT_MARGIN_M:
             return
@@ -315,16 +440,18 @@ class State:
             c["probation"][i] = False
             out.append(self.row(i, "created", float(c["born"][i]), other=child.parent))
         undone = c["born"][i] - parent.merged_at <= PROBATION_S
+        self.settle()
         stays = j if c["anchor"][j] or c["mu"][j, 0] >= c["mu"][i, 0] else i
         child.parent, child.split = None, True
         out.append(self.row(j, "unmerged" if undone else "split", t, other=number, stayed=int(c["number"][stays])))
 
     def _relocate(self, i: int, j: int, t: float, out: list[dict]) -> None:
         """Nothing stayed behind, so the anchor is what moved: it goes on from where its candidate is."""
+        self.settle()
         c = self.c
         for name in ("mu", "x", "p", "t"):
             c[name][j] = c[name][i]
-        c["anchor"][j] = False
+        c["anchor"][j] = c["bounded"][j] = False
         c["updated"][j] = max(c["updated"][j], c["updated"][i])
         out.append(self.row(j, "relocated", t, other=int(c["number"][i])))
         self._fold(i, j, t, out)
@@ -365,9 +492,13 @@ class State:
             check = max(self.check, math.ceil(self.now / CHECK_S) * CHECK_S)
             if check < to and len(self._live(check)) < 2:
                 self.streak, check = {}, math.inf
-            tick = min(self._due(), check)
+            if min(self.soon, check) >= to:
+                break
+            self.soon = self._due()
+            tick = min(self.soon, check)
             if tick >= to:
                 break
+            self.soon = -math.inf
             self._age(tick, out)
             if tick == check:
                 self._merge(tick, out)
@@ -377,7 +508,9 @@ class State:
             self.now = max(self.now, math.ceil(to / TICK_S) * TICK_S)
 
     def _age(self, now: float, out: list[dict]) -> None:
-        for number in self.c["number"].tolist():
+        c = self.c
+        turn = c["probation"] | (now - c["heard"] > SILENCE[c["state"]]) | (c["state"] == COASTING) & (now - c["shown"] >= SHOW_S)
+        for number in c["number"][turn].tolist():
             i = self.index(number)
             c, silent = self.c, now - self.c["heard"][i]
             if c["probation"][i]:
@@ -397,23 +530,32 @@ class State:
             elif c["state"][i] == COASTING and now - c["shown"][i] >= SHOW_S:
                 c["shown"][i] = now
                 out.append(self.row(i, "predicted", now) | self._ahead(i, now))
-        for orphan in [x for x in self.orphans if now - x[0] > ORPHAN_S]:
-            self.orphans.remove(orphan)
+        expired = [x for x in self.orphans if now - x[0] > ORPHAN_S]
+        if expired:
+            self.orphans = [x for x in self.orphans if not now - x[0] > ORPHAN_S]
+        for orphan in expired:
             out.append(self.row(None, "expired", now, orphan[1]))
 
     def _ahead(self, i: int, now: float) -> dict:
         """Where a silent track is by now."""
+        self.settle(int(self.c["number"][i]))
         mean = imm.combined(*self.filters(np.array([i]), now))[0][0]
         return {"e": mean[0], "n": mean[1], "speed": math.hypot(mean[2], mean[3])}
 
     def _merge(self, now: float, out: list[dict]) -> None:
         """Count how long pairs have kept together; the first that has for long enough becomes one, and the rest wait for the next check."""
+        self.settle()
         c, live = self.c, self._live(now)
-        a, b = np.triu_indices(len(live), 1)
-        alike = same_channel(c["freq"][live[a]], c["bandwidth"][live[a]], c["freq"][live[b]], c["bandwidth"][live[b]])
         mu, x, p = self.filters(live, now)
         mean, cov = imm.combined(mu, x, p)
+        half = [np.sqrt(WIDER * MERGE_GATE * cov[:, k, k]) + 1e-6 for k in (0, 1)]  # gates of sums are no wider than sums of gates
+        a, b = overlapping(mean[:, 0] - half[0], mean[:, 0] + half[0])
+        beside = np.abs(mean[a, 1] - mean[b, 1]) <= half[1][a] + half[1][b]
+        a, b = a[beside], b[beside]
+        alike = same_channel(c["freq"][live[a]], c["bandwidth"][live[a]], c["freq"][live[b]], c["bandwidth"][live[b]])
         a, b = a[alike], b[alike]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
         d, s = mean[a] - mean[b], cov[a] + cov[b]
         together = np.flatnonzero((imm.quadratic(d[:, :2], s[:, :2, :2]) <= MERGE_GATE) & (imm.quadratic(d[:, 2:], s[:, 2:, 2:]) <= MERGE_GATE))
         before, self.streak = self.streak, {}
@@ -426,6 +568,7 @@ class State:
                 self.streak |= {k: m for k, m in before.items() if k > key}
                 c["mu"][i], c["x"][i], c["p"][i] = imm.updated(mu[one], x[one], p[one], mean[other, :2], cov[other, :2, :2])
                 c["t"][i] = max(c["t"][i], now)
+                c["bounded"][i] = False
                 c["hits"][i] += c["hits"][j]
                 for name in ("heard", "updated"):
                     c[name][i] = max(c[name][i], c[name][j])
@@ -448,6 +591,7 @@ class State:
             i = self.index(number)
             if (j := self.index(self.held[i].parent)) is not None:
                 self._fold(i, j, now, out)
+        self.settle()
 
 
 def frame(key: int, rows: list[dict]) -> pd.DataFrame:
