@@ -82,10 +82,10 @@ def centroid(lat, lon):
     return float(np.mean(lat)), math.degrees(math.atan2(np.mean(np.sin(r)), np.mean(np.cos(r))))
 
 
-def frame_bearing(lat0, lon0, lat, lon, azimuth, step=1000.0):
-    """Bearing in the plane of a true azimuth at a point: the direction of a short step."""
+def frame_bearing(lat0, lon0, lat, lon, azimuth, step=1000.0, at=None):
+    """Bearing in the plane of a true azimuth at a point: the direction of a short step. ``at``: the point's east and north, if known."""
     lat2, lon2 = direct(lat, lon, azimuth, step)
-    e1, n1 = to_en(lat0, lon0, lat, lon)
+    e1, n1 = to_en(lat0, lon0, lat, lon) if at is None else at
     e2, n2 = to_en(lat0, lon0, lat2, lon2)
     return np.degrees(np.arctan2(e2 - e1, n2 - n1)) % 360
 

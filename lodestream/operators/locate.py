@@ -75,9 +75,14 @@ def _best_crossing(of: np.ndarray, theta: np.ndarray, n: int) -> np.ndarray:
 
 
 def fix_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: np.ndarray, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Fixes of n groups, and each row's share of the weight (NaN: not used). ``of``: each row's group; ``sensor``: a number; ``basis``: its name. A reason stands where there is no fix."""
+    """``fix_and_misses`` without the misses."""
+    return fix_and_misses(of, lat, lon, bearing, sigma, sensor, basis, n)[:2]
+
+
+def fix_and_misses(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: np.ndarray, n: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Fixes of n groups, each row's share of the weight, and by how many degrees its bearing misses the fix (NaN: not used). ``of``: each row's group; ``sensor``: a number; ``basis``: its name. A reason stands where there is no fix."""
     out = {k: np.full(n, np.nan) for k in _NUMBERS}
-    reason = np.full(n, None, object)
+    reason, misses = np.full(n, None, object), np.full(len(of), np.nan)
     known = ~np.isnan(sigma)
     weighted = _sensors(of[known], sensor[known], n) >= 2
     use = known | ~weighted[of]
@@ -91,7 +96,7 @@ def fix_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarr
     lon0 = np.degrees(np.arctan2(_sum(g, np.sin(np.radians(lo)), n), _sum(g, np.cos(np.radians(lo)), n)))
     if len(rows):
         e, north = G.to_en(lat0[g], lon0[g], la, lo)
-        theta = np.radians(G.frame_bearing(lat0[g], lon0[g], la, lo, b))
+        theta = np.radians(G.frame_bearing(lat0[g], lon0[g], la, lo, b, at=(e, north)))
     else:
         e = north = theta = np.empty(0)
     out["crossing_deg"] = np.where(alive, _best_crossing(g, theta, n), np.nan)
@@ -130,10 +135,11 @@ def fix_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.ndarr
         _, az = G.inverse(la[mine], lo[mine], out["lat"][g[mine]], out["lon"][g[mine]])
         off = (az - b[mine] + 180) % 360 - 180
         out["residual_deg"][ok] = np.sqrt(_sum(g[mine], off * off, n) / count)[ok]
+        misses[rows[mine]] = off
     share = np.full(len(of), np.nan)
     with np.errstate(invalid="ignore"):
         share[rows] = weight / _sum(g, weight, n)[g]
-    return out | {"reason": reason, "basis": kind, "n_excluded": excluded}, share
+    return out | {"reason": reason, "basis": kind, "n_excluded": excluded}, share, misses
 
 
 def fix(lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, sensor: np.ndarray, basis: list[str]) -> dict:
@@ -162,12 +168,15 @@ def locate_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.nd
     key = np.stack([of, sensor])
     again = np.concatenate(([False], (key[:, 1:] == key[:, :-1]).all(0))) if len(of) else np.empty(0, bool)
     several = np.bincount(of, again, n) > 0
-    plain = ~several[of]
-    got, shares = fix_many(of[plain], lat[plain], lon[plain], bearing[plain], sigma[plain], sensor[plain], basis[plain], n)
     take = lambda found, i: {k: v[i] for k, v in found.items()}
     starts = np.searchsorted(of, np.arange(n + 1))
-    inside = np.searchsorted(of[plain], np.arange(n + 1))
-    result: list[list[dict]] = [[take(got, i) | {"rows": order[starts[i] : starts[i + 1]], "share": shares[inside[i] : inside[i + 1]]}] for i in range(n)]
+    result: list[list[dict]] = [[] for _ in range(n)]
+    if not several.all():
+        plain = ~several[of]
+        got, shares = fix_many(of[plain], lat[plain], lon[plain], bearing[plain], sigma[plain], sensor[plain], basis[plain], n)
+        inside = np.searchsorted(of[plain], np.arange(n + 1))
+        for i in np.flatnonzero(~several):
+            result[i] = [take(got, i) | {"rows": order[starts[i] : starts[i + 1]], "share": shares[inside[i] : inside[i + 1]]}]
     ways, parts = [], []  # (group, k, degrees of freedom), and the rows of each emitter of each way
     for i in np.flatnonzero(several):
         rows = np.arange(starts[i], starts[i + 1])
@@ -186,14 +195,13 @@ def locate_many(of: np.ndarray, lat: np.ndarray, lon: np.ndarray, bearing: np.nd
         return result
     rows = np.concatenate(parts)
     part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    found, shares = fix_many(part, lat[rows], lon[rows], bearing[rows], sigma[rows], sensor[rows], basis[rows], len(parts))
+    found, shares, misses = fix_and_misses(part, lat[rows], lon[rows], bearing[rows], sigma[rows], sensor[rows], basis[rows], len(parts))
     edges = np.searchsorted(part, np.arange(len(parts) + 1))
     good = np.equal(found["reason"], None)
     chi2 = np.full(len(parts), np.inf)
     mine = good[part]
     if mine.any():
-        _, az = G.inverse(lat[rows[mine]], lon[rows[mine]], found["lat"][part[mine]], found["lon"][part[mine]])
-        off = ((az - bearing[rows[mine]] + 180) % 360 - 180) / sigma[rows[mine]]
+        off = misses[mine] / sigma[rows[mine]]
         chi2[good] = np.bincount(part[mine], off * off, len(parts))[good]
     at = 0
     scored: dict[int, list[tuple[float, int]]] = {}

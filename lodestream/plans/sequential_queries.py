@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import sql_surface
 from lodestream.operators import grouping, locate, track
+from lodestream.operators.lineage import cut_lineage
 from lodestream.plans.tables import observations, observed, query
 from lodestream.streaming import stateful
 
@@ -33,20 +34,22 @@ def snapshot_groups(spark, sf_dir):
     return grouping.group_snapshots(_grouped(observations(spark, sf_dir)))
 
 
-def _cycles(o):
-    """All observations with the snapshot group that each is in: a channel for each entity, bearings up to a day apart, a sensor once a cycle."""
+def _cycles(o, again: bool = False):
+    """All observations with the snapshot group that each is in: a channel for each entity, bearings up to a day apart, a sensor once a cycle. ``again``: read more than once."""
     rows = o.select(
         (F.col("t_us") / 1e6).alias("t"), "source_id", F.lit("").alias("sensor_id"), "bearing_deg",
         (400e6 + F.col("entity") * 12500.0).alias("freq_hz"), F.lit(5000.0).alias("bandwidth_hz"), "observation_id",
     )
     groups = grouping.group_snapshots(rows, step_s=86400.0, window_s=86400.0).select("observation_id", F.col("group_id").alias("cycle"))
-    return o.join(groups, "observation_id").withColumn("group_id", F.col("entity") * 10_000_000 + F.col("cycle"))
+    return o.join(cut_lineage(groups) if again else groups, "observation_id").withColumn("group_id", F.col("entity") * 10_000_000 + F.col("cycle"))
 
 
-def _members(spark, o, shift: float = 0.0):
-    """Bearings from each source's site to the entity's place, or to one that lies ``shift`` degrees south and east of it."""
+def _members(spark, sf_dir, shifts: tuple[float, ...] = (0.0,), again: bool = False):
+    """Bearings from each source's site to the entity's place, or to places that lie so many degrees south and east of it, all in one pass over the groups."""
+    shift = F.col("shift")
     lat, lon = 50.0 + (F.col("entity") % 17) * 0.01 - shift, 10.1 + (F.col("entity") % 13) * 0.01 + shift
-    sited = o.join(_sites(spark, o), "source_id")
+    o = observations(spark, sf_dir)
+    sited = _cycles(o, again).join(_sites(spark, o), "source_id").withColumn("shift", F.explode(F.array(*map(F.lit, shifts))))
     true = F.degrees(F.atan2((lon - F.col("s_lon")) * F.cos(F.radians(lat)), lat - F.col("s_lat")))
     return sited.select(
         "entity", "group_id", F.col("source_id").alias("sensor"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"), F.pmod(true + (F.col("k") % 5 - 2) * 0.5, F.lit(360.0)).alias("bearing_deg"), "sigma_deg", "basis",
@@ -58,22 +61,20 @@ def _members(spark, o, shift: float = 0.0):
 @query("bearing_fix")
 def bearing_fix(spark, sf_dir):
     """Fix records of all snapshot groups, with their bearings' shares and heights; every bearing is in one group."""
-    return locate.fixes(_members(spark, _cycles(observations(spark, sf_dir))), by="entity")
+    return locate.fixes(_members(spark, sf_dir), by="entity")
 
 
 @query("cochannel_split")
 def cochannel_split(spark, sf_dir):
     """The same groups where a second emitter shares the channel, so each sensor has two bearings in a group."""
-    o = _cycles(observations(spark, sf_dir))
-    return locate.fixes(_members(spark, o).unionByName(_members(spark, o, shift=0.1)), by="entity")
+    return locate.fixes(_members(spark, sf_dir, (0.0, 0.1)), by="entity")
 
 
 @query("cochannel_split_sql")
 def cochannel_split_sql(spark, sf_dir):
     """The fixes of ``cochannel_split``, asked for in SQL alone: grouped bearings into a table function, and how far each fix is from the first sensor."""
     sql_surface.register(spark)
-    o = _cycles(observations(spark, sf_dir))
-    _members(spark, o).unionByName(_members(spark, o, shift=0.1)).createOrReplaceTempView("lodestream_members")
+    _members(spark, sf_dir, (0.0, 0.1), again=True).createOrReplaceTempView("lodestream_members")
     return spark.sql("""
         WITH first AS (SELECT group_id, min_by(struct(lat, lon), sensor) AS s FROM lodestream_members GROUP BY group_id)
         SELECT f.*, geodesic_distance_m(first.s.lat, first.s.lon, f.lat, f.lon) AS range_m
