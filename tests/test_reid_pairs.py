@@ -33,6 +33,18 @@ def test_no_pairs_are_shuffled(spark, name):
         assert "Join" not in plan and plan.count("MapInArrow") == 1
 
 
+def test_published_are_the_best_of_the_normalised(spark):
+    every = catalog.queries()["reid_normalise"](spark, "/root/testdata/sf0.01").collect()
+    ranked = {}
+    for r in every:
+        ranked.setdefault((r["entity"], r["session"]), []).append((-r["p"], r["old"], r["old_session"]))
+    best = {k: sorted(v) for k, v in ranked.items()}
+    want = {(*k, v[0][1], v[0][2]) for k, v in best.items() if -v[0][0] >= 0.5 and -v[0][0] - (-v[1][0] if len(v) > 1 else 0) >= 0.15}
+    got = catalog.queries()["reid_published"](spark, "/root/testdata/sf0.01")
+    assert {tuple(r)[:4] for r in got.select("entity", "session", "old", "old_session").collect()} == want and len(want) > 10
+    assert got.count() == len(want)
+
+
 def test_weighed_pairs_are_those_of_a_table(spark):
     """Odds made of what is remembered give the rows of a table of all pairs."""
     rng = random.Random(8)
